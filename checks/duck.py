@@ -58,7 +58,7 @@ def phrases(lowered: str, pairs: Sequence[tuple[str, str]]) -> str:
 
 def distinct(items: str) -> str:
     """Distinct list entries in order; ``items`` must be a column."""
-    return f"list_filter({items}, lambda x, i: list_position({items}, x) = i)"
+    return f"list_filter({items}, lambda x_, n_: list_position({items}, x_) = n_)"
 
 
 def sentences(text: str, longer_than: int) -> str:
@@ -246,7 +246,7 @@ def entity_ctes(prefix: str, source: str, lists: bool, modes: bool, normalise: b
     rest = ", ".join([f"{s.lower()}_pct" for s in LABELS] + ["mixed_count", "total_reviews", "mc"])
     ctes[f"{p}scaled"] = f"select teacher_name, {rest}, {scaled} from {p}mean, {p}bounds"
     overall = " + ".join(f"{c} * {num(K.ENTITY_WEIGHTS[a])}" for a, c in K.SCORE_COLUMN.items())
-    ctes[f"{p}over"] = f"select *, round({clamp('0::double + ' + overall, 0, 10)}, 2) as overall_score from {p}scaled"
+    ctes[f"{p}weighted"] = f"select *, round({clamp('0::double + ' + overall, 0, 10)}, 2) as overall_score from {p}scaled"
     joins, extra = "", []
     for flag, name, column in (
         (modes, f"{p}sub", "subject"), (modes, f"{p}sem", "semester"),
@@ -270,7 +270,7 @@ def entity_ctes(prefix: str, source: str, lists: bool, modes: bool, normalise: b
       {grade('overall_score', 1)} as grade, {grade('overall_score', 2)} as descriptor,
       positive_pct, neutral_pct, negative_pct, mixed_count,
       row_number() over (order by overall_score desc, o.teacher_name) as rank
-      from {p}over o{joins}"""
+      from {p}weighted o{joins}"""
     return ctes
 
 
@@ -292,13 +292,13 @@ def base_ctes() -> dict[str, str]:
     ctes["counts"] = _aspect_cte()
     ctes["aspects"] = _aspect_scores()
     ctes["blended"] = _blended()
-    ctes["over"] = _scored()
+    ctes["totals"] = _scored()
     ctes["found"] = _final_labels()
     ctes["merged"] = """select review_id,
       list_concat((case when len(s1) > 0 then s1 else best end)[1:5], s2d[1:5]) as s,
       list_concat((case when len(i1) > 0 then i1 else worst end)[1:5], i2d[1:5]) as i
       from (select *, list_filter(s2, lambda x, i: list_position(s2, x) = i) as s2d,
-                   list_filter(i2, lambda x, i: list_position(i2, x) = i) as i2d from found) join over using (review_id)"""
+                   list_filter(i2, lambda x, i: list_position(i2, x) = i) as i2d from found) join totals using (review_id)"""
     cols = ", ".join(
         f"{_filled(f'round(b.b{i}, 2)', '0::double')} as {c}" for i, c in enumerate(COLS)
     )
@@ -313,7 +313,7 @@ def base_ctes() -> dict[str, str]:
       {_filled('b.p_pos', '0::double')} as p_pos, {_filled('b.p_neu', '1::double')} as p_neu,
       {_filled('b.p_neg', '0::double')} as p_neg,
       b.* exclude (review_id, label, confidence, is_mixed, polarity, p_pos, p_neu, p_neg)
-      from low l join blended b using (review_id) join over o using (review_id) join merged m using (review_id)"""
+      from low l join blended b using (review_id) join totals o using (review_id) join merged m using (review_id)"""
     ctes |= entity_ctes("", "scored", True, True)
     ctes |= entity_ctes("plain_", "scored", True, True, normalise=False)
     ctes["lines"] = SCORED_LINES_SQL
@@ -344,8 +344,8 @@ def summary_ctes() -> dict[str, str]:
              {phrases('lower(r.feedback_text)', K.IMPROVEMENT_PHRASES)} as i from reviews r)""",
         "volume": "select teacher_name, count(*) as n from reviews where teacher_name is not null group by 1",
     }
-    ctes |= top_label_ctes("ps", "phr", "teacher_name", "s")
-    ctes |= top_label_ctes("pi", "phr", "teacher_name", "i")
+    ctes |= top_label_ctes("pstr", "phr", "teacher_name", "s")
+    ctes |= top_label_ctes("pimp", "phr", "teacher_name", "i")
     values = ", ".join(
         f"{{'score': case when {c} * 10 > 10 then {c} * 10 / 10 else {c} * 10 end, 'position': {i}, 'aspect': {lit(a)}}}"
         for i, (a, c) in enumerate(K.SCORE_COLUMN.items())
@@ -365,8 +365,8 @@ def summary_ctes() -> dict[str, str]:
               on u.teacher_name = x.teacher_name and u.a.aspect = case x.item {cases} end
             left join lateral (select u.a.score as score) o on true) group by teacher_name"""
 
-    ctes["best3"] = ranked("ps", "ps", K.STRENGTH_ASPECT, "desc")
-    ctes["worst3"] = ranked("pi", "pi", K.IMPROVEMENT_ASPECT, "asc")
+    ctes["best3"] = ranked("pstr", "pstr", K.STRENGTH_ASPECT, "desc")
+    ctes["worst3"] = ranked("pimp", "pimp", K.IMPROVEMENT_ASPECT, "asc")
     ctes["anon"] = f"""select review_id, teacher_name, {anonymise('feedback_text')} as a from reviews
       where teacher_name is not null and {trim('feedback_text')} <> ''"""
     ctes["sent_x"] = f"""select teacher_name, review_id, unnest(ss) as piece, generate_subscripts(ss, 1) as pos

@@ -80,9 +80,13 @@ REVIEWS_SQL = """
 
 
 def scored_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return score_lines(table(spark, sf, "lineitem"))
+
+
+def score_lines(lines: DataFrame) -> DataFrame:
     """Every order line as a scored review of its supplier."""
     c = F.col
-    return table(spark, sf, "lineitem").select(
+    return lines.select(
         c("l_suppkey").cast("string").alias("teacher_name"),
         c("l_returnflag").alias("subject"),
         (c("l_quantity") / 5).alias("communication_score"),

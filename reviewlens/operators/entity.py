@@ -62,13 +62,16 @@ def _facts(df: DataFrame) -> Column:
     def fact(kind: str, item: Column, position: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), item.alias("item"), position.alias("position"))
 
+    def spread(kind: str, labels: Column) -> Column:
+        return F.transform(labels, lambda label, i: fact(kind, label, i))
+
     single = [fact("row", F.lit(None).cast("string"), F.lit(0))]
     single += [fact(c, F.col(c).cast("string"), F.lit(0)) for c in _MODES if c in df.columns]
     lists = [F.array(*single)]
     for column, kind in _LISTS.items():
         if column in df.columns:
             labels = F.coalesce(label_list(df, column), F.array().cast("array<string>"))
-            lists.append(F.transform(labels, lambda label, i, kind=kind: fact(kind, label, i)))
+            lists.append(spread(kind, labels))
     return F.filter(F.concat(*lists), lambda f: (f["kind"] == "row") | f["item"].isNotNull())
 
 
