@@ -11,10 +11,11 @@ from checks import duck as D
 from checks.views import reviews, score_lines, scored_lines, table
 from reviewlens import constants as K
 from reviewlens.config import AggregationConfig, Lexicon, ScoringConfig
+from reviewlens.functions import aspects as A
 from reviewlens.functions import sentiment as S
 from reviewlens.functions import text as T
 from reviewlens.operators import cohort, duplicates, entity, keywords, summary, trend, vectors, views
-from reviewlens.operators.score import detect_aspects, extract_labels, score_reviews
+from reviewlens.operators.score import detect_aspects, extract_labels, score_reviews, with_rule_aspects
 from reviewlens.plans.report import summary_report
 from reviewlens.session import scratch_path
 from reviewlens.sources import reviews as ingest
@@ -810,12 +811,17 @@ def i5(spark, sf):
 
 @query("i8_signal_labels", """select review_id, array_to_string(s1, ' | ') as strengths, array_to_string(i1, ' | ') as improvements from found""")
 def i8(spark, sf):
-    from reviewlens.functions.aspects import KeywordHits
-
-    tables = (K.STRENGTH_SIGNALS, K.IMPROVEMENT_SIGNALS)
-    hits = KeywordHits([word for signals in tables for words in signals.values() for word in words])
-    df = reviews(spark, sf).select("review_id", hits.match(F.lower("feedback_text")).alias(hits.column))
-    return flat(df.select("review_id", hits.labels(tables[0]).alias("strengths"), hits.labels(tables[1]).alias("improvements")))
+    strengths, improvements = K.STRENGTH_SIGNALS, K.IMPROVEMENT_SIGNALS
+    keywords = A.table_keywords(strengths) + A.table_keywords(improvements)
+    df = reviews(spark, sf).select("review_id", A.found_keywords(F.lower("feedback_text"), keywords).alias("found"))
+    found = F.col("found")
+    return flat(
+        df.select(
+            "review_id",
+            A.signal_labels(found, strengths).alias("strengths"),
+            A.signal_labels(found, improvements).alias("improvements"),
+        )
+    )
 
 
 @query("i9_i10_phrase_labels", """select review_id, array_to_string(s, ' | ') as strengths_list, array_to_string(i, ' | ') as improvements_list from phr""")
@@ -974,19 +980,17 @@ def j3(spark, sf):
     ),
 )
 def j4(spark, sf):
-    from reviewlens.functions.aspects import KeywordHits, rule_keywords
-    from reviewlens.operators.score import with_rule_aspects
-
-    hits = KeywordHits(rule_keywords())
-    df = reviews(spark, sf).select("review_id", hits.match(F.lower("feedback_text")).alias(hits.column))
-    exploded = with_rule_aspects(df, hits).select("review_id", F.explode("aspect_detail").alias("aspect", "d"))
+    df = reviews(spark, sf).select(
+        "review_id", A.found_keywords(F.lower("feedback_text"), A.rule_keywords()).alias("found")
+    )
+    exploded = with_rule_aspects(df, "found").select("review_id", F.explode("aspect_detail").alias("aspect", "d"))
     return exploded.select("review_id", "aspect", "d.score_10", "d.relevance", "d.positive_sim", "d.negative_sim", "d.detected")
 
 
 @query(
     "j5_detect_aspect_vectors",
-    """select vec_id, array_to_string(list_transform(list_sort(list({'m': -s, 'aspect': label}) filter (where s >= 0.25::double))[1:3],
-      lambda a: a.aspect), ' | ') as aspects from (select vec_id, list_cosine_similarity(embedding::double[], e) as s, m.label
+    """select vec_id, coalesce(array_to_string(list_transform(list_sort(list({'m': -s, 'aspect': label}) filter (where s >= 0.25::double))[1:3],
+      lambda a: a.aspect), ' | '), '') as aspects from (select vec_id, list_cosine_similarity(embedding::double[], e) as s, m.label
       from embeddings, label_means m) group by vec_id""",
     {"label_means": LABEL_MEAN_SQL},
 )

@@ -405,6 +405,29 @@ def summary_ctes() -> dict[str, str]:
 _CTES: dict[str, str] = {}
 
 
+def half_up(sql: str) -> str:
+    """Round the decimal digits of a double half up, as Spark does, in every two-argument ``round``."""
+    out, at = "", 0
+    while (start := sql.find("round(", at)) >= 0:
+        depth, i, comma = 1, start + 6, None
+        while depth:
+            character = sql[i]
+            depth += (character in "([{") - (character in ")]}")
+            if character == "," and depth == 1:
+                comma = i
+            if character == "'":
+                i = sql.index("'", i + 1)
+            i += 1
+        out += sql[at:start]
+        if comma is None:
+            out += f"round({half_up(sql[start + 6 : i - 1])})"
+        else:
+            value, digits = half_up(sql[start + 6 : comma]), sql[comma + 1 : i - 1].strip()
+            out += f"cast(round(cast(cast({value} as varchar) as decimal(38, 18)), {digits}) as double)"
+        at = i
+    return out + sql[at:]
+
+
 def compose(final: str, extra: Mapping[str, str] | None = None) -> str:
     """``with`` clause of exactly the CTEs that ``final`` needs, in dependency order."""
     if not _CTES:
@@ -429,6 +452,6 @@ def compose(final: str, extra: Mapping[str, str] | None = None) -> str:
     for name in used(final):
         visit(name, ())
     if not needed:
-        return final
-    parts = ",\n".join(f"{name} as ({known[name]})" for name in needed)
-    return f"with {parts}\n{final}"
+        return half_up(final)
+    parts = ",\n".join(f"{name} as ({half_up(known[name])})" for name in needed)
+    return f"with {parts}\n{half_up(final)}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
@@ -11,45 +12,59 @@ from reviewlens import constants as K
 from reviewlens.functions.grades import clamp
 
 
-class KeywordHits:
-    """One boolean per distinct keyword, held in a single array column.
+def _pattern(words: set[str]) -> str:
+    """Regular expression of the longest of ``words``, with common beginnings factored out."""
+    tails: dict[str, set[str]] = {}
+    for word in words:
+        if word:
+            tails.setdefault(word[0], set()).add(word[1:])
+    if not tails:
+        return ""
+    branches = "|".join(re.escape(head) + _pattern(rest) for head, rest in sorted(tails.items()))
+    return f"(?:{branches})" + ("?" if "" in words else "")
+
+
+def _strings(values: Iterable[str]) -> Column:
+    return F.array(*[F.lit(value) for value in values])
 
-    The keyword tables share many entries. Matching each distinct keyword once
-    and reading the result from the array afterwards halves the passes over
-    the text. Matching is by substring: "unclear" holds "clear".
-    """
 
-    def __init__(self, keywords: Iterable[str], column: str = "_hits") -> None:
-        self.keywords = tuple(dict.fromkeys(keywords))
-        self.column = column
-        self._position = {keyword: i for i, keyword in enumerate(self.keywords)}
+def found_keywords(lowered: Column, keywords: Iterable[str]) -> Column:
+    """The distinct ones of ``keywords`` that are substrings of a lower-case text.
+
+    One pass over the text: at every position the longest keyword that starts
+    there is taken, then the shorter keywords that it begins with are added
+    ("errors" also holds "error"). "unclear" holds "clear", which starts later.
+    """
+    words = tuple(dict.fromkeys(keywords))
+    heads = "".join(sorted({re.escape(word[0]) for word in words}))
+    pattern = f"(?=({_pattern(set(words))}))[{heads}]"
+    longest = F.array_distinct(F.regexp_extract_all(lowered, F.lit(pattern), F.lit(1)))
+    begins = {word: [w for w in words if word.startswith(w)] for word in words}
+    table = F.create_map(*[c for word, held in begins.items() for c in (F.lit(word), _strings(held))])
+    return F.array_distinct(F.flatten(F.transform(longest, lambda word: F.try_element_at(table, word))))
 
-    def match(self, lowered: Column) -> Column:
-        return F.array(*[F.contains(lowered, F.lit(keyword)) for keyword in self.keywords])
 
-    def has(self, keyword: str) -> Column:
-        return F.col(self.column)[self._position[keyword]]
+def count_found(found: Column, keywords: Sequence[str]) -> Column:
+    return F.size(F.array_intersect(_strings(keywords), found))
 
-    def count(self, keywords: Sequence[str]) -> Column:
-        total = F.lit(0)
-        for keyword in keywords:
-            total = total + self.has(keyword).cast("int")
-        return total
 
-    def any(self, keywords: Sequence[str]) -> Column:
-        found = F.lit(False)
-        for keyword in keywords:
-            found = found | self.has(keyword)
-        return found
+def signal_labels(found: Column, table: Mapping[str, Sequence[str]]) -> Column:
+    """Labels with at least one keyword found, in table order."""
+    entries: dict[str, list[Column]] = {}
+    for i, (label, words) in enumerate(table.items()):
+        for word in words:
+            entries.setdefault(word, []).append(F.struct(F.lit(i).alias("position"), F.lit(label).alias("label")))
+    by_word = F.create_map(*[c for word, of in entries.items() for c in (F.lit(word), F.array(*of))])
+    held = F.array_intersect(_strings(entries), found)
+    labels = F.array_distinct(F.flatten(F.transform(held, lambda word: F.try_element_at(by_word, word))))
+    return F.transform(F.array_sort(labels), lambda entry: entry["label"])
 
-    def labels(self, table: Mapping[str, Sequence[str]]) -> Column:
-        """Labels with at least one keyword in the text, in table order."""
-        return F.array_compact(F.array(*[F.when(self.any(words), label) for label, words in table.items()]))
 
-    def phrases(self, table: Sequence[tuple[str, str]], most: int = K.MAX_LABELS) -> Column:
-        """Distinct labels of (keyword, label) pairs, in table order, at most ``most``."""
-        found = F.array_compact(F.array(*[F.when(self.has(word), label) for word, label in table]))
-        return F.slice(F.array_distinct(found), 1, most)
+def phrase_labels(found: Column, pairs: Sequence[tuple[str, str]], most: int = K.MAX_LABELS) -> Column:
+    """Distinct labels of (keyword, label) pairs, in table order, at most ``most``."""
+    by_word = F.create_map(*[F.lit(v) for pair in pairs for v in pair])
+    held = F.array_intersect(_strings([word for word, _ in pairs]), found)
+    return F.slice(F.array_distinct(F.transform(held, lambda word: F.try_element_at(by_word, word))), 1, most)
 
 
 def rule_keywords() -> list[str]:
@@ -58,14 +73,16 @@ def rule_keywords() -> list[str]:
     for positive, negative in K.ASPECT_KEYWORDS.values():
         keywords += positive + negative
     for table in (K.STRENGTH_SIGNALS, K.IMPROVEMENT_SIGNALS):
-        for members in table.values():
-            keywords += members
-    keywords += [keyword for keyword, _ in K.STRENGTH_PHRASES + K.IMPROVEMENT_PHRASES]
-    return keywords
+        keywords += table_keywords(table)
+    return keywords + phrase_keywords()
+
 
+def table_keywords(table: Mapping[str, Sequence[str]]) -> list[str]:
+    return [word for words in table.values() for word in words]
 
-def phrase_hits() -> KeywordHits:
-    return KeywordHits([keyword for keyword, _ in K.STRENGTH_PHRASES + K.IMPROVEMENT_PHRASES])
+
+def phrase_keywords() -> list[str]:
+    return [word for word, _ in K.STRENGTH_PHRASES + K.IMPROVEMENT_PHRASES]
 
 
 def aspect_record(positive: Column, negative: Column) -> Column:
@@ -106,13 +123,24 @@ def detect_by_keywords(
     lowered: Column, top_k: int = K.DETECT_TOP_K, threshold: float = K.DETECT_THRESHOLD
 ) -> Column:
     """Top aspects by the number of keywords found: 0.3 + 0.15 each, at most 0.95."""
-    scored = []
-    for aspect, keywords in K.DETECTOR_KEYWORDS.items():
-        matches = F.lit(0)
-        for keyword in keywords:
-            matches = matches + F.contains(lowered, F.lit(keyword)).cast("int")
-        score = F.least(F.lit(0.95), F.lit(0.3) + matches * F.lit(0.15))
-        scored.append(
-            F.struct(F.lit(aspect).alias("aspect"), F.when(matches > 0, score).otherwise(F.lit(-1.0)).alias("score"))
-        )
-    return top_aspects(F.array(*scored), top_k, max(threshold, 0.0))
+    found = found_keywords(lowered, table_keywords(K.DETECTOR_KEYWORDS))
+    positions: dict[str, list[int]] = {}
+    for i, keywords in enumerate(K.DETECTOR_KEYWORDS.values()):
+        for word in keywords:
+            positions.setdefault(word, []).append(i)
+    by_word = F.create_map(
+        *[c for word, of in positions.items() for c in (F.lit(word), F.array(*[F.lit(i) for i in of]))]
+    )
+    mentions = F.flatten(F.transform(found, lambda word: F.try_element_at(by_word, word)))
+    matches = F.aggregate(
+        mentions,
+        F.array_repeat(F.lit(0), len(K.DETECTOR_KEYWORDS)),
+        lambda counts, at: F.transform(counts, lambda n, i: n + (i == at).cast("int")),
+    )
+
+    def scored(n: Column, i: Column) -> Column:
+        score = F.least(F.lit(0.95), F.lit(0.3) + n * F.lit(0.15))
+        aspect = F.get(_strings(K.DETECTOR_KEYWORDS), i)
+        return F.struct(aspect.alias("aspect"), F.when(n > 0, score).otherwise(F.lit(-1.0)).alias("score"))
+
+    return top_aspects(F.transform(matches, scored), top_k, max(threshold, 0.0))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,13 +77,6 @@ def fingerprint(text: Column) -> Column:
     return F.sha2(F.lower(text_trim(text)), 256)
 
 
-def contains_any(lowered: Column, keywords: Sequence[str]) -> Column:
-    found = F.lit(False)
-    for keyword in keywords:
-        found = found | F.contains(lowered, F.lit(keyword))
-    return found
-
-
 def _whole_word(pattern: str) -> str:
     return f"{BEFORE_WORD}(?iu:{pattern}){AFTER_WORD}"
 

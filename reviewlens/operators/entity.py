@@ -56,7 +56,7 @@ def label_list(df: DataFrame, column: str) -> Column:
     return F.filter(parts, lambda label: label != "")
 
 
-def _facts(df: DataFrame) -> Column:
+def _facts(df: DataFrame, modes: list[str]) -> Column:
     """What one row contributes: itself, its subject and semester, each of its labels."""
 
     def fact(kind: str, item: Column, position: Column) -> Column:
@@ -66,7 +66,7 @@ def _facts(df: DataFrame) -> Column:
         return F.transform(labels, lambda label, i: fact(kind, label, i))
 
     single = [fact("row", F.lit(None).cast("string"), F.lit(0))]
-    single += [fact(c, F.col(c).cast("string"), F.lit(0)) for c in _MODES if c in df.columns]
+    single += [fact(c, F.col(c).cast("string"), F.lit(0)) for c in modes]
     lists = [F.array(*single)]
     for column, kind in _LISTS.items():
         if column in df.columns:
@@ -91,6 +91,7 @@ def summarise_groups(
     """
     df = df.where(F.col(key).isNotNull())
     first = F.col(order) if order in df.columns else F.lit(0).cast("bigint")
+    modes = [c for c in _MODES if c in df.columns and c != key]
     flags: dict[str, Column] = {}
     for label in K.SENTIMENTS:
         known = "sentiment_label" in df.columns
@@ -102,7 +103,7 @@ def summarise_groups(
         first.alias("_first"),
         *[G.fixed_point(F.col(m)).alias(f"_m_{m}") for m in measures],
         *[v.alias(f"_f_{n}") for n, v in flags.items()],
-        F.explode(_facts(df)).alias("_fact"),
+        F.explode(_facts(df, modes)).alias("_fact"),
     )
     of_row = F.col("_fact.kind") == "row"
     counted = spread.groupBy(
@@ -126,7 +127,7 @@ def summarise_groups(
         *[F.max(of("row", F.col(f"sum_{m}"))).alias(f"sum_{m}") for m in measures],
         *[F.max(of("row", F.col(f"count_{m}"))).alias(f"count_{m}") for m in measures],
         *[F.max(of("row", F.col(f"flag_{n}"))).alias(f"n_{n}") for n in flags],
-        *[F.max(F.when(F.col("place") == 1, of(c, F.col("item")))).alias(c) for c in _MODES],
+        *[F.max(F.when(F.col("place") == 1, of(c, F.col("item")))).alias(c) for c in _MODES if c != key],
         *[F.array_sort(F.collect_list(of(c, F.struct("place", "item")))).alias(c) for c in _LISTS.values()],
     )
     return grouped.select(
@@ -134,7 +135,7 @@ def summarise_groups(
         "n",
         *[G.mean_of(F.col(f"sum_{m}"), F.col(f"count_{m}")).alias(f"mean_{m}") for m in measures],
         *[f"n_{n}" for n in flags],
-        *_MODES,
+        *[c for c in _MODES if c != key],
         *[F.transform(c, lambda s: s["item"]).alias(c) for c in _LISTS.values()],
     )
 

@@ -28,13 +28,13 @@ DETAIL_TYPE = (
 )
 
 
-def with_rule_aspects(df: DataFrame, hits: A.KeywordHits, column: str = "aspect_detail") -> DataFrame:
-    """Add the map aspect -> record from the keyword hits of each text."""
+def with_rule_aspects(df: DataFrame, found: str, column: str = "aspect_detail") -> DataFrame:
+    """Add the map aspect -> record from the keywords found in each text."""
     counts = {}
     for i, aspect in enumerate(K.ASPECTS):
         positive, negative = K.ASPECT_KEYWORDS[aspect]
-        counts[f"_p{i}"] = hits.count(positive)
-        counts[f"_n{i}"] = hits.count(negative)
+        counts[f"_p{i}"] = A.count_found(F.col(found), positive)
+        counts[f"_n{i}"] = A.count_found(F.col(found), negative)
     df = df.withColumns(counts)
     entries: list[Column] = []
     for i, aspect in enumerate(K.ASPECTS):
@@ -73,9 +73,8 @@ def score_reviews(
     df = df.drop(*clashes)
     kept = list(df.columns)
 
-    hits = A.KeywordHits(A.rule_keywords())
     df = df.withColumn("_low", F.lower(T.text_trim(F.col(text))))
-    df = df.withColumn(hits.column, hits.match(F.col("_low")))
+    df = df.withColumn("_found", A.found_keywords(F.col("_low"), A.rule_keywords()))
 
     if config.probabilities:
         df = S.with_probability_sentiment(df, config.probabilities)
@@ -84,7 +83,7 @@ def score_reviews(
     if config.aspect_details:
         df = df.withColumn("aspect_detail", F.col(config.aspect_details))
     else:
-        df = with_rule_aspects(df, hits)
+        df = with_rule_aspects(df, "_found")
 
     # Aspects without a record fall back to the polarity.
     df = df.withColumns(
@@ -110,10 +109,10 @@ def score_reviews(
             "overall_score": F.round(clamp(overall, 0, 10), 2),
             "_best": _inferred(best, top >= K.INFER_STRENGTH_FROM),
             "_worst": _inferred(worst, bottom < K.INFER_IMPROVEMENT_BELOW),
-            "_strengths": hits.labels(K.STRENGTH_SIGNALS),
-            "_improvements": hits.labels(K.IMPROVEMENT_SIGNALS),
-            "_strength_phrases": hits.phrases(K.STRENGTH_PHRASES),
-            "_improvement_phrases": hits.phrases(K.IMPROVEMENT_PHRASES),
+            "_strengths": A.signal_labels(F.col("_found"), K.STRENGTH_SIGNALS),
+            "_improvements": A.signal_labels(F.col("_found"), K.IMPROVEMENT_SIGNALS),
+            "_strength_phrases": A.phrase_labels(F.col("_found"), K.STRENGTH_PHRASES),
+            "_improvement_phrases": A.phrase_labels(F.col("_found"), K.IMPROVEMENT_PHRASES),
         }
     )
     df = df.withColumns(
@@ -160,12 +159,11 @@ def detect_aspects(
 
 def extract_labels(df: DataFrame, text: str = "feedback_text") -> DataFrame:
     """Add ``strengths_list`` and ``improvements_list`` from the phrase tables alone."""
-    hits = A.phrase_hits()
-    df = df.withColumn("_low", F.lower(F.col(text)))
-    df = df.withColumn(hits.column, hits.match(F.col("_low")))
+    found = A.found_keywords(F.lower(F.col(text)), A.phrase_keywords())
+    df = df.withColumn("_found", found)
     return df.withColumns(
         {
-            "strengths_list": hits.phrases(K.STRENGTH_PHRASES),
-            "improvements_list": hits.phrases(K.IMPROVEMENT_PHRASES),
+            "strengths_list": A.phrase_labels(F.col("_found"), K.STRENGTH_PHRASES),
+            "improvements_list": A.phrase_labels(F.col("_found"), K.IMPROVEMENT_PHRASES),
         }
-    ).drop("_low", hits.column)
+    ).drop("_found")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens import constants as K
+from reviewlens.functions import aspects as A
 from reviewlens.functions import text as T
 from reviewlens.functions.grades import out_of_ten
 from reviewlens.operators.entity import summarise_groups
@@ -125,9 +126,7 @@ def _labels_by_aspect(labels: Column, table: Mapping[str, str], scores: list[Col
 
 
 def _mentioned(lowered: Column) -> Column:
-    return F.array_compact(
-        F.array(*[F.when(T.contains_any(lowered, words), aspect) for aspect, words in K.SENTENCE_KEYWORDS.items()])
-    )
+    return A.signal_labels(A.found_keywords(lowered, A.table_keywords(K.SENTENCE_KEYWORDS)), K.SENTENCE_KEYWORDS)
 
 
 def _sentence_pieces(comment: Column, strong: Column, weak: Column) -> Column:
