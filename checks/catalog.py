@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import duck as D
-from checks.views import reviews, score_lines, scored_lines, table
+from checks.views import reviews, score_lines, scored_lines, spread_table, table
 from reviewlens import constants as K
 from reviewlens.config import AggregationConfig, Lexicon, ScoringConfig
 from reviewlens.functions import aspects as A
@@ -777,7 +777,7 @@ def i4(spark, sf):
     {"prose": "select doc_id as review_id, lower(text) as low from documents", **D.token_ctes("pr_", "prose", "low", PROSE)},
 )
 def i4_custom(spark, sf):
-    df = table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), F.lower("text").alias("low"))
+    df = spread_table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), F.lower("text").alias("low"))
     return sentiment_columns(S.with_rule_sentiment(df, "low", PROSE))
 
 
@@ -1026,7 +1026,7 @@ K3_PROSE = {"prose": "select doc_id as review_id, lower(text) as low from docume
 
 @query("k3_score_raw_prose", "select review_id, label as sentiment_label, is_mixed, round(confidence, 4) as confidence from pr_sent", K3_PROSE)
 def k3_prose(spark, sf):
-    df = table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), F.col("text").alias("feedback_text"))
+    df = spread_table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), F.col("text").alias("feedback_text"))
     result = score_reviews(df, config=ScoringConfig(lexicon=PROSE))
     return result.select("review_id", "sentiment_label", "is_mixed", "confidence")
 

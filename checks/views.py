@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens import constants as K
-from reviewlens.sources.reviews import semester
+from reviewlens.sources.reviews import load_parquet, semester
 
 # Sample sentences plus some with student mentions, negations and accents.
 SENTENCES = (
@@ -33,6 +33,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return load_parquet(spark, f"{sf}/{name}.parquet")
+
+
 def _sentence(position: Column) -> Column:
     return F.get(F.array(*[F.lit(s) for s in SENTENCES]), position.cast("int"))
 
@@ -40,7 +44,7 @@ def _sentence(position: Column) -> Column:
 def reviews(spark: SparkSession, sf: str) -> DataFrame:
     """All documents as reviews, and a blank review for every label marked toxic."""
     n = len(SENTENCES)
-    documents = table(spark, sf, "documents").select(
+    documents = spread_table(spark, sf, "documents").select(
         F.col("doc_id").alias("review_id"),
         F.concat_ws(
             " ", _sentence(F.col("n_chars") % n), "text", _sentence(F.expr(f"n_chars div {n}") % n)
@@ -80,7 +84,7 @@ REVIEWS_SQL = """
 
 
 def scored_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return score_lines(table(spark, sf, "lineitem"))
+    return score_lines(spread_table(spark, sf, "lineitem"))
 
 
 def score_lines(lines: DataFrame) -> DataFrame:

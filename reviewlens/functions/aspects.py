@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from reviewlens import constants as K
 from reviewlens.functions.grades import clamp
+from reviewlens.functions.literals import quoted, sql_array, sql_map, string_array, string_map
 
 
 def _pattern(words: set[str]) -> str:
@@ -24,10 +25,6 @@ def _pattern(words: set[str]) -> str:
     return f"(?:{branches})" + ("?" if "" in words else "")
 
 
-def _strings(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(value) for value in values])
-
-
 def found_keywords(lowered: Column, keywords: Iterable[str]) -> Column:
     """The distinct ones of ``keywords`` that are substrings of a lower-case text.
 
@@ -39,31 +36,30 @@ def found_keywords(lowered: Column, keywords: Iterable[str]) -> Column:
     heads = "".join(sorted({re.escape(word[0]) for word in words}))
     pattern = f"(?=({_pattern(set(words))}))[{heads}]"
     longest = F.array_distinct(F.regexp_extract_all(lowered, F.lit(pattern), F.lit(1)))
-    begins = {word: [w for w in words if word.startswith(w)] for word in words}
-    table = F.create_map(*[c for word, held in begins.items() for c in (F.lit(word), _strings(held))])
+    table = sql_map({word: sql_array(quoted(w) for w in words if word.startswith(w)) for word in words})
     return F.array_distinct(F.flatten(F.transform(longest, lambda word: F.try_element_at(table, word))))
 
 
 def count_found(found: Column, keywords: Sequence[str]) -> Column:
-    return F.size(F.array_intersect(_strings(keywords), found))
+    return F.size(F.array_intersect(string_array(keywords), found))
 
 
 def signal_labels(found: Column, table: Mapping[str, Sequence[str]]) -> Column:
     """Labels with at least one keyword found, in table order."""
-    entries: dict[str, list[Column]] = {}
+    entries: dict[str, list[str]] = {}
     for i, (label, words) in enumerate(table.items()):
         for word in words:
-            entries.setdefault(word, []).append(F.struct(F.lit(i).alias("position"), F.lit(label).alias("label")))
-    by_word = F.create_map(*[c for word, of in entries.items() for c in (F.lit(word), F.array(*of))])
-    held = F.array_intersect(_strings(entries), found)
+            entries.setdefault(word, []).append(f"named_struct('position', {i}, 'label', {quoted(label)})")
+    by_word = sql_map({word: sql_array(of) for word, of in entries.items()})
+    held = F.array_intersect(string_array(entries), found)
     labels = F.array_distinct(F.flatten(F.transform(held, lambda word: F.try_element_at(by_word, word))))
     return F.transform(F.array_sort(labels), lambda entry: entry["label"])
 
 
 def phrase_labels(found: Column, pairs: Sequence[tuple[str, str]], most: int = K.MAX_LABELS) -> Column:
     """Distinct labels of (keyword, label) pairs, in table order, at most ``most``."""
-    by_word = F.create_map(*[F.lit(v) for pair in pairs for v in pair])
-    held = F.array_intersect(_strings([word for word, _ in pairs]), found)
+    by_word = string_map(dict(pairs))
+    held = F.array_intersect(string_array(word for word, _ in pairs), found)
     return F.slice(F.array_distinct(F.transform(held, lambda word: F.try_element_at(by_word, word))), 1, most)
 
 
@@ -124,13 +120,11 @@ def detect_by_keywords(
 ) -> Column:
     """Top aspects by the number of keywords found: 0.3 + 0.15 each, at most 0.95."""
     found = found_keywords(lowered, table_keywords(K.DETECTOR_KEYWORDS))
-    positions: dict[str, list[int]] = {}
+    positions: dict[str, list[str]] = {}
     for i, keywords in enumerate(K.DETECTOR_KEYWORDS.values()):
         for word in keywords:
-            positions.setdefault(word, []).append(i)
-    by_word = F.create_map(
-        *[c for word, of in positions.items() for c in (F.lit(word), F.array(*[F.lit(i) for i in of]))]
-    )
+            positions.setdefault(word, []).append(str(i))
+    by_word = sql_map({word: sql_array(of) for word, of in positions.items()})
     mentions = F.flatten(F.transform(found, lambda word: F.try_element_at(by_word, word)))
     matches = F.aggregate(
         mentions,
@@ -140,7 +134,7 @@ def detect_by_keywords(
 
     def scored(n: Column, i: Column) -> Column:
         score = F.least(F.lit(0.95), F.lit(0.3) + n * F.lit(0.15))
-        aspect = F.get(_strings(K.DETECTOR_KEYWORDS), i)
+        aspect = F.get(string_array(K.DETECTOR_KEYWORDS), i)
         return F.struct(aspect.alias("aspect"), F.when(n > 0, score).otherwise(F.lit(-1.0)).alias("score"))
 
     return top_aspects(F.transform(matches, scored), top_k, max(threshold, 0.0))

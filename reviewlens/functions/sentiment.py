@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reviewlens import constants as K
 from reviewlens.config import Lexicon
 from reviewlens.functions import text as T
+from reviewlens.functions.literals import quoted
 
 # A token becomes one digit: 3 x polarity (0 none, 1 positive, 2 negative) plus
 # role (0 none, 1 negation, 2 intensifier). What matters about a text is then a
@@ -17,7 +18,8 @@ _NEGATED = "(?<=[147].?)"
 _INTENSIFIED = "(?<=[258].?)"
 
 
-def _token_digit(token: Column, lexicon: Lexicon) -> Column:
+def token_digits(tokens: str, lexicon: Lexicon) -> Column:
+    """The digit string of the token array in column ``tokens``."""
     digits: dict[int, list[str]] = {}
     for word in dict.fromkeys(
         lexicon.positive + lexicon.negative + lexicon.negations + lexicon.intensifiers
@@ -25,14 +27,10 @@ def _token_digit(token: Column, lexicon: Lexicon) -> Column:
         polarity = 1 if word in lexicon.positive else 2 if word in lexicon.negative else 0
         role = 1 if word in lexicon.negations else 2 if word in lexicon.intensifiers else 0
         digits.setdefault(3 * polarity + role, []).append(word)
-    expression = F
-    for digit, members in digits.items():
-        expression = expression.when(token.isin(members), str(digit))
-    return expression.otherwise("0")
-
-
-def token_digits(lowered: Column, lexicon: Lexicon) -> Column:
-    return F.array_join(F.transform(T.tokens(lowered), lambda t: _token_digit(t, lexicon)), "")
+    cases = " ".join(
+        f"when token in ({', '.join(quoted(w) for w in members)}) then '{digit}'" for digit, members in digits.items()
+    )
+    return F.expr(f"array_join(transform({tokens}, token -> case {cases} else '0' end), '')")
 
 
 def _weights(digits: Column, polarity: str) -> tuple[Column, Column]:
@@ -55,7 +53,8 @@ def polarity_score(positive: Column, negative: Column) -> Column:
 def with_rule_sentiment(df: DataFrame, lowered: str, lexicon: Lexicon | None = None) -> DataFrame:
     """Add ``sentiment_label``, ``sentiment_probs``, ``polarity``, ``confidence`` and ``is_mixed``."""
     lexicon = lexicon or Lexicon()
-    df = df.withColumn("_digits", token_digits(F.col(lowered), lexicon))
+    df = df.withColumn("_tokens", T.tokens(F.col(lowered)))
+    df = df.withColumn("_digits", token_digits("_tokens", lexicon)).drop("_tokens")
     digits = F.col("_digits")
     positive, negated_positive = _weights(digits, "positive")
     negative, negated_negative = _weights(digits, "negative")

@@ -77,10 +77,6 @@ def fingerprint(text: Column) -> Column:
     return F.sha2(F.lower(text_trim(text)), 256)
 
 
-def _whole_word(pattern: str) -> str:
-    return f"{BEFORE_WORD}(?iu:{pattern}){AFTER_WORD}"
-
-
 _SPEECH = "(says|commented|noted|notices|noticed|feels|feel|thinks|thought|writes|wrote)"
 
 # Patterns and replacements (fixed values, applied in this order). White space is
@@ -100,17 +96,25 @@ ANONYMOUS_PATTERNS = (
     ("we", "feedback"),
 )
 CASE_SENSITIVE_PATTERNS = ("I",)
+# Letters that equal an ASCII letter when case is ignored.
+_CASE_TWINS = {"i": "\u0130\u0131", "s": "\u017f"}
+
+
+def _whole_words(pattern: str) -> str:
+    """The pattern between word boundaries; its possible first letters are checked before all else."""
+    body = pattern.replace(" ", f"{SPACE}+")
+    if pattern in CASE_SENSITIVE_PATTERNS:
+        return f"(?={pattern[0]}){BEFORE_WORD}{body}{AFTER_WORD}"
+    alternatives = pattern[1 : pattern.index(")")].split("|") if pattern.startswith("(") else [pattern]
+    letters = {a[0].lower() for a in alternatives}
+    heads = "".join(sorted(c + c.upper() + _CASE_TWINS.get(c, "") for c in letters))
+    return f"(?=[{heads}]){BEFORE_WORD}(?iu:{body}){AFTER_WORD}"
 
 
 def anonymise(text: Column) -> Column:
     """Replace mentions of single students and first-person wording."""
     for pattern, replacement in ANONYMOUS_PATTERNS:
-        body = pattern.replace(" ", f"{SPACE}+")
-        if pattern in CASE_SENSITIVE_PATTERNS:
-            body = f"{BEFORE_WORD}{body}{AFTER_WORD}"
-        else:
-            body = _whole_word(body)
-        text = F.regexp_replace(text, body, replacement)
+        text = F.regexp_replace(text, _whole_words(pattern), replacement)
     return text_trim(text)
 
 

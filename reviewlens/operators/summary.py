@@ -11,6 +11,7 @@ from reviewlens import constants as K
 from reviewlens.functions import aspects as A
 from reviewlens.functions import text as T
 from reviewlens.functions.grades import out_of_ten
+from reviewlens.functions.literals import string_map
 from reviewlens.operators.entity import summarise_groups
 from reviewlens.operators.score import extract_labels
 from reviewlens.operators.skew import first_per_group, lookup_join
@@ -79,10 +80,6 @@ def top_labels(df: DataFrame, by: str, text: str = "feedback_text", order: str =
     return summarise_groups(labelled, by, [], order).select(by, "n", "strengths", "improvements")
 
 
-def _literal_map(table: Mapping[str, str]) -> Column:
-    return F.create_map(*[F.lit(v) for pair in table.items() for v in pair])
-
-
 def _aspect_scores(scale: float) -> list[Column]:
     return [out_of_ten(F.col(c) * F.lit(float(scale))) for c in K.SCORE_COLUMNS]
 
@@ -114,7 +111,7 @@ def strong_aspects(ordered: Column) -> Column:
 def _labels_by_aspect(labels: Column, table: Mapping[str, str], scores: list[Column], best_first: bool) -> Column:
     """The three labels whose aspects score highest (or lowest); unknown labels count as 5."""
     score_of = F.create_map(*[v for a, s in zip(K.ASPECTS, scores) for v in (F.lit(a), s)])
-    aspect_of = _literal_map(table)
+    aspect_of = string_map(table)
 
     def keyed(label: Column, i: Column) -> Column:
         aspect = F.coalesce(F.try_element_at(aspect_of, label), F.lit(""))
@@ -129,26 +126,26 @@ def _mentioned(lowered: Column) -> Column:
     return A.signal_labels(A.found_keywords(lowered, A.table_keywords(K.SENTENCE_KEYWORDS)), K.SENTENCE_KEYWORDS)
 
 
-def _sentence_pieces(comment: Column, strong: Column, weak: Column) -> Column:
-    """The first two sentences of each class: 1 strong only, 2 weak only, 3 neither or both."""
+def _classified_sentences(comment: Column, strong: str, weak: str) -> Column:
+    """Sentences of a comment with their class: 1 strong only, 2 weak only, 3 neither or both."""
 
-    def classified(sentence: Column, i: Column) -> Column:
+    def mentions(sentence: Column, i: Column) -> Column:
         return F.struct(i.alias("position"), sentence.alias("piece"), _mentioned(F.lower(sentence)).alias("mentioned"))
 
-    found = F.transform(T.sentences(comment, 15), classified)
-
-    def piece(entry: Column) -> Column:
-        praised = F.arrays_overlap(entry["mentioned"], strong)
-        criticised = F.arrays_overlap(entry["mentioned"], weak)
+    def classified(entry: Column) -> Column:
+        praised = F.arrays_overlap(entry["mentioned"], F.col(strong))
+        criticised = F.arrays_overlap(entry["mentioned"], F.col(weak))
         kind = F.when(praised & ~criticised, 1).when(criticised & ~praised, 2).otherwise(3)
         return F.struct(kind.alias("kind"), entry["position"].alias("position"), entry["piece"].alias("piece"))
 
-    pieces = F.transform(found, piece)
+    return F.transform(F.transform(T.sentences(comment, 15), mentions), classified)
 
+
+def _first_two_per_class(pieces: str) -> Column:
     def first_two(kind: int) -> Column:
         return F.slice(F.filter(pieces, lambda p: p["kind"] == kind), 1, 2)
 
-    return F.concat(first_two(1), first_two(2), first_two(3))
+    return F.concat(*[first_two(kind) for kind in (1, 2, 3)])
 
 
 def _whole_piece(comment: Column) -> Column:
@@ -194,9 +191,9 @@ def summarise_entities(
     comments = lookup_join(comments, wanted, entity, "_n", F.col(order)).where(F.col("n").isNotNull())
     comments = comments.withColumn("_anonymous", T.anonymise(F.col(text)))
     few = F.col("n") < LOW_VOLUME
-    pieces = F.when(few, _whole_piece(F.col("_anonymous"))).otherwise(
-        _sentence_pieces(F.col("_anonymous"), F.col("strong"), F.col("weak"))
-    )
+    sentences = F.when(~few, _classified_sentences(F.col("_anonymous"), "strong", "weak"))
+    comments = comments.withColumn("_sentences", sentences)
+    pieces = F.when(few, _whole_piece(F.col("_anonymous"))).otherwise(_first_two_per_class("_sentences"))
     spread_pieces = comments.select(entity, order, F.explode(pieces).alias("p"))
     spread_pieces = spread_pieces.select(entity, order, "p.kind", "p.position", "p.piece")
     # Of whole comments there are at most four per entity, of each sentence class two are enough.

@@ -27,6 +27,19 @@ DATE_FORMATS = (
 )
 
 
+def load_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A Parquet table for text work, which takes far more time than reading.
+
+    Spark cuts a file into pieces by size, but a row group is read as a whole:
+    a table of a few files may keep a few tasks busy only. Such a table is
+    dealt out to all cores. A large table has enough files and is read as it is.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    small = df.rdd.getNumPartitions() <= 4 * cores and len(df.inputFiles()) * 2 <= cores
+    return df.repartition(cores) if small else df
+
+
 def _read_csv(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     return reader.option("encoding", encoding).csv(paths)
