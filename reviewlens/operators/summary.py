@@ -19,18 +19,18 @@ from reviewlens.session import materialise
 
 LOW_VOLUME = 5
 _NO_TEXTS = "array<string>"
-# A comment of n characters takes n + 1 of the input, with the blank that follows.
+# k comments of n characters make k * (n + 1) - 1 characters, with the blanks between them.
 _LONG = 6
-_ROWS_OF_LONG = -(-K.SUMMARY_INPUT_CHARS // (_LONG + 1))
-_ROWS_OF_ANY = -(-K.SUMMARY_INPUT_CHARS // 2)
+_ROWS_OF_LONG = -(-(K.SUMMARY_INPUT_CHARS + 1) // (_LONG + 1))
+_ROWS_OF_ANY = -(-(K.SUMMARY_INPUT_CHARS + 1) // 2)
 
 
 def joined_comments(df: DataFrame, by: str, text: str = "feedback_text", order: str = "review_id") -> DataFrame:
     """The comments of each group in order, joined by blanks and cut at 3500 characters.
 
     Only the rows that can reach the cut are brought together: of comments with
-    six characters or more the first 500 always fill it, of shorter ones the
-    first 1750.
+    six characters or more the first 501 always fill it, of shorter ones the
+    first 1751.
     """
     trimmed = T.text_trim(F.col(text))
     rows = df.select(by, order, F.substring(trimmed, 1, K.SUMMARY_INPUT_CHARS).alias("_text"))
