@@ -21,8 +21,10 @@ def _pattern(words: set[str]) -> str:
             tails.setdefault(word[0], set()).add(word[1:])
     if not tails:
         return ""
-    branches = "|".join(re.escape(head) + _pattern(rest) for head, rest in sorted(tails.items()))
-    return f"(?:{branches})" + ("?" if "" in words else "")
+    branches = [re.escape(head) + _pattern(rest) for head, rest in sorted(tails.items())]
+    if "" in words:
+        return f"(?:{'|'.join(branches)})?"
+    return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
 
 
 def found_keywords(lowered: Column, keywords: Iterable[str]) -> Column:

@@ -140,7 +140,8 @@ def aspect_frequency(detected: DataFrame, column: str = "aspects") -> DataFrame:
     """Mentions per aspect; the eight dashboard aspects are listed even without any."""
     spark = detected.sparkSession
     listed = spark.createDataFrame([(a, 0) for a in K.DASHBOARD_ASPECTS], "aspect string, mentions bigint")
-    mentioned = detected.select(F.explode(F.col(column)["aspect"]).alias("aspect"))
+    names = F.transform(column, lambda found: found["aspect"])
+    mentioned = detected.select(F.explode(names).alias("aspect"))
     counted = mentioned.groupBy("aspect").agg(F.count("*").alias("mentions"))
     return counted.unionByName(listed).groupBy("aspect").agg(F.sum("mentions").alias("mentions"))
 

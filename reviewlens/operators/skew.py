@@ -13,8 +13,8 @@ BROADCAST_ROWS = 100_000
 HOT_KEYS = 2_000
 # Ranking up to so many rows is one sorted task; above, ranges are ranked in parallel.
 SINGLE_TASK_ROWS = 1_000_000
-# Spark limits rows per group before the shuffle up to this many (its default threshold).
-GROUP_LIMIT = 1_000
+# Map tasks keep this many rows per group at most before salted parts of a group are limited first.
+DIRECT_LIMIT = 100
 _SALTS = 64
 _ROW_BITS = 33
 
@@ -50,11 +50,11 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, weight: str, spread
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column], most: int, unique: str) -> DataFrame:
     """The first ``most`` rows of every group, with ``_rank``.
 
-    Up to 1000 rows Spark cuts each group inside the map tasks already. Larger
-    limits are first applied to salted parts of each group, so that no task
-    gets a whole large group.
+    Spark applies small limits inside the map tasks already, which leaves
+    ``most`` rows per group and task. Larger limits are applied to salted parts
+    of each group first, so that not all of these rows meet in one task.
     """
-    if most > GROUP_LIMIT:
+    if most > DIRECT_LIMIT:
         salted = df.withColumn("_salt", F.pmod(F.xxhash64(unique), F.lit(_SALTS)))
         parts = Window.partitionBy(*keys, "_salt").orderBy(*order)
         df = salted.withColumn("_rank", F.row_number().over(parts)).where(F.col("_rank") <= most)

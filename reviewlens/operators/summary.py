@@ -25,19 +25,24 @@ _ROWS_OF_LONG = -(-(K.SUMMARY_INPUT_CHARS + 1) // (_LONG + 1))
 _ROWS_OF_ANY = -(-(K.SUMMARY_INPUT_CHARS + 1) // 2)
 
 
-def joined_comments(df: DataFrame, by: str, text: str = "feedback_text", order: str = "review_id") -> DataFrame:
+def joined_comments(
+    df: DataFrame, by: str, text: str = "feedback_text", order: str = "review_id", cleaned: bool = False
+) -> DataFrame:
     """The comments of each group in order, joined by blanks and cut at 3500 characters.
 
     Only the rows that can reach the cut are brought together: of comments with
     six characters or more the first 501 always fill it, of shorter ones the
-    first 1751.
+    first 1751. Tables from ``clean_reviews`` have no shorter ones, and with
+    ``cleaned`` the pass that looks for them is left out.
     """
     trimmed = T.text_trim(F.col(text))
     rows = df.select(by, order, F.substring(trimmed, 1, K.SUMMARY_INPUT_CHARS).alias("_text"))
     rows = rows.where((F.col("_text") != "") & F.col(by).isNotNull())
     long = first_per_group(rows.where(F.length("_text") >= _LONG), [by], [F.col(order)], _ROWS_OF_LONG, order)
-    short = first_per_group(rows.where(F.length("_text") < _LONG), [by], [F.col(order)], _ROWS_OF_ANY, order)
-    kept = long.unionByName(short)
+    kept = long
+    if not cleaned:
+        short = first_per_group(rows.where(F.length("_text") < _LONG), [by], [F.col(order)], _ROWS_OF_ANY, order)
+        kept = long.unionByName(short)
     collected = kept.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, "_text"))).alias("_rows"))
     joined = F.array_join(F.transform("_rows", lambda r: r["_text"]), " ")
     return collected.select(by, F.substring(joined, 1, K.SUMMARY_INPUT_CHARS).alias("combined"))
@@ -50,12 +55,12 @@ def extractive_summary(combined: Column) -> Column:
 
 
 def summarise_feedback(
-    df: DataFrame, by: str | None = None, text: str = "feedback_text", order: str = "review_id"
+    df: DataFrame, by: str | None = None, text: str = "feedback_text", order: str = "review_id", cleaned: bool = False
 ) -> DataFrame:
     """Summary of all comments, or of each group's; always one row without groups."""
     key = by or "_all"
     rows = df if by else df.withColumn(key, F.lit("all"))
-    summaries = joined_comments(rows, key, text, order).select(key, extractive_summary(F.col("combined")).alias("summary"))
+    summaries = joined_comments(rows, key, text, order, cleaned).select(key, extractive_summary(F.col("combined")).alias("summary"))
     if by:
         return summaries
     # A comment table without any text still gets its row, an empty one gets the message.

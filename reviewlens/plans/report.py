@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reviewlens import constants as K
 from reviewlens.config import AggregationConfig
 from reviewlens.operators.entity import aggregate_from_scores
-from reviewlens.operators.summary import refresh_summaries
+from reviewlens.operators.summary import refresh_summaries, summarise_entities
 
 REPORT_COLUMNS = (
     "Teacher Name", "Subject", "Total Reviews", "Overall Score (0-100)", "Grade", "Descriptor",
@@ -32,7 +32,10 @@ def summary_report(
     entity = "teacher_name"
     entities = aggregate_from_scores(scored, config, entity, order)
     if run_summarizer:
-        summaries = refresh_summaries(scored, entities, cache, entity, order=order, scale=10.0)
+        if cache is None:
+            summaries = summarise_entities(scored, entities, entity, order=order, scale=10.0)
+        else:
+            summaries = refresh_summaries(scored, entities, cache, entity, order=order, scale=10.0)
         rows = entities.join(summaries.select(
             entity, "summary", F.col("strengths").alias("_s"), F.col("improvements").alias("_i")
         ), entity, "left")

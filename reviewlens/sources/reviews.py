@@ -40,30 +40,35 @@ def load_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return df.repartition(cores) if small else df
 
 
-def _read_csv(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def _read_csv(spark: SparkSession, paths: list[str], encoding: str, multi_line: bool) -> DataFrame:
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     return reader.option("encoding", encoding).csv(paths)
 
 
-def undecodable_files(spark: SparkSession, path: str | list[str]) -> list[str]:
-    """The files that are not valid UTF-8."""
-    content = spark.read.format("binaryFile").load(path)
-    return [r["path"] for r in content.where(~F.is_valid_utf8("content")).select("path").collect()]
+def file_encodings(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """The files by encoding: UTF-8 unless a line is not valid, then Latin-1."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    files = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("valid")).collect()
+    encodings: dict[str, list[str]] = {}
+    for row in sorted(files, key=lambda r: r["file"]):
+        encodings.setdefault("UTF-8" if row["valid"] else "ISO-8859-1", []).append(row["file"])
+    return encodings
 
 
-def load_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def load_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
     """Cleaned reviews from CSV files with a header.
 
     Values are read as text and cast leniently afterwards. Files that are not
     valid UTF-8 are read as Latin-1; they are found by a scan of the files, of
-    which only names come back.
+    which only names come back. With ``multi_line`` quoted values may hold line
+    breaks and every file is one task; without, large files are cut.
     """
-    names = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
-    broken = set(undecodable_files(spark, path))
-    parts = []
-    for encoding, files in (("UTF-8", [n for n in names if n not in broken]), ("ISO-8859-1", sorted(broken))):
-        if files:
-            parts.append(normalise_columns(_read_csv(spark, files, encoding)))
+    parts = [
+        normalise_columns(_read_csv(spark, files, encoding, multi_line))
+        for encoding, files in file_encodings(spark, path).items()
+    ]
+    if not parts:
+        raise ValueError(f"No rows in {path}.")
     df = parts[0]
     for part in parts[1:]:
         df = df.unionByName(part, allowMissingColumns=True)
@@ -100,26 +105,31 @@ def lenient_timestamp(value: Column) -> Column:
     return F.coalesce(*parsed).cast("timestamp_ntz")
 
 
-def with_normalised_rating(df: DataFrame) -> DataFrame:
-    """Ratings as numbers, and on a 0-100 scale when the highest is 10 or less."""
+def with_normalised_rating(df: DataFrame, highest: float | None = None) -> DataFrame:
+    """Ratings as numbers, and on a 0-100 scale when the highest is 10 or less.
+
+    The highest rating is looked up in a first pass over the rows, unless given.
+    """
     df = df.withColumn("rating", F.col("rating").try_cast("double"))
     df = df.withColumn("rating", F.when(~F.isnan("rating"), F.col("rating")))
-    highest = df.agg(F.max("rating")).scalar()
-    df = df.withColumn("_highest", highest)
+    df = df.withColumn("_highest", df.agg(F.max("rating")).scalar() if highest is None else F.lit(float(highest)))
     scalable = (F.col("_highest") != 0) & (F.col("_highest") <= 10)
     scaled = F.when(scalable, F.round(F.col("rating") / F.col("_highest") * 100, 1)).otherwise(F.col("rating"))
     return df.withColumn("rating_normalized", scaled).drop("_highest")
 
 
-def clean_reviews(df: DataFrame) -> DataFrame:
-    """Drop empty rows and texts of five characters or less; parse dates and ratings if present."""
+def clean_reviews(df: DataFrame, highest_rating: float | None = None) -> DataFrame:
+    """Drop empty rows and texts of five characters or less; parse dates and ratings if present.
+
+    Ratings are scaled by the highest one of the kept rows, unless it is given.
+    """
     df = with_text_column(normalise_columns(df.na.drop("all")))
     df = df.withColumn("feedback_text", T.text_trim(F.col("feedback_text").cast("string")))
     df = df.where(F.length("feedback_text") > 5)
     if "date" in df.columns and isinstance(df.schema["date"].dataType, types.StringType):
         df = df.withColumn("date", lenient_timestamp(F.col("date")))
     if "rating" in df.columns:
-        df = with_normalised_rating(df)
+        df = with_normalised_rating(df, highest_rating)
     return df
 
 
@@ -130,8 +140,8 @@ def with_review_id(df: DataFrame) -> DataFrame:
 
 def reviews_from_lines(df: DataFrame, block: str, entity: str) -> DataFrame:
     """One review per non-empty line of each text block, with the line's position."""
-    lines = df.withColumn("_lines", F.split(block, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"))
-    spread = lines.select(*[c for c in df.columns if c != block], F.posexplode("_lines").alias("line", "feedback_text"))
+    lines = F.split(block, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+    spread = df.select(*[c for c in df.columns if c != block], F.posexplode(lines).alias("line", "feedback_text"))
     spread = spread.withColumn("feedback_text", T.text_trim(F.col("feedback_text")))
     named = F.when(F.col(entity) != "", F.col(entity)).otherwise("Teacher A")
     return spread.where(F.col("feedback_text") != "").withColumn("teacher_name", named)
