@@ -239,7 +239,7 @@ def a14(spark, sf):
 DETAILS_SQL = ", ".join(
     f"case when low <> '' then s{i} end as score_{i}, case when low <> '' then r{i} end as relevance_{i}, "
     f"case when low <> '' then ps{i} end as positive_{i}, case when low <> '' then ns{i} end as negative_{i}, "
-    f"case when low <> '' then d{i} end as detected_{i}"
+    f"case when low <> '' then d{i} else false end as detected_{i}"
     for i in range(5)
 )
 SCORED_SQL = ", ".join(SCORED) + (
@@ -256,7 +256,7 @@ def b1(spark, sf):
         detail += [
             record["score_10"].alias(f"score_{i}"), record["relevance"].alias(f"relevance_{i}"),
             record["positive_sim"].alias(f"positive_{i}"), record["negative_sim"].alias(f"negative_{i}"),
-            record["detected"].alias(f"detected_{i}"),
+            F.coalesce(record["detected"], F.lit(False)).alias(f"detected_{i}"),
         ]
     probs = [F.col(f"sentiment_probs.{n}").alias(a) for n, a in zip(K.SENTIMENTS, ("p_pos", "p_neu", "p_neg"))]
     return df.select("review_id", *SCORED, "strengths_list", "improvements_list", "polarity", *probs, *detail)
@@ -1021,6 +1021,33 @@ def k3(spark, sf):
     return flat(scored(spark, sf)).select("review_id", *SCORED, "strengths_list", "improvements_list")
 
 
+VECTOR_SCORES_SQL = "select vec_id as review_id, " + ", ".join(
+    f"max(s) filter (where aspect = {i}) / 10000::double as s{i}, max(greatest(p, n)) filter (where aspect = {i}) / 10000::double as r{i}"
+    for i in range(5)
+) + f" from (select * from ({CHUNK_SQL.replace('select review_id', 'select vec_id', 1)})) group by vec_id"
+VECTOR_BLENDS_SQL = "select l.review_id, l.low, s.label, " + ", ".join(
+    D.blend("s.polarity", f"coalesce(v.s{i}, s.polarity)", f"coalesce(v.r{i}, 0::double)") + f" as b{i}" for i in range(5)
+) + " from low l join sent s using (review_id) left join vector_scores v using (review_id)"
+
+
+@query(
+    "k2_score_with_vectors",
+    "select review_id, case when low <> '' then label else 'Neutral' end as sentiment_label, "
+    + ", ".join(f"case when low <> '' then round(b{i}, 2) else 0::double end as {c}" for i, c in enumerate(COLS))
+    + ", case when low <> '' then round("
+    + D.clamp("0::double + " + " + ".join(f"b{i} * {D.num(K.REVIEW_WEIGHTS[a])}" for i, a in enumerate(K.ASPECTS)), 0, 10)
+    + ", 2) else 0::double end as overall_score from vector_blends",
+    {"anchors": ANCHOR_SQL, "sims": SIMS_SQL, "by_pole": POLES_SQL, "vector_scores": VECTOR_SCORES_SQL, "vector_blends": VECTOR_BLENDS_SQL},
+)
+def k2(spark, sf):
+    """Embeddings of the documents of the same number; documents without one fall back to the polarity."""
+    chunks = table(spark, sf, "embeddings").select(F.col("vec_id").alias("review_id"), "embedding")
+    details = vectors.score_aspect_vectors(chunks, anchors(spark, sf)).withColumnRenamed("aspect_detail", "found_aspects")
+    joined = reviews(spark, sf).join(details, "review_id", "left")
+    result = score_reviews(joined, config=ScoringConfig(aspect_details="found_aspects"))
+    return result.select("review_id", "sentiment_label", *COLS, "overall_score")
+
+
 K3_PROSE = {"prose": "select doc_id as review_id, lower(text) as low from documents", **D.token_ctes("pr_", "prose", "low", PROSE)}
 
 

@@ -13,6 +13,13 @@ from reviewlens.functions.grades import clamp
 from reviewlens.functions.literals import quoted, sql_array, sql_map, string_array, string_map
 
 
+_HEADS_PER_BRANCH = 6
+
+
+def _class(letters: Iterable[str]) -> str:
+    return f"[{''.join(re.escape(letter) for letter in letters)}]"
+
+
 def _pattern(words: set[str]) -> str:
     """Regular expression of the longest of ``words``, with common beginnings factored out."""
     tails: dict[str, set[str]] = {}
@@ -35,8 +42,13 @@ def found_keywords(lowered: Column, keywords: Iterable[str]) -> Column:
     ("errors" also holds "error"). "unclear" holds "clear", which starts later.
     """
     words = tuple(dict.fromkeys(keywords))
-    heads = "".join(sorted({re.escape(word[0]) for word in words}))
-    pattern = f"(?=({_pattern(set(words))}))[{heads}]"
+    heads = sorted({word[0] for word in words})
+    # A few letters per branch: most positions are ruled out by a handful of letter classes.
+    branches = []
+    for i in range(0, len(heads), _HEADS_PER_BRANCH):
+        some = heads[i : i + _HEADS_PER_BRANCH]
+        branches.append(f"(?={_class(some)}){_pattern({w for w in words if w[0] in some})}")
+    pattern = f"(?=({'|'.join(branches)})){_class(heads)}"
     longest = F.array_distinct(F.regexp_extract_all(lowered, F.lit(pattern), F.lit(1)))
     table = sql_map({word: sql_array(quoted(w) for w in words if word.startswith(w)) for word in words})
     return F.array_distinct(F.flatten(F.transform(longest, lambda word: F.try_element_at(table, word))))

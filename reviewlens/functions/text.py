@@ -100,15 +100,27 @@ CASE_SENSITIVE_PATTERNS = ("I",)
 _CASE_TWINS = {"i": "\u0130\u0131", "s": "\u017f"}
 
 
+def _any_case(pattern: str) -> str:
+    return f"(?iu:{pattern})".replace(" ", f"{SPACE}+") if pattern else ""
+
+
 def _whole_words(pattern: str) -> str:
-    """The pattern between word boundaries; its possible first letters are checked before all else."""
-    body = pattern.replace(" ", f"{SPACE}+")
+    """The pattern between word boundaries.
+
+    It starts with its possible first letters, and the boundary before them is
+    looked up afterwards, since most positions fail on the letter already.
+    """
     if pattern in CASE_SENSITIVE_PATTERNS:
-        return f"(?={pattern[0]}){BEFORE_WORD}{body}{AFTER_WORD}"
-    alternatives = pattern[1 : pattern.index(")")].split("|") if pattern.startswith("(") else [pattern]
-    letters = {a[0].lower() for a in alternatives}
-    heads = "".join(sorted(c + c.upper() + _CASE_TWINS.get(c, "") for c in letters))
-    return f"(?=[{heads}]){BEFORE_WORD}(?iu:{body}){AFTER_WORD}"
+        return f"{pattern}(?<!{_WORD}.){AFTER_WORD}"
+    starts, rest = [pattern], ""
+    if pattern.startswith("("):
+        starts, rest = pattern[1 : pattern.index(")")].split("|"), pattern[pattern.index(")") + 1 :]
+    branches = []
+    for start in starts:
+        first = start[0].lower()
+        letters = first + first.upper() + _CASE_TWINS.get(first, "")
+        branches.append(f"[{letters}](?<!{_WORD}.){_any_case(start[1:])}")
+    return f"(?:{'|'.join(branches)}){_any_case(rest)}{AFTER_WORD}"
 
 
 def anonymise(text: Column) -> Column:
