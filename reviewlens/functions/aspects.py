@@ -9,7 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from reviewlens import constants as K
-from reviewlens.functions.grades import clamp
 from reviewlens.functions.literals import quoted, sql_array, sql_map, string_array, string_map
 
 
@@ -95,25 +94,29 @@ def phrase_keywords() -> list[str]:
     return [word for word, _ in K.STRENGTH_PHRASES + K.IMPROVEMENT_PHRASES]
 
 
-def aspect_record(positive: Column, negative: Column) -> Column:
-    """Aspect record from the numbers of positive and negative keywords found."""
-    found = positive + negative
-    relevance = F.least(F.lit(1.0), found / F.lit(3.0))
-    score = clamp(F.lit(5.0) + (positive - negative) * F.lit(2.0), 1, 9)
-    return F.struct(
-        F.when(found > 0, score).otherwise(F.lit(5.0)).alias("score_10"),
-        F.round(relevance, 2).alias("relevance"),
-        F.round(F.least(F.lit(1.0), positive / F.lit(3.0)), 2).alias("positive_sim"),
-        F.round(F.least(F.lit(1.0), negative / F.lit(3.0)), 2).alias("negative_sim"),
-        (relevance > K.RULE_DETECTED_THRESHOLD).alias("detected"),
-    )
+def aspect_record(positive: str, negative: str) -> str:
+    """SQL of the aspect record for columns with the numbers of positive and negative keywords found."""
+    found = f"({positive} + {negative})"
+    relevance = f"least(1.0D, {found} / 3.0D)"
+    return f"""named_struct(
+        'score_10', if({found} > 0, greatest(1.0D, least(9.0D, 5.0D + ({positive} - {negative}) * 2.0D)), 5.0D),
+        'relevance', round({relevance}, 2),
+        'positive_sim', round(least(1.0D, {positive} / 3.0D), 2),
+        'negative_sim', round(least(1.0D, {negative} / 3.0D), 2),
+        'detected', {relevance} > {K.RULE_DETECTED_THRESHOLD}D)"""
+
 
+def blended_score(aspect: str, polarity: str, detail: str = "aspect_detail", alpha: float = K.POLARITY_ALPHA) -> Column:
+    """Aspect score pulled towards the polarity, the more so the less relevant the aspect is.
 
-def blend(polarity: Column, score: Column, relevance: Column, alpha: float = K.POLARITY_ALPHA) -> Column:
-    """Aspect score pulled towards the polarity, the more so the less relevant the aspect is."""
-    beta = F.least(F.lit(1.0), relevance * 2.0)
-    blended = (F.lit(1.0) - beta) * polarity + beta * score
-    return F.round(clamp(F.lit(1.0 - alpha) * blended + F.lit(alpha) * polarity, 0, 10), 4)
+    An aspect without a record scores the polarity. ``polarity`` is SQL.
+    """
+    record = f"{detail}[{quoted(aspect)}]"
+    score = f"coalesce({record}.score_10, {polarity})"
+    beta = f"least(1.0D, coalesce({record}.relevance, 0.0D) * 2.0D)"
+    blended = f"((1.0D - {beta}) * {polarity} + {beta} * {score})"
+    final = f"{1.0 - alpha!r}D * {blended} + {alpha!r}D * {polarity}"
+    return F.expr(f"round(greatest(0.0D, least(10.0D, {final})), 4)")
 
 
 def top_aspects(scored: Column, top_k: int, threshold: float) -> Column:

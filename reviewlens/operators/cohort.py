@@ -106,10 +106,7 @@ def entity_score(scored: DataFrame, by: str | None = "teacher_name", use_aspects
     aspects: dict[str, Column] = {}
     if use_aspects:
         for aspect, column in K.SCORE_COLUMN.items():
-            record = F.col("aspect_detail")[aspect]
-            blended = A.blend(
-                polarity, F.coalesce(record["score_10"], polarity), F.coalesce(record["relevance"], F.lit(0.0))
-            )
+            blended = A.blended_score(aspect, "coalesce(polarity, 5.0D)")
             aspects[column] = F.round(G.exact_avg(blended * 10), 2)
     rows = scored.where(F.col(by).isNotNull()) if by else scored
     grouped = rows.groupBy(by) if by else rows.groupBy()

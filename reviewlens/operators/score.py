@@ -11,6 +11,7 @@ from reviewlens.functions import aspects as A
 from reviewlens.functions import sentiment as S
 from reviewlens.functions import text as T
 from reviewlens.functions.grades import clamp
+from reviewlens.functions.literals import sql_map
 
 LABEL_COLUMNS = ("strengths_list", "improvements_list")
 SCORED_COLUMNS = (
@@ -36,10 +37,8 @@ def with_rule_aspects(df: DataFrame, found: str, column: str = "aspect_detail")
         counts[f"_p{i}"] = A.count_found(F.col(found), positive)
         counts[f"_n{i}"] = A.count_found(F.col(found), negative)
     df = df.withColumns(counts)
-    entries: list[Column] = []
-    for i, aspect in enumerate(K.ASPECTS):
-        entries += [F.lit(aspect), A.aspect_record(F.col(f"_p{i}"), F.col(f"_n{i}"))]
-    return df.withColumn(column, F.create_map(*entries).cast(DETAIL_TYPE)).drop(*counts)
+    records = {aspect: A.aspect_record(f"_p{i}", f"_n{i}") for i, aspect in enumerate(K.ASPECTS)}
+    return df.withColumn(column, sql_map(records).cast(DETAIL_TYPE)).drop(*counts)
 
 
 def _inferred(ordered: Column, reached: Column) -> Column:
@@ -85,17 +84,7 @@ def score_reviews(
     else:
         df = with_rule_aspects(df, "_found")
 
-    # Aspects without a record fall back to the polarity.
-    df = df.withColumns(
-        {
-            f"_b{i}": A.blend(
-                F.col("polarity"),
-                F.coalesce(F.col("aspect_detail")[aspect]["score_10"], F.col("polarity")),
-                F.coalesce(F.col("aspect_detail")[aspect]["relevance"], F.lit(0.0)),
-            )
-            for i, aspect in enumerate(K.ASPECTS)
-        }
-    )
+    df = df.withColumns({f"_b{i}": A.blended_score(aspect, "polarity") for i, aspect in enumerate(K.ASPECTS)})
     blended = [F.col(f"_b{i}") for i in range(len(K.ASPECTS))]
     overall = F.lit(0.0)
     best, worst = F, F

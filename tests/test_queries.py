@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from checks import catalog, views
 from checks.compare import compare, connect
+from reviewlens.operators import skew
 from reviewlens.operators.score import score_reviews
 
 SF = "/root/testdata/sf0.001"
@@ -25,6 +26,22 @@ def test_query_equals_sql(spark, duck, name):
     assert result.startswith(("equal", "rows-only")), result
 
 
+SKEW_QUERIES = (
+    "c1_score_distinct_texts", "c2_refresh_summaries", "d1_entity_aggregate", "e1_rank", "e2_duplicate_flags",
+    "i13_summary_per_entity", "i16_entity_summary",
+)
+
+
+@needs_tables
+@pytest.mark.parametrize("name", SKEW_QUERIES)
+def test_large_table_paths_give_the_same(spark, duck, monkeypatch, name):
+    """The ways for large lookup tables, large groups and large rankings, forced by tiny limits."""
+    for limit, value in {"BROADCAST_ROWS": 3, "HOT_KEYS": 20, "SINGLE_TASK_ROWS": 5, "DIRECT_LIMIT": 1}.items():
+        monkeypatch.setattr(skew, limit, value)
+    result = compare(spark, duck, name, entry.queries()[name], entry.oracle_sql()[name], SF)
+    assert result.startswith("equal"), result
+
+
 @needs_tables
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
