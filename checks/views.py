@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens import constants as K
+from reviewlens.functions.literals import string_array
 from reviewlens.sources.reviews import load_parquet, semester
 
 # Sample sentences plus some with student mentions, negations and accents.
@@ -38,7 +39,7 @@ def spread_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _sentence(position: Column) -> Column:
-    return F.get(F.array(*[F.lit(s) for s in SENTENCES]), position.cast("int"))
+    return F.get(string_array(SENTENCES), position.cast("int"))
 
 
 def reviews(spark: SparkSession, sf: str) -> DataFrame:

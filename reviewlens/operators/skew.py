@@ -12,7 +12,7 @@ BROADCAST_ROWS = 100_000
 # Otherwise keys with more than 1/2000 of all rows are broadcast: there are at most 2000 of them.
 HOT_KEYS = 2_000
 # Ranking up to so many rows is one sorted task; above, ranges are ranked in parallel.
-SINGLE_TASK_ROWS = 1_000_000
+SINGLE_TASK_ROWS = 100_000
 # Map tasks keep this many rows per group at most before salted parts of a group are limited first.
 DIRECT_LIMIT = 100
 _SALTS = 64
