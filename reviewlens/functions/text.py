@@ -124,10 +124,21 @@ def _whole_words(pattern: str) -> str:
 
 
 def anonymise(text: Column) -> Column:
-    """Replace mentions of single students and first-person wording."""
-    for pattern, replacement in ANONYMOUS_PATTERNS:
-        text = F.regexp_replace(text, _whole_words(pattern), replacement)
-    return text_trim(text)
+    """Replace mentions of single students and first-person wording.
+
+    The patterns about students come first and are tried only on texts that
+    hold the word.
+    """
+
+    def replaced(value: Column, about_students: bool) -> Column:
+        for pattern, replacement in ANONYMOUS_PATTERNS:
+            if ("tudent" in pattern) == about_students:
+                value = F.regexp_replace(value, _whole_words(pattern), replacement)
+        return value
+
+    mentioned = F.contains(F.lower(text), F.lit("tudent"))
+    text = F.when(mentioned, replaced(text, True)).otherwise(text)
+    return text_trim(replaced(text, False))
 
 
 def extractive(text: Column, n_sentences: int = 3) -> Column:
