@@ -4,18 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reviewlens.llm.jaccard import one_of_each
+from reviewlens.llm.mixing import mixed_rows
 from reviewlens.llm.packing import pack_documents
+from reviewlens.llm.quality import kept_documents
+from reviewlens.llm.secrets import redact
+from reviewlens.session import materialise
 
+#: Packing and near-duplicate groups are not SQL; the tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules, without the lines that too many texts of their source share."""
+    return kept_documents(docs)
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of every group of near copies."""
+    return one_of_each(docs)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked."""
+    return redact(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of the sources takes them."""
+    return mixed_rows(docs)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their place in the training sequences."""
     return pack_documents(docs)
 
 
-STAGES = [("best_fit_packing", packing_stage)]
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("ngram_jaccard_join", jaccard_stage),
+    ("secret_scan", secrets_stage),
+    ("source_mixing", mixing_stage),
+    ("best_fit_packing", packing_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing_stage(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -198,6 +198,23 @@ def similar_sets(docs: DataFrame, text: str, sizes: DataFrame, percent: int, wid
     return connected_components(links.unionByName(more))
 
 
+def _components(docs: DataFrame, key: str, text: str, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with doc_id, _text_key, set_key (null: empty), n_shingles; and per set its component and smallest row."""
+    chosen = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
+    chosen = chosen.withColumn("_text_key", F.xxhash64("_text"))
+    sizes = materialise(_sets(chosen, ["doc_id", "_text_key"], "_text", width, "size"), "sizes")
+    known = sizes.where("n_shingles > 0").select("set_key", F.col("_text_key").alias("text_key"))
+    found = similar_sets(chosen, "_text", known, percent, width)
+    # Rows with a null key come last here.
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_text_key")
+    smallest = sizes.where("n_shingles > 0").groupBy("set_key").agg(F.min(row).alias("_first"))
+    smallest = smallest.join(found.withColumnRenamed("node", "set_key"), "set_key", "left")
+    smallest = materialise(smallest.withColumn("component", F.coalesce("component", "set_key")), "smallest")
+    lowest = smallest.groupBy("component").agg(F.min("_first").alias("first"))
+    named = smallest.select("set_key", "component").join(lowest, "component").select("set_key", "first")
+    return sizes.withColumn("set_key", F.when(F.col("n_shingles") > 0, F.col("set_key"))), named
+
+
 def jaccard_components(
     docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH
 ) -> DataFrame:
@@ -209,21 +226,37 @@ def jaccard_components(
     equal sets are linked. Repeated rows are rows of the result as well. A null
     key never is a component's smallest unless all its keys are null.
     """
-    chosen = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
-    chosen = chosen.withColumn("_text_key", F.xxhash64("_text"))
-    sizes = materialise(_sets(chosen, ["doc_id", "_text_key"], "_text", width, "size"), "sizes")
-    known = sizes.where("n_shingles > 0").select("set_key", F.col("_text_key").alias("text_key"))
-    found = similar_sets(chosen, "_text", known, percent, width)
-    smallest = sizes.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("_first"))
-    smallest = smallest.join(found.withColumnRenamed("node", "set_key"), "set_key", "left")
-    smallest = materialise(smallest.withColumn("component", F.coalesce("component", "set_key")), "smallest")
-    lowest = smallest.groupBy("component").agg(F.min("_first").alias("_lowest"))
-    named = smallest.join(lowest, "component").select("set_key", F.col("_lowest").alias("component_id"))
-    joined = sizes.withColumn("set_key", F.when(F.col("n_shingles") > 0, F.col("set_key")))
-    joined = joined.join(named, "set_key", "left")
-    return joined.select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    rows, named = _components(docs, key, text, percent, width)
+    joined = rows.join(named, "set_key", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id"))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` without those that are linked with one of a smaller key; rows without words all stay.
+
+    Of rows with equal key and text one stays. Texts are not shuffled while the
+    keys to drop are few.
+    """
+    rows, named = _components(docs, key, text, percent, width)
+    judged = rows.where(F.col("set_key").isNotNull()).join(named, "set_key")
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("_text_key") == F.col("first._text_key"))
+    judged = materialise(judged.groupBy("doc_id", "_text_key").agg(F.max(first).alias("first"), F.count("*").alias("n")), "judged")
+    names = docs.columns
+    whole = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    own_key, own_text = F.col(f"c{names.index(key)}"), F.col(f"c{names.index(text)}")
+
+    def among(keys: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("_key"), "_text_key")
+        keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+        return rows.join(keys, own_key.eqNullSafe(F.col("_key")) & (F.xxhash64(own_text) == F.col("_text_key")), how)
+
+    kept = among(judged.where(~F.col("first")), "left_anti", whole)
+    repeated = judged.where("first and n > 1")
+    if not repeated.isEmpty():
+        once = among(repeated, "left_semi", kept).dropDuplicates([f"c{names.index(key)}", f"c{names.index(text)}"])
+        kept = among(repeated, "left_anti", kept).unionByName(once)
+    return kept.toDF(*names)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:

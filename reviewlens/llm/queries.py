@@ -6,11 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reviewlens.llm import mixing, quality
+from reviewlens.llm.chat import op8_chat_formatting
 from reviewlens.llm.jaccard import op6_ngram_jaccard
+from reviewlens.llm.licenses import op1_license_scan
 from reviewlens.llm.packing import op9_best_fit_packing
+from reviewlens.llm.pages import op5_main_text
+from reviewlens.llm.secrets import op10_secret_scan
+from reviewlens.llm.simhash import op4_simhash
+from reviewlens.llm.warc import op2_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op2_warc": op2_warc,
+    "op3_mixing": mixing.op3_mixing,
+    "op4_simhash": op4_simhash,
+    "op5_main_text": op5_main_text,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_line_frequency": quality.op7_line_frequency,
+    "op8_chat_formatting": op8_chat_formatting,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_secret_scan": op10_secret_scan,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op7_line_frequency": quality.ORACLE}
