@@ -157,7 +157,9 @@ def quality_rules(
 
 def kept_documents(docs: DataFrame, text: str = "text", length: str = "n_chars", **options) -> DataFrame:
     """The rows of ``docs`` that the rules keep, in its columns, without the lines that the rules remove."""
-    judged = quality_rules(docs, text=text, with_row=True, **options).where("kept")
+    judged = quality_rules(docs, text=text, with_row=True, **options)
+    # Not a filter: one would be pushed below the steps that its columns come from, and evaluate these for every window.
+    judged = judged.withColumn("_stays", F.explode(F.when(F.col("kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))))
     changed = F.col("n_words_left") < F.col("n_words")
     columns = []
     for place, (name, kind) in enumerate(docs.dtypes):
