@@ -228,13 +228,14 @@ class _Gzip:
     def _more(self, size: int) -> bool:
         """Inflates until ``size`` bytes are there or the member ends."""
         while len(self.left) < size and not self.inflate.eof:
-            if not self.raw:
-                self.raw = self.source.read(1 << 20)
-                if not self.raw:
-                    break
-            self.left += self.inflate.decompress(self.raw, max(1, size - len(self.left)))
-            self.pushed += len(self.raw) - len(self.inflate.unconsumed_tail) - len(self.inflate.unused_data)
-            self.raw = self.inflate.unconsumed_tail
+            data = self.raw or self.source.read(1 << 20)
+            found = self.inflate.decompress(data, size - len(self.left))
+            self.left += found
+            # At a member's end, what follows it may stand in both of these.
+            self.raw = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+            self.pushed += len(data) - len(self.raw)
+            if not data and not found:
+                break  # the file ends inside the member
         if self.inflate.eof:
             self.at = self.member_at + self.pushed
         return bool(self.left)
