@@ -171,15 +171,6 @@ def common_lines(left: list[int], right: list[int]) -> set[int]:
     return found
 
 
-def _likeness(a: str, b: str) -> int:
-    """Length of the common beginning of two paths."""
-    n = min(len(a), len(b))
-    for i in range(n):
-        if a[i] != b[i]:
-            return i
-    return n
-
-
 class _Page:
     __slots__ = ("row", "host", "path", "lines", "marks", "hashes", "size")
 
@@ -191,7 +182,7 @@ class _Page:
         self.size = sum(map(len, self.lines))
 
     def shared(self, other: _Page) -> set[int] | None:
-        """Lines that ``other`` has as well; None if the two are copies."""
+        """Lines that ``other`` has as well in the same order; None if the two are copies."""
         both = common_lines(self.hashes, other.hashes)
         both = {i for i in both if self.lines[i]}
         if sum(len(self.lines[i]) for i in both) > COPY_SHARE * self.size:
@@ -199,13 +190,7 @@ class _Page:
         return both
 
     def main_text(self, neighbours: list[_Page]) -> tuple[str, int]:
-        neighbours.sort(key=lambda page: -_likeness(page.path, self.path))
-        gone: set[int] = set()
-        for page in neighbours:
-            both = self.shared(page)
-            if both is not None:
-                gone = both
-                break
+        gone = set().union(*(self.shared(page) or () for page in neighbours))
         landmark = next((m for m in "am" if m in self.marks), "")
         if landmark:
             kept = [line for line, mark in zip(self.lines, self.marks, strict=True) if mark == landmark]
@@ -216,10 +201,10 @@ class _Page:
 def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Per row: page_id, url, text, n_shared (lines deleted as the neighbour has them).
 
-    Neighbours are the pages before and after in the order of host, path and
-    key, inside blocks of that order; the one with the longer common path is
-    compared first, and a copy is passed over. A null html is an empty page, a
-    null URL stands in a host of its own. Repeated rows are pages as well.
+    Neighbours are the pages of the host before and after in the order of path
+    and key, inside blocks of that order; a copy is passed over. A null html is
+    an empty page, a null URL stands in a host of its own. Repeated rows are
+    pages as well.
     """
     text = F.coalesce(F.col(url), F.lit(""))
     host = F.lower(F.regexp_extract(text, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
