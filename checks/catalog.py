@@ -30,6 +30,7 @@ COLS = list(K.SCORE_COLUMNS)
 PROSE = Lexicon(("the", "of", "and"), ("to", "that", "der", "les"), ("for", "la"), ("was", "en"))
 SCORED = ["overall_score", *COLS, "confidence", "sentiment_label", "is_mixed"]
 ENTITY_SQL = ", ".join(["teacher_name", *entity.ENTITY_COLUMNS, "rank"])
+FP = f"sha256(lower({D.trim('feedback_text')}))"
 SHARES = ["positive_pct", "neutral_pct", "negative_pct"]
 
 
@@ -73,13 +74,20 @@ RATED_SQL = "(case when (select max(rating) from clean) <= 10 then round(rating
     {"clean": CLEAN_SQL},
 )
 def a1(spark, sf):
+    """Files of two column orders and of two encodings, with line breaks in quoted values, under one folder."""
     path = scratch_path(spark, "csv")
     raw = reviews(spark, sf).select(
         "review_id", F.col("teacher_name").alias("Instructor "), F.col("feedback_text").alias("Comment"),
         F.col("date").alias("created_at"), F.col("rating").alias("Stars"),
     )
-    sinks.write_csv(raw, path)
-    loaded = ingest.load_csv(spark, path)
+    kind = F.when(F.is_valid_utf8("Comment") & (F.pmod("review_id", F.lit(2)) == 0), 0).otherwise(1)
+    western = F.col("Instructor ").isNotNull() & ~F.col("Comment").rlike(r"[^\x00-\xFF]")
+    raw = raw.withColumn("_kind", F.when(western & (F.pmod("review_id", F.lit(3)) == 0), 2).otherwise(kind))
+    sinks.write_csv(raw.where("_kind = 0").drop("_kind"), f"{path}/part=0")
+    sinks.write_csv(raw.where("_kind = 1").select("Stars", "Comment", "created_at", "Instructor ", "review_id"), f"{path}/part=1")
+    latin = raw.where("_kind = 2").drop("_kind")
+    latin.write.option("header", True).option("escape", '"').option("encoding", "ISO-8859-1").csv(f"{path}/part=2")
+    loaded = ingest.load_csv(spark, [f"{path}/part={kind}" for kind in range(3)])
     return loaded.select(
         F.col("review_id").cast("bigint").alias("review_id"), "teacher_name", F.md5("feedback_text").alias("text_hash"),
         F.to_date("date").cast("string").alias("date"), "rating", "rating_normalized",
@@ -136,21 +144,25 @@ def a6(spark, sf):
     return df.select("review_id", F.md5("feedback_text").alias("text_hash"), F.length("feedback_text").alias("n"))
 
 
+# Spellings of a date by event_id % 16, as patterns of both engines' formatters (the last ones are no dates).
+DATE_SPELLINGS = (
+    "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy", "d MMM yyyy", "M/d/yyyy", "yyyy-M-d", "d MMMM yyyy", "MMM d yyyy",
+    "yyyy-MM-dd HH:mm:ss'+00:00'", "yyyy.MM.dd", "yyyyMMdd", "d-MMM-yyyy", "MM/dd/yyyy HH:mm", "MMMM d, yyyy", "M/d/yyyy h:mm a",
+)
+
+
 @query(
     "a7_lenient_dates",
-    """select event_id, case when event_id % 5 = 4 then null when event_id % 5 = 0
-         then strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') else strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') end as parsed
-       from events""",
+    f"""select event_id, case when event_id % 16 = {len(DATE_SPELLINGS)} then null
+         when event_id % 16 in (0, 8) then strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S')
+         when event_id % 16 in (12, 14) then strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S')
+         else strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') end as parsed from events""",
 )
 def a7(spark, sf):
-    ts, kind = F.col("ts"), F.col("event_id") % 5
-    spelled = (
-        F.when(kind == 0, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
-        .when(kind == 1, F.date_format(ts, "yyyy/MM/dd"))
-        .when(kind == 2, F.date_format(ts, "MM/dd/yyyy"))
-        .when(kind == 3, F.date_format(ts, "d MMM yyyy"))
-        .otherwise(F.concat(F.lit("day "), F.col("event_id").cast("string")))
-    )
+    ts, kind = F.col("ts"), F.col("event_id") % 16
+    spelled = F.concat(F.lit("day "), F.col("event_id").cast("string"))
+    for number, pattern in enumerate(DATE_SPELLINGS):
+        spelled = F.when(kind == number, F.date_format(ts, pattern)).otherwise(spelled)
     df = table(spark, sf, "events").select("event_id", ingest.lenient_timestamp(spelled).alias("parsed"))
     return df.withColumn("parsed", F.date_format("parsed", "yyyy-MM-dd HH:mm:ss"))
 
@@ -247,9 +259,13 @@ SCORED_SQL = ", ".join(SCORED) + (
 )
 
 
-@query("b1_full_record", f"select review_id, {SCORED_SQL}, polarity, p_pos, p_neu, p_neg, {DETAILS_SQL} from scored")
+@query(
+    "b1_full_record",
+    f"""select review_id, {SCORED_SQL}, polarity, p_pos, p_neu, p_neg, {DETAILS_SQL},
+      {D.trim('feedback_text')} <> '' and review_id > min(review_id) over (partition by {FP}) as is_duplicate from scored""",
+)
 def b1(spark, sf):
-    df = flat(scored(spark, sf, details=True))
+    df = flat(duplicates.analyze_batch(reviews(spark, sf)))
     detail = []
     for i, aspect in enumerate(K.ASPECTS):
         record = F.col("aspect_detail")[aspect]
@@ -259,7 +275,7 @@ def b1(spark, sf):
             F.coalesce(record["detected"], F.lit(False)).alias(f"detected_{i}"),
         ]
     probs = [F.col(f"sentiment_probs.{n}").alias(a) for n, a in zip(K.SENTIMENTS, ("p_pos", "p_neu", "p_neg"))]
-    return df.select("review_id", *SCORED, "strengths_list", "improvements_list", "polarity", *probs, *detail)
+    return df.select("review_id", *SCORED, "strengths_list", "improvements_list", "polarity", *probs, *detail, "is_duplicate")
 
 
 @query("b2_blank_reviews", f"select review_id, {SCORED_SQL} from scored where {D.trim('feedback_text')} = ''")
@@ -580,6 +596,21 @@ _trend_queries()
 _BY_USER = trend_sql(EVENT_TREND, "D", "user_id")
 
 
+@query(
+    "d21_trend_text",
+    *trend_sql(
+        """select ts, value as score, user_id from events where event_id % 10 < 8""", "D", None
+    ),
+)
+def d21_text(spark, sf):
+    """Dates and scores as text, some in other spellings, some unreadable."""
+    ts, kind = F.col("ts"), F.col("event_id") % 10
+    spelled = F.when(kind == 8, "garbage").when(kind < 4, F.date_format(ts, "M/d/yyyy")).otherwise(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
+    score = F.when(kind == 9, "n/a").otherwise(F.col("value").cast("string"))
+    texts = table(spark, sf, "events").select(spelled.alias("day"), score.alias("points"))
+    return trend.trend(texts, "day", "points", "D").withColumn("date", F.col("date").cast("string"))
+
+
 @query("d21_trend_by_user", *_BY_USER)
 def d21_by(spark, sf):
     return trend.trend(table(spark, sf, "events"), "ts", "value", "D", "user_id").withColumn("date", F.col("date").cast("string"))
@@ -683,7 +714,6 @@ def e1(spark, sf):
     return entity.rank_entities(totals)
 
 
-FP = f"sha256(lower({D.trim('feedback_text')}))"
 
 
 @query(
@@ -846,7 +876,7 @@ def i12(spark, sf):
 
 @query(
     "i13_summary_per_entity",
-    f"select teacher_name, {D.extractive('combined')} as summary from joined",
+    f"select teacher_name, {D.group_summary()} as summary from joined",
     D.joined_ctes("joined", "reviews", "teacher_name"),
 )
 def i13(spark, sf):
@@ -855,7 +885,7 @@ def i13(spark, sf):
 
 @query(
     "i13_summary_of_conversations",
-    f"select conv_id, {D.extractive('combined')} as summary from joined",
+    f"select conv_id, {D.group_summary()} as summary from joined",
     {"turns": "select conv_id, turn as review_id, text as feedback_text from conversations", **D.joined_ctes("joined", "turns", "conv_id")},
 )
 def i13_conversations(spark, sf):
@@ -864,7 +894,7 @@ def i13_conversations(spark, sf):
 
 @query(
     "i13_summary_of_all",
-    f"select {D.extractive('combined')} as summary from joined",
+    f"select {D.group_summary()} as summary from joined",
     {"everything": "select *, 'all' as k from reviews", **D.joined_ctes("joined", "everything", "k")},
 )
 def i13_all(spark, sf):
@@ -873,7 +903,7 @@ def i13_all(spark, sf):
 
 @query(
     "i14_summary_by_sentiment",
-    f"""select l as sentiment_label, coalesce({D.extractive('combined')}, 'No ' || lower(l) || ' feedback found.') as summary
+    f"""select l as sentiment_label, case when sentiment_label is null then 'No ' || lower(l) || ' feedback found.' else {D.group_summary()} end as summary
       from (select unnest(['Positive', 'Neutral', 'Negative']) as l) left join joined on joined.sentiment_label = l""",
     D.joined_ctes("joined", "scored", "sentiment_label"),
 )

@@ -323,16 +323,19 @@ def base_ctes() -> dict[str, str]:
 
 
 def joined_ctes(name: str, source: str, key: str) -> dict[str, str]:
+    """Per group: all comments joined, and their sentences of more than 20 characters, comment by comment."""
+    text = trim("feedback_text")
     return {
-        name: f"""select {key}, left(string_agg({trim('feedback_text')}, ' ' order by review_id), 3500) as combined
-             from {source} where {trim('feedback_text')} <> '' and {key} is not null group by {key}"""
+        name: f"""select {key}, coalesce(string_agg({text}, ' ' order by review_id) filter ({text} <> ''), '') as combined,
+             coalesce(flatten(list({sentences('feedback_text', 20)} order by review_id) filter ({text} <> '')), []) as chosen
+             from {source} where {key} is not null group by {key}"""
     }
 
 
-def extractive(combined: str) -> str:
-    chosen = sentences(combined, 20)
-    longer = f"case when len({chosen}) > 0 then array_to_string(({chosen})[1:3], ' ') else left({combined}, 300) end"
-    return f"case when len({words(combined)}) < 25 then {combined} else {longer} end"
+def group_summary() -> str:
+    """The summary of a row of :func:`joined_ctes`."""
+    longer = "case when len(chosen) > 0 then array_to_string(chosen[1:3], ' ') else left(combined, 300) end"
+    return f"case when len({words('combined')}) < 25 then combined else {longer} end"
 
 
 def summary_ctes() -> dict[str, str]:

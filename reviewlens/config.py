@@ -25,13 +25,16 @@ class ScoringConfig:
     ``probabilities`` names an ``array<struct<label, score>>`` column with class
     probabilities; ``aspect_details`` names a map column of aspect records (as
     :func:`reviewlens.operators.vectors.score_aspect_vectors` returns). Left
-    unset, the word-list rules supply both.
+    unset, the word-list rules supply both. ``deduplicate`` flags repeated texts
+    in :func:`reviewlens.operators.duplicates.analyze_batch`; ``sentence_level``
+    cuts texts into sentences in :func:`reviewlens.operators.vectors.text_chunks`.
     """
 
     lexicon: Lexicon = field(default_factory=Lexicon)
     probabilities: str | None = None
     aspect_details: str | None = None
     deduplicate: bool = True
+    sentence_level: bool = True
 
 
 @dataclass(frozen=True)

@@ -365,7 +365,7 @@ STOP_WORDS = (
 NO_FEEDBACK_MESSAGE = "No feedback available for summarisation."
 NO_COMMENTS_MESSAGE = "No feedback comments available."
 SUMMARY_DISABLED_MESSAGE = "Summarization disabled."
-SUMMARY_INPUT_CHARS = 3500
+SUMMARY_OPENING_CHARS = 300
 SUMMARY_MIN_WORDS = 25
 
 # ---------------------------------------------------------------------------

@@ -50,11 +50,19 @@ def score_distinct(
 ) -> DataFrame:
     """Score each distinct text once and give the result to all of its copies.
 
-    Equal to :func:`score_reviews`, since a score depends on the trimmed
-    lower-case text alone; worth its joins when scoring costs more than they do.
+    Equal to :func:`score_reviews` if a score depends on the trimmed lower-case
+    text alone; worth its joins when scoring costs more than they do. Columns
+    that the configuration names (class probabilities, aspect records) are those
+    of the first copy by ``order``.
     """
+    config = config or ScoringConfig()
+    given = [c for c in (config.probabilities, config.aspect_details) if c]
     lowered = F.lower(T.text_trim(F.col(text)))
-    distinct = df.where(~T.is_blank(F.col(text))).groupBy(lowered.alias(text)).agg(F.count("*").alias("_copies"))
+    copies = [F.count("*").alias("_copies")]
+    if given:
+        copies.append(F.min_by(F.struct(*given), F.col(order)).alias("_given"))
+    distinct = df.where(~T.is_blank(F.col(text))).groupBy(lowered.alias(text)).agg(*copies)
+    distinct = distinct.select(text, "_copies", *[F.col(f"_given.{c}").alias(c) for c in given])
     distinct = with_fingerprint(distinct, text)
     scored = score_reviews(distinct, text, config)
     scored = materialise(scored.select("fingerprint", "_copies", *SCORED_COLUMNS), "distinct-scores")
@@ -67,3 +75,22 @@ def score_distinct(
         blanks[column] = F.array().cast("array<string>")
     filled = {c: F.coalesce(F.col(c), value) for c, value in blanks.items()}
     return joined.withColumns(filled).drop("fingerprint")
+
+
+def analyze_batch(
+    df: DataFrame,
+    text: str = "feedback_text",
+    order: str = "review_id",
+    config: ScoringConfig | None = None,
+    details: bool = True,
+) -> DataFrame:
+    """The full record of every review: its scores, and ``is_duplicate`` unless it is the first with its text.
+
+    With ``deduplicate`` off in the configuration no text counts as a
+    duplicate, and nothing is compared.
+    """
+    config = config or ScoringConfig()
+    scored = score_reviews(df.drop("is_duplicate"), text, config, details)
+    if not config.deduplicate:
+        return scored.withColumn("is_duplicate", F.lit(False))
+    return mark_duplicates(scored, text, order).drop("fingerprint")

@@ -90,7 +90,8 @@ def summarise_groups(
     ``subject``, ``semester`` and the arrays ``strengths`` and ``improvements``.
     """
     df = df.where(F.col(key).isNotNull())
-    first = F.col(order) if order in df.columns else F.lit(0).cast("bigint")
+    ordered = order in df.columns
+    first = F.col(order) if ordered else F.lit(0).cast("bigint")
     modes = [c for c in _MODES if c in df.columns and c != key]
     flags: dict[str, Column] = {}
     for label in K.SENTIMENTS:
@@ -111,8 +112,9 @@ def summarise_groups(
     ).agg(
         F.count("*").alias("n"),
         F.min("_first").alias("first"),
-        F.min_by(F.col("_fact.position"), F.col("_first")).alias("position"),
-        *[F.sum(F.when(of_row, F.col(f"_m_{m}"))).alias(f"sum_{m}") for m in measures],
+        # Without an order of the rows, items that are as frequent go by their names alone.
+        (F.min_by(F.col("_fact.position"), F.col("_first")) if ordered else F.min(F.lit(0))).alias("position"),
+        *[F.sum(F.when(of_row, F.col(f"_m_{m}").cast("decimal(19,0)"))).alias(f"sum_{m}") for m in measures],
         *[F.count(F.when(of_row, F.col(f"_m_{m}"))).alias(f"count_{m}") for m in measures],
         *[F.count_if(of_row & F.col(f"_f_{n}")).alias(f"flag_{n}") for n in flags],
     )

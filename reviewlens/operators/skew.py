@@ -13,9 +13,8 @@ BROADCAST_ROWS = 100_000
 HOT_KEYS = 2_000
 # Ranking up to so many rows is one sorted task; above, ranges are ranked in parallel.
 SINGLE_TASK_ROWS = 100_000
-# Map tasks keep this many rows per group at most before salted parts of a group are limited first.
-DIRECT_LIMIT = 100
-_SALTS = 64
+# Parts that a group's rows are limited in before they meet.
+PARTS = 256
 _ROW_BITS = 33
 
 
@@ -50,17 +49,18 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, weight: str, spread
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column], most: int, unique: str) -> DataFrame:
     """The first ``most`` rows of every group, with ``_rank``.
 
-    Spark applies small limits inside the map tasks already, which leaves
-    ``most`` rows per group and task. Larger limits are applied to salted parts
-    of each group first, so that not all of these rows meet in one task.
+    Each task first keeps the first rows of its own part of a group; the part's
+    number is the task's, so no row moves for that. What is left, ``most`` rows
+    per group and task, is limited a second time in some hundred parts, and
+    then as a whole: a group of any size sends few rows to its last task.
     """
-    if most > DIRECT_LIMIT:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(unique), F.lit(_SALTS)))
-        parts = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = salted.withColumn("_rank", F.row_number().over(parts)).where(F.col("_rank") <= most)
-        df = df.drop("_salt", "_rank")
+    parts = {"_task": F.spark_partition_id(), "_part": F.pmod(F.spark_partition_id(), F.lit(PARTS))}
+    df = df.withColumns(parts)
+    for part in ("_task", "_part"):
+        window = Window.partitionBy(*keys, part).orderBy(*order)
+        df = df.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= most)
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.where(F.col("_rank") <= most)
+    return ranked.where(F.col("_rank") <= most).drop(*parts)
 
 
 def with_rank(df: DataFrame, order: list[Column], rows: int, column: str = "rank") -> DataFrame:

@@ -19,55 +19,70 @@ from reviewlens.session import materialise
 
 LOW_VOLUME = 5
 _NO_TEXTS = "array<string>"
-# k comments of n characters make k * (n + 1) - 1 characters, with the blanks between them.
-_LONG = 6
-_ROWS_OF_LONG = -(-(K.SUMMARY_INPUT_CHARS + 1) // (_LONG + 1))
-_ROWS_OF_ANY = -(-(K.SUMMARY_INPUT_CHARS + 1) // 2)
+# What a group may need of its comments: the opening of the first ones, and its first long sentences.
+_SENTENCES, _LONGER_THAN = 3, 20
 
 
-def joined_comments(
-    df: DataFrame, by: str, text: str = "feedback_text", order: str = "review_id", cleaned: bool = False
+def group_pieces(
+    df: DataFrame, by: str, text: str, order: str, opening: int
 ) -> DataFrame:
-    """The comments of each group in order, joined by blanks and cut at 3500 characters.
+    """Per group (blank comments make a group as well): ``words``, ``joined``, ``chosen``.
 
-    Only the rows that can reach the cut are brought together: of comments with
-    six characters or more the first 501 always fill it, of shorter ones the
-    first 1751. Tables from ``clean_reviews`` have no shorter ones, and with
-    ``cleaned`` the pass that looks for them is left out.
+    ``chosen`` are the first three sentences of more than 20 characters,
+    comment by comment; ``joined`` is all comments if they have fewer than 25
+    words together, and else their first ``opening`` characters, which matters
+    to groups without such a sentence only. So a comment adds three sentences
+    and an opening at most, and a group the first few of each.
     """
     trimmed = T.text_trim(F.col(text))
-    rows = df.select(by, order, F.substring(trimmed, 1, K.SUMMARY_INPUT_CHARS).alias("_text"))
-    rows = rows.where((F.col("_text") != "") & F.col(by).isNotNull())
-    long = first_per_group(rows.where(F.length("_text") >= _LONG), [by], [F.col(order)], _ROWS_OF_LONG, order)
-    kept = long
-    if not cleaned:
-        short = first_per_group(rows.where(F.length("_text") < _LONG), [by], [F.col(order)], _ROWS_OF_ANY, order)
-        kept = long.unionByName(short)
-    collected = kept.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, "_text"))).alias("_rows"))
-    joined = F.array_join(F.transform("_rows", lambda r: r["_text"]), " ")
-    return collected.select(by, F.substring(joined, 1, K.SUMMARY_INPUT_CHARS).alias("combined"))
-
-
-def extractive_summary(combined: Column) -> Column:
-    """Under 25 words the text itself, else its first three longer sentences."""
-    short = F.size(T.words(combined)) < K.SUMMARY_MIN_WORDS
-    return F.when(short, combined).otherwise(T.extractive(combined))
+    rows = df.where(F.col(by).isNotNull()).select(by, F.col(order).alias("_order"), F.coalesce(trimmed, F.lit("")).alias("_text"))
+    n_words = F.size(T.words(F.col("_text")))
+    rows = rows.withColumn("_words", n_words)
+    rows = rows.withColumn("_long", F.slice(T.sentences(F.col("_text"), _LONGER_THAN), 1, _SENTENCES))
+    start = F.when(F.col("_words") < K.SUMMARY_MIN_WORDS, F.col("_text")).otherwise(F.substring("_text", 1, opening))
+    piece = lambda kind, position, words, value: F.struct(
+        F.lit(kind).alias("kind"), position.alias("position"), words.alias("words"), value.alias("piece")
+    )
+    first = F.array(piece(F.when(F.col("_text") == "", 0).otherwise(1), F.lit(0), F.col("_words"), start))
+    longer = F.transform("_long", lambda s, i: piece(2, i, F.lit(0), s))
+    spread = rows.select(by, "_order", F.explode(F.concat(first, longer)).alias("p")).select(by, "_order", "p.*")
+    # With a blank between comments, half as many as there are characters fill the opening.
+    most = max(_SENTENCES, K.SUMMARY_MIN_WORDS, -(-(opening + 1) // 2))
+    picked = first_per_group(spread, [by, "kind"], [F.col("_order"), F.col("position")], most, "_order")
+    kept = F.struct("_rank", "piece")
+    grouped = picked.groupBy(by).agg(
+        F.coalesce(F.sum("words"), F.lit(0)).alias("words"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") == 1, kept))).alias("_openings"),
+        F.array_sort(F.collect_list(F.when((F.col("kind") == 2) & (F.col("_rank") <= _SENTENCES), kept))).alias("_sentences"),
+    )
+    pieces = lambda column: F.transform(column, lambda p: p["piece"])
+    return grouped.select(
+        by, "words", F.array_join(pieces("_openings"), " ").alias("joined"), pieces("_sentences").alias("chosen")
+    )
 
 
 def summarise_feedback(
-    df: DataFrame, by: str | None = None, text: str = "feedback_text", order: str = "review_id", cleaned: bool = False
+    df: DataFrame, by: str | None = None, text: str = "feedback_text", order: str = "review_id", opening: int = K.SUMMARY_OPENING_CHARS
 ) -> DataFrame:
-    """Summary of all comments, or of each group's; always one row without groups."""
+    """Summary of all comments, or of each group's; always one row without groups.
+
+    Fewer than 25 words are their own summary; more give their first three
+    longer sentences, or without one the first ``opening`` characters. Groups
+    of blank comments have an empty summary.
+    """
     key = by or "_all"
     rows = df if by else df.withColumn(key, F.lit("all"))
-    summaries = joined_comments(rows, key, text, order, cleaned).select(key, extractive_summary(F.col("combined")).alias("summary"))
+    groups = group_pieces(rows, key, text, order, opening)
+    summary = (
+        F.when(F.col("words") < K.SUMMARY_MIN_WORDS, F.col("joined"))
+        .when(F.size("chosen") > 0, F.array_join("chosen", " "))
+        .otherwise(F.substring("joined", 1, opening))
+    )
+    summaries = groups.select(key, summary.alias("summary"))
     if by:
         return summaries
-    # A comment table without any text still gets its row, an empty one gets the message.
     found = summaries.agg(F.max("summary").alias("summary"))
-    any_row = df.limit(1).agg(F.count("*")).scalar()
-    missing = F.when(F.col("_any") > 0, F.lit("")).otherwise(F.lit(K.NO_FEEDBACK_MESSAGE))
-    return found.withColumn("_any", any_row).select(F.coalesce("summary", missing).alias("summary"))
+    return found.select(F.coalesce("summary", F.lit(K.NO_FEEDBACK_MESSAGE)).alias("summary"))
 
 
 def summarise_by_sentiment(scored: DataFrame, text: str = "feedback_text", order: str = "review_id") -> DataFrame:
@@ -263,19 +278,24 @@ def refresh_summaries(
 ) -> DataFrame:
     """Summaries with their content keys; entities whose key is in ``cache`` are not summarised again.
 
+    Every entity of ``scores`` has a row, with or without reviews and cache.
+
     Write the result where the next call reads its ``cache`` from.
     """
-    keys = materialise(content_keys(reviews, entity, text), "content-keys")
+    keys = content_keys(reviews, entity, text)
     if cache is None:
         fresh = summarise_entities(reviews, scores, entity, text, order, scale)
         return fresh.join(keys.drop("n"), entity, "left")
+    keys = materialise(keys, "content-keys")
     cache = cache.select(entity, "content_key", "summary", "strengths", "improvements")
     stale = materialise(keys.join(cache, [entity, "content_key"], "left_anti"), "stale-entities")
     flagged = lookup_join(
         reviews.select(entity, order, text), stale.withColumn("_weight", F.col("n")), entity, "_weight", F.col(order)
     )
     todo = flagged.where(F.col("content_key").isNotNull()).drop("content_key", "n")
-    wanted = scores.join(stale.select(entity), entity, "left_semi")
+    # Entities without reviews have no key; they get their message, as without a cache.
+    silent = scores.select(entity).join(keys, entity, "left_anti")
+    wanted = scores.join(stale.select(entity).unionByName(silent), entity, "left_semi")
     fresh = summarise_entities(todo, wanted, entity, text, order, scale).join(keys.drop("n"), entity, "left")
     reused = cache.join(keys.drop("n"), [entity, "content_key"], "left_semi")
     return reused.unionByName(fresh)

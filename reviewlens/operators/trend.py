@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from reviewlens.functions.grades import exact_avg
+from reviewlens.sources.reviews import lenient_timestamp
 
 # Period ends by frequency, and the step from one period to the next.
 FREQUENCIES = ("D", "W", "ME", "QE", "YE")
@@ -42,11 +44,14 @@ def trend(df: DataFrame, date: str, score: str, frequency: str = "ME", by: str |
     """Mean score (two decimals) and count per period; periods without rows appear with count 0.
 
     The calendar runs from the first to the last period (of each group, with
-    ``by``). Gaps are filled from the aggregated periods, which are few, so the
+    ``by``). Text dates may have any spelling that ``lenient_timestamp`` reads;
+    rows with another date or a score that is no number do not count. Gaps are filled from the aggregated periods, which are few, so the
     rows themselves are read once.
     """
-    known = df.withColumn("_day", F.to_date(date)).where(F.col("_day").isNotNull())
-    value = F.col(score).cast("double")
+    text = isinstance(df.schema[date].dataType, types.StringType)
+    day = F.to_date(lenient_timestamp(F.col(date)) if text else F.col(date))
+    known = df.withColumn("_day", day).where(F.col("_day").isNotNull())
+    value = F.col(score).try_cast("double")
     known = known.where(value.isNotNull() & ~F.isnan(value))
     keys = [by] if by else []
     periods = known.groupBy(*keys, period_end(F.col("_day"), frequency).alias("_end")).agg(

@@ -10,25 +10,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens import constants as K
+from reviewlens.functions import text as T
 from reviewlens.functions.aspects import top_aspects
 
-# Anchors are model constants (80 sentences in the default set); a larger table is a mistake.
+# Anchors are constants of a model (80 sentences in the default set) and go to every task; callers may allow more.
 MAX_ANCHORS = 10_000
 
 
 def mean_vectors(df: DataFrame, by: list[str], vector: str = "embedding") -> DataFrame:
     """Component-wise mean vector per group."""
     parts = df.select(*by, F.posexplode(vector).alias("position", "value"))
-    means = parts.groupBy(*by, "position").agg(F.avg(F.col("value").cast("double")).alias("value"))
+    # Summed as decimals, so that the mean does not depend on the order of the rows.
+    value = F.col("value").cast("decimal(38,18)")
+    means = parts.groupBy(*by, "position").agg((F.sum(value) / F.count(value)).cast("double").alias("value"))
     rows = means.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("position", "value"))).alias("parts"))
     return rows.select(*by, F.transform("parts", lambda p: p["value"]).alias(vector))
 
 
-def _anchors(df: DataFrame) -> pd.DataFrame:
-    """Anchors on the driver, so that tasks get them as a constant; their number is checked."""
-    rows = df.limit(MAX_ANCHORS + 1).toPandas()
-    if len(rows) > MAX_ANCHORS:
-        raise ValueError(f"More than {MAX_ANCHORS} anchor vectors.")
+def _anchors(df: DataFrame, most: int) -> pd.DataFrame:
+    """Anchors with a vector on the driver, so that tasks get them as a constant; more than ``most`` are refused."""
+    rows = df.where(F.col("embedding").isNotNull()).limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"More than {most} anchor vectors.")
     return rows
 
 
@@ -38,9 +41,9 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 
 
-def _similarity(groups: list[np.ndarray], top: int | None) -> Callable[[Column], Column]:
-    """Column function: per group of anchors the mean of the ``top`` highest cosine similarities."""
-    anchors = [_unit(np.asarray(group, dtype="float64")) for group in groups]
+def _similarity(groups: list[list[np.ndarray]], top: int | None) -> Callable[[Column], Column]:
+    """Column function: per group of anchors the mean of the ``top`` highest cosine similarities, 0 without anchors."""
+    anchors = [_unit(np.asarray(group, dtype="float64")) if len(group) else None for group in groups]
 
     @F.pandas_udf("array<double>")
     def similarities(vectors: pd.Series) -> pd.Series:
@@ -49,6 +52,9 @@ def _similarity(groups: list[np.ndarray], top: int | None) -> Callable[[Column],
         units = _unit(np.stack(vectors.to_numpy()).astype("float64"))
         columns = []
         for group in anchors:
+            if group is None:
+                columns.append(np.zeros(len(units)))
+                continue
             ordered = -np.sort(-(units @ group.T), axis=1)
             columns.append(ordered[:, :top].mean(axis=1))
         return pd.Series(list(np.stack(columns, axis=1)))
@@ -56,21 +62,37 @@ def _similarity(groups: list[np.ndarray], top: int | None) -> Callable[[Column],
     return similarities
 
 
+def text_chunks(
+    df: DataFrame, text: str = "feedback_text", review: str = "review_id", sentence_level: bool = True
+) -> DataFrame:
+    """What gets an embedding: one row per sentence of more than eight characters, or per whole text."""
+    pieces = T.chunks(F.col(text)) if sentence_level else F.array(T.text_trim(F.col(text)))
+    kept = df.where(~T.is_blank(F.col(text)))
+    return kept.select(review, F.posexplode(pieces).alias("chunk", text))
+
+
 def score_aspect_vectors(
-    chunks: DataFrame, anchors: DataFrame, review: str = "review_id", vector: str = "embedding"
+    chunks: DataFrame,
+    anchors: DataFrame,
+    review: str = "review_id",
+    vector: str = "embedding",
+    max_anchors: int = MAX_ANCHORS,
 ) -> DataFrame:
     """Aspect records per review from the embeddings of its chunks.
 
     ``anchors`` has ``aspect``, ``pole`` ("positive" or "negative") and
     ``embedding``. Per chunk, each pole scores the mean of its three best
     similarities; the higher pole is the relevance of the chunk and weighs its
-    net score. The result has one row per review and a map ``aspect_detail``.
+    net score. The result has one row per review with a vector and a map
+    ``aspect_detail``; reviews without one are left to the rules. An aspect with
+    anchors of one pole only has similarity 0 to the other.
     """
-    table = _anchors(anchors)
+    table = _anchors(anchors, max_anchors)
+    chunks = chunks.where(F.col(vector).isNotNull())
     names = [a for a in K.ASPECTS if a in set(table["aspect"])]
     names += sorted(set(table["aspect"]) - set(names))
     groups = [
-        np.stack(table.loc[(table["aspect"] == a) & (table["pole"] == pole), "embedding"].to_numpy())
+        list(table.loc[(table["aspect"] == a) & (table["pole"] == pole), "embedding"])
         for a in names
         for pole in ("positive", "negative")
     ]
@@ -120,20 +142,24 @@ def detect_aspect_vectors(
     vector: str = "embedding",
     top_k: int = K.DETECT_TOP_K,
     threshold: float = K.DETECT_THRESHOLD,
+    max_anchors: int = MAX_ANCHORS,
 ) -> DataFrame:
-    """Add ``aspects``: the aspects whose vector is most similar to the text's.
+    """Add ``aspects`` (none without a vector): the aspects whose vector is most similar to the text's.
 
     ``aspects`` has one row per aspect (``aspect``, ``embedding``), for example
     the :func:`mean_vectors` of its phrases.
     """
-    table = _anchors(aspects).sort_values("aspect")
+    table = _anchors(aspects, max_anchors).sort_values("aspect")
     names = table["aspect"].tolist()
-    similarity = _similarity([np.stack([v]) for v in table["embedding"]], None)
-    df = texts.withColumn("_sims", similarity(F.col(vector)))
+    similarity = _similarity([[v] for v in table["embedding"]], None)
+    nowhere = F.array_repeat(F.lit(0.0), len(table["embedding"][0]) if names else 0)
+    df = texts.withColumn("_sims", similarity(F.coalesce(F.col(vector).cast("array<double>"), nowhere)))
     scored = F.array(
         *[F.struct(F.lit(name).alias("aspect"), F.col("_sims")[i].alias("score")) for i, name in enumerate(names)]
     )
-    return df.withColumn("aspects", top_aspects(scored, top_k, threshold)).drop("_sims")
+    none = F.slice(top_aspects(scored, top_k, threshold), 1, 0)
+    found = F.when(F.col(vector).isNull(), none).otherwise(top_aspects(scored, top_k, threshold))
+    return df.withColumn("aspects", found).drop("_sims")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -2,77 +2,146 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as types
 
 from reviewlens import constants as K
 from reviewlens.functions import text as T
 
-# Accepted date spellings, tried in this order.
+# Accepted date spellings, tried in this order after :func:`_plain_date`. Where both readings are possible, the month
+# comes before the day.
+_TIME = "[ H:m[:s[.SSSSSS][.SSS]]][XXX]"
 DATE_FORMATS = (
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]",
-    "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy",
-    "dd-MM-yyyy",
-    "d MMM yyyy",
-    "MMM d, yyyy",
-    "MMMM d, yyyy",
+    f"yyyy-M-d{_TIME}",
+    "yyyy-M-d h:m[:s] a",
+    f"M/d/yyyy{_TIME}",
+    "M/d/yyyy h:m[:s] a",
+    f"d/M/yyyy{_TIME}",
+    "d/M/yyyy h:m[:s] a",
+    "M/d/yy[ H:m[:s]]",
+    "d/M/yy[ H:m[:s]]",
+    "yyyyMMdd",
+    f"d MMM yyyy{_TIME}",
+    f"d MMMM yyyy{_TIME}",
+    f"MMM d yyyy{_TIME}",
+    f"MMMM d yyyy{_TIME}",
+    "d MMM yyyy h:m[:s] a",
+    "MMM d yyyy h:m[:s] a",
+    "MMMM d yyyy h:m[:s] a",
+    "d MMM yy",
 )
 
 
 def load_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """A Parquet table for text work, which takes far more time than reading.
+    """A Parquet table as Spark reads it: files are cut by ``spark.sql.files.maxPartitionBytes`` and row groups."""
+    return spark.read.parquet(path)
 
-    Spark cuts a file into pieces by size, but a row group is read as a whole:
-    a table of a few files may keep a few tasks busy only. Such a table is
-    dealt out to all cores. A large table has enough files and is read as it is.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    small = df.rdd.getNumPartitions() <= 4 * cores and len(df.inputFiles()) * 2 <= cores
-    return df.repartition(cores) if small else df
+
+def _header_names(line: str) -> list[str]:
+    """Column names of a header line; unnamed ones get their place, repeated ones a number."""
+    names = next(csv.reader([line.removeprefix("\ufeff")]), [])
+    seen: set[str] = set()
+    for place, name in enumerate(names):
+        name = name or f"_c{place}"
+        if name.lower() in seen:
+            name = f"{name}{place}"
+        seen.add(name.lower())
+        names[place] = name
+    return names
 
 
-def _read_csv(spark: SparkSession, paths: list[str], encoding: str, multi_line: bool) -> DataFrame:
+def _read_csv(spark: SparkSession, path: str | list[str], header: str, encoding: str, multi_line: bool) -> DataFrame:
+    schema = types.StructType([types.StructField(name, types.StringType()) for name in _header_names(header)])
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
-    return reader.option("encoding", encoding).csv(paths)
+    return reader.option("encoding", encoding).schema(schema).csv(path)
 
 
-def file_encodings(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
-    """The files by encoding: UTF-8 unless a line is not valid, then Latin-1."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    files = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("valid")).collect()
-    encodings: dict[str, list[str]] = {}
-    for row in sorted(files, key=lambda r: r["file"]):
-        encodings.setdefault("UTF-8" if row["valid"] else "ISO-8859-1", []).append(row["file"])
-    return encodings
+def csv_layouts(spark: SparkSession, path: str | list[str]) -> list[Row]:
+    """The layouts of CSV files: encoding, header, multi_line, the number of files, the most frequent first.
+
+    A file is UTF-8 unless a line is not valid, then Latin-1; it is read as a
+    whole (``multi_line``) if a quoted value may hold a line break. One pass
+    over the files; as many rows come back as there are layouts.
+    """
+    return _file_layouts(spark, path).groupBy("encoding", "header", "multi_line").count().orderBy(
+        F.desc("count"), "encoding", "header", "multi_line"
+    ).collect()
+
+
+def _file_layouts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    files = lines.groupBy("file").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("valid"),
+        F.bool_or(quotes % 2 == 1).alias("multi_line"),
+        F.min_by(F.col("value").cast("binary"), F.struct("block", "row")).alias("first"),
+    )
+    encoding = F.when(F.col("valid"), "UTF-8").otherwise("ISO-8859-1")
+    header = F.when(F.col("valid"), F.decode("first", "UTF-8")).otherwise(F.decode("first", "ISO-8859-1"))
+    return files.select("file", encoding.alias("encoding"), F.rtrim(header).alias("header"), "multi_line")
 
 
-def load_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
-    """Cleaned reviews from CSV files with a header.
+def load_csv(spark: SparkSession, path: str | list[str], multi_line: bool | None = None) -> DataFrame:
+    """Cleaned reviews from CSV files with a header, which may differ in columns, their order and encoding.
 
-    Values are read as text and cast leniently afterwards. Files that are not
-    valid UTF-8 are read as Latin-1; they are found by a scan of the files, of
-    which only names come back. With ``multi_line`` quoted values may hold line
-    breaks and every file is one task; without, large files are cut.
+    Values are read as text and cast leniently afterwards. A first pass finds
+    the layouts (an action). Files of the most frequent one are read by the
+    given path, so that only the names of the others come to the driver.
+    Large files are cut unless a quoted value holds a line break; ``multi_line``
+    says so for all files.
     """
-    parts = [
-        normalise_columns(_read_csv(spark, files, encoding, multi_line))
-        for encoding, files in file_encodings(spark, path).items()
-    ]
-    if not parts:
+    layouts = csv_layouts(spark, path)
+    if not layouts:
         raise ValueError(f"No rows in {path}.")
-    df = parts[0]
-    for part in parts[1:]:
-        df = df.unionByName(part, allowMissingColumns=True)
-    return clean_reviews(df)
+    others: dict[Row, list[str]] = {layout: [] for layout in layouts[1:]}
+    if others:
+        main = layouts[0]
+        same = (
+            (F.col("encoding") == main["encoding"])
+            & F.col("header").eqNullSafe(main["header"])
+            & (F.col("multi_line") == main["multi_line"])
+        )
+        by_layout = {tuple(layout)[:3]: layout for layout in others}
+        for row in _file_layouts(spark, path).where(~same).orderBy("file").toLocalIterator():
+            others[by_layout[(row["encoding"], row["header"], row["multi_line"])]].append(row["file"])
+
+    def read(layout: Row, files: str | list[str]) -> DataFrame:
+        whole = layout["multi_line"] if multi_line is None else multi_line
+        return _read_csv(spark, files, layout["header"], layout["encoding"], whole)
+
+    first = read(layouts[0], path)
+    if others:
+        excepted = [file for files in others.values() for file in files]
+        first = first.where(~F.col("_metadata.file_path").isin(excepted))
+    df = normalise_columns(first)
+    for layout, files in others.items():
+        df = df.unionByName(normalise_columns(read(layout, files)), allowMissingColumns=True)
+    return clean_reviews(_with_written_text(df))
+
+
+def _with_written_text(df: DataFrame) -> DataFrame:
+    """Of columns that are all strings, the first that holds more than numbers and truth values is the text."""
+    if "feedback_text" in df.columns:
+        return df
+    value = lambda name: T.text_trim(F.col(f"`{name}`"))
+    plain = [
+        F.bool_and(
+            (value(name) == "") | value(name).try_cast("double").isNotNull() | F.lower(value(name)).isin("true", "false")
+        ).alias(f"c{place}")
+        for place, name in enumerate(df.columns)
+    ]
+    found = df.agg(*plain).first()
+    for name, numeric in zip(df.columns, found):
+        if numeric is False:
+            return df.withColumnRenamed(name, "feedback_text")
+    raise ValueError("Dataset must contain a text column for feedback.")
 
 
 def normalise_columns(df: DataFrame) -> DataFrame:
@@ -99,12 +168,30 @@ def with_text_column(df: DataFrame) -> DataFrame:
     raise ValueError("Dataset must contain a text column for feedback.")
 
 
+def _plain_date(value: Column) -> Column:
+    """One spelling for separators, so that few patterns are left: 2024-1-5, 1/2/2024, 5 Jan 2024."""
+    plain = F.regexp_replace(T.text_trim(value), r"\s+", " ")
+    plain = F.regexp_replace(plain, r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})(?!\d)", "$1-$2-$3")
+    plain = F.regexp_replace(plain, r"^(\d{1,2})[-.](\d{1,2})[-.](\d{2,4})(?!\d)", "$1/$2/$3")
+    plain = F.regexp_replace(plain, r"^(\d{1,2})[- ]([A-Za-z]{3,9})\.?[- ,]+(\d{2,4})", "$1 $2 $3")
+    plain = F.regexp_replace(plain, r"^([A-Za-z]{3,9})\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})", "$1 $2 $3")
+    plain = F.regexp_replace(plain, r"(?<=\d)[Tt](?=\d)", " ")
+    plain = F.regexp_replace(plain, r"(?<=\d) ?([AaPp])\.?[Mm]\.?$", " $1M")
+    return F.regexp_replace(plain, r"(:\d{2}(?:\.\d+)?) ?([+-]\d{2}):?(\d{2})$", "$1$2:$3")
+
+
 def lenient_timestamp(value: Column) -> Column:
     """A timestamp from any of the accepted spellings, else NULL."""
-    parsed = [F.try_to_timestamp(T.text_trim(value), F.lit(pattern)) for pattern in DATE_FORMATS]
+    plain = _plain_date(value)
+    parsed = [F.try_to_timestamp(plain, F.lit(pattern)) for pattern in DATE_FORMATS]
     return F.coalesce(*parsed).cast("timestamp_ntz")
 
 
+def unparsed_dates(date: Column) -> Column:
+    """Aggregate: how many values of a text column are dates in no accepted spelling."""
+    return F.count_if((T.text_trim(date) != "") & lenient_timestamp(date).isNull())
+
+
 def with_normalised_rating(df: DataFrame, highest: float | None = None) -> DataFrame:
     """Ratings as numbers, and on a 0-100 scale when the highest is 10 or less.
 
@@ -165,7 +252,12 @@ def validate(df: DataFrame) -> DataFrame:
     missing = F.lit(0)
     if has["feedback_text"]:
         missing = F.count_if(F.col("feedback_text").isNull() | (F.col("feedback_text") == ""))
-    stats = df.agg(F.count("*").alias("n_rows"), missing.cast("bigint").alias("_missing"))
+    unparsed = F.lit(0)
+    if has["date"] and isinstance(df.schema["date"].dataType, types.StringType):
+        unparsed = unparsed_dates(F.col("date"))
+    stats = df.agg(
+        F.count("*").alias("n_rows"), missing.cast("bigint").alias("_missing"), unparsed.cast("bigint").alias("_unparsed")
+    )
     percent = F.when(F.col("n_rows") > 0, F.round(F.col("_missing") / F.col("n_rows") * 100, 2)).otherwise(F.lit(0.0))
     stats = stats.withColumn("missing_pct", percent)
     pct = F.col("missing_pct")
@@ -179,6 +271,8 @@ def validate(df: DataFrame) -> DataFrame:
         warnings.append(F.lit("No 'teacher_name' column found — analysis will be aggregated."))
     if not has["date"]:
         warnings.append(F.lit("No 'date' column found — trend analysis will be unavailable."))
+    dates = F.concat(F.col("_unparsed").cast("string"), F.lit(" dates could not be read."))
+    warnings.append(F.when(F.col("_unparsed") > 0, dates))
     return stats.select(
         F.lit(has["feedback_text"]).alias("is_valid"),
         "n_rows",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from reviewlens import constants as K
 from reviewlens.config import AggregationConfig
 from reviewlens.operators import cohort, skew
+from reviewlens.operators import entity as entity_module
 from reviewlens.operators.entity import (
     aggregate, aggregate_from_scores, entity_report, rank_entities, summarise_groups, unpivot_aspects,
 )
@@ -171,3 +172,15 @@ def test_entity_score_without_rows(spark):
     empty = spark.createDataFrame([], "polarity double, sentiment_label string")
     row = cohort.entity_score(empty, by=None, use_aspects=False).first()
     assert (row["overall_score"], row["grade"], row["descriptor"]) == (0.0, "N/A", "No data")
+
+
+def test_labels_do_not_depend_on_row_order(spark):
+    rows = [("e", ["b", "a"]), ("e", ["a", "c"]), ("e", ["c", "b"])]
+    df = spark.createDataFrame(rows, "teacher_name string, strengths_list array<string>")
+    found = {str(entity_module.summarise_groups(df.repartition(n), "teacher_name", []).first()["strengths"]) for n in (1, 2, 3)}
+    assert found == {"['a', 'b', 'c']"}
+
+
+def test_large_scores_are_summed(spark):
+    df = spark.createDataFrame([("e", 3e12)] * 8, "teacher_name string, x double")
+    assert entity_module.summarise_groups(df, "teacher_name", ["x"]).first()["mean_x"] == 3e12

@@ -36,7 +36,7 @@ SKEW_QUERIES = (
 @pytest.mark.parametrize("name", SKEW_QUERIES)
 def test_large_table_paths_give_the_same(spark, duck, monkeypatch, name):
     """The ways for large lookup tables, large groups and large rankings, forced by tiny limits."""
-    for limit, value in {"BROADCAST_ROWS": 3, "HOT_KEYS": 20, "SINGLE_TASK_ROWS": 5, "DIRECT_LIMIT": 1}.items():
+    for limit, value in {"BROADCAST_ROWS": 3, "HOT_KEYS": 20, "SINGLE_TASK_ROWS": 5, "PARTS": 2}.items():
         monkeypatch.setattr(skew, limit, value)
     result = compare(spark, duck, name, entry.queries()[name], entry.oracle_sql()[name], SF)
     assert result.startswith("equal"), result

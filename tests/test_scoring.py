@@ -10,7 +10,7 @@ from reviewlens.functions import aspects as A
 from reviewlens.functions import sentiment as S
 from reviewlens.functions import text as T
 from reviewlens.operators.duplicates import mark_duplicates, score_distinct
-from reviewlens.operators.score import detect_aspects, extract_labels, score_reviews
+from reviewlens.operators.score import SCORED_COLUMNS, detect_aspects, extract_labels, score_reviews
 
 # Sentences, overall, aspect scores, label, confidence, mixed, strengths, improvements.
 GOLDENS = [
@@ -186,3 +186,24 @@ def test_detect_aspects(spark):
         ("Engagement", 0.75), ("Responsiveness", 0.75), ("Communication", 0.45),
     ]
     assert second["aspects"] == []
+
+
+def test_full_record_flags_repeats(spark):
+    from reviewlens.operators.duplicates import analyze_batch
+
+    rows = [(1, "The teacher is excellent"), (2, " the TEACHER is excellent"), (3, ""), (4, ""), (5, "other words")]
+    df = spark.createDataFrame(rows, "review_id bigint, feedback_text string")
+    flags = {r["review_id"]: r["is_duplicate"] for r in analyze_batch(df).collect()}
+    assert flags == {1: False, 2: True, 3: False, 4: False, 5: False}
+    plain = analyze_batch(df, config=ScoringConfig(deduplicate=False))
+    assert not any(r["is_duplicate"] for r in plain.collect()) and "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distinct_scores_from_probabilities(spark):
+    made = [(i, f"text {i % 3}", [("POSITIVE", 0.2 + (i % 3) / 10), ("NEGATIVE", 0.8 - (i % 3) / 10)]) for i in range(12)]
+    df = spark.createDataFrame(made, "review_id bigint, feedback_text string, probs array<struct<label:string,score:double>>")
+    config = ScoringConfig(probabilities="probs")
+    columns = ("review_id", *SCORED_COLUMNS)
+    assert sorted(map(str, score_distinct(df, config=config).select(*columns).collect())) == sorted(
+        map(str, score_reviews(df, config=config).select(*columns).collect())
+    )

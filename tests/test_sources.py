@@ -92,3 +92,32 @@ def test_views(spark):
     assert views.explorer(df, 5).columns == ["teacher_name", "feedback_text"]
     assert sorted(r["review_id"] for r in views.first_comments(df, 2).collect()) == [1, 2, 3, 4]
     assert [r["review_id"] for r in views.head(df, 2).collect()] == [0, 1]
+
+
+def test_csv_files_with_other_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("teacher,comment\nAnn,all is very well\n")
+    (tmp_path / "b.csv").write_text("comment,teacher\nnothing is lost,Bob\n")
+    (tmp_path / "c.csv").write_text("id,opinion\n7,a third opinion\n".replace("opinion\n7", "comment\n7"))
+    rows = {r["feedback_text"]: r["teacher_name"] for r in ingest.load_csv(spark, str(tmp_path)).collect()}
+    assert rows == {"all is very well": "Ann", "nothing is lost": "Bob", "a third opinion": None}
+
+
+def test_csv_text_column_by_content(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,ok,opinion\n1234567,true,quite good\n1234568,false,not so good\n")
+    rows = ingest.load_csv(spark, str(tmp_path)).collect()
+    assert sorted(r["feedback_text"] for r in rows) == ["not so good", "quite good"]
+
+
+def test_date_spellings(spark):
+    spelled = {
+        "1/2/2024": "2024-01-02 00:00", "2024-1-5": "2024-01-05 00:00", "15 March 2024": "2024-03-15 00:00",
+        "Mar 5 2024": "2024-03-05 00:00", "2024-01-05 10:00:00+00:00": "2024-01-05 10:00", "2024.01.05": "2024-01-05 00:00",
+        "20240105": "2024-01-05 00:00", "5-Jan-2024": "2024-01-05 00:00", "01/02/2024 10:30": "2024-01-02 10:30",
+        "25/12/2024": "2024-12-25 00:00", "2024-01-05T10:30:00Z": "2024-01-05 10:30", "1/2/24": "2024-01-02 00:00",
+        "March 5th, 2024": "2024-03-05 00:00", "3/5/2024 4:05 pm": "2024-03-05 16:05", "garbage": None, "99/99/2024": None, "": None,
+    }
+    df = spark.createDataFrame([(k,) for k in spelled], "d string")
+    got = {r["d"]: r["p"] and f"{r['p']:%Y-%m-%d %H:%M}" for r in df.withColumn("p", ingest.lenient_timestamp(F.col("d"))).collect()}
+    assert got == spelled
+    dated = df.select(F.lit("some text").alias("feedback_text"), F.lit("t").alias("teacher_name"), F.col("d").alias("date"))
+    assert "2 dates could not be read." in ingest.validate(dated).first()["warnings"]

@@ -65,14 +65,18 @@ def test_content_key_ignores_order(spark):
     assert keys[0] == keys[1]
 
 
-def test_joined_comments_equal_a_plain_join(spark):
+def test_group_summary_reads_all_comments(spark):
     rng = random.Random(5)
-    rows = [(i, "g", "x" * rng.choice([1, 1, 2, 3, 5, 6, 40])) for i in range(5000)]
-    df = spark.createDataFrame(rows, "review_id bigint, g string, feedback_text string")
-    expected = " ".join(t for _, _, t in rows)[: K.SUMMARY_INPUT_CHARS]
-    assert summary.joined_comments(df.repartition(5), "g").first()["combined"] == expected
-    tiny = df.withColumn("feedback_text", F.lit("x"))
-    assert summary.joined_comments(tiny, "g").first()["combined"] == ("x " * 5000)[: K.SUMMARY_INPUT_CHARS]
+    rows = [(i, "g", "x" * rng.choice([1, 1, 2, 3, 5, 6, 20])) for i in range(5000)]
+    rows += [(9000 + i, "g", f"Sentence number {i} comes late. Short.") for i in range(5)]
+    rows += [(i, "words", "two words") for i in range(12)] + [(i, "none", "tiny text") for i in range(400)]
+    rows += [(1, "blank", "  "), (2, "blank", None)]
+    df = spark.createDataFrame(rows, "review_id bigint, g string, feedback_text string").repartition(5)
+    found = {r["g"]: r["summary"] for r in summary.summarise_feedback(df, "g").collect()}
+    assert found["g"] == " ".join(f"Sentence number {i} comes late." for i in range(3))
+    assert found["words"] == " ".join(["two words"] * 12)
+    assert found["none"] == " ".join(["tiny text"] * 400)[:300]
+    assert found["blank"] == ""
 
 
 def test_feedback_summary_edges(spark):

@@ -47,8 +47,23 @@ def test_detection_and_cosine(spark):
     assert [round(r["c"], 4) for r in row] == [0.7071, 0.0]
 
 
-def test_too_many_anchors(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "MAX_ANCHORS", 2)
+def test_too_many_anchors(spark):
     aspects = spark.createDataFrame([(str(i), [1.0]) for i in range(3)], "aspect string, embedding array<double>")
     with pytest.raises(ValueError):
-        vectors.detect_aspect_vectors(aspects, aspects.withColumnRenamed("x", "y"))
+        vectors.detect_aspect_vectors(aspects, aspects, max_anchors=2)
+
+
+def test_missing_vectors_and_poles(spark):
+    anchors = spark.createDataFrame([("Engagement", "positive", [1.0, 0.0]), ("Engagement", "positive", None)], "aspect string, pole string, embedding array<double>")
+    chunks = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "review_id bigint, embedding array<double>")
+    found = vectors.score_aspect_vectors(chunks, anchors).collect()
+    assert [r["review_id"] for r in found] == [1] and found[0]["aspect_detail"]["Engagement"]["negative_sim"] == 0.0
+    aspects = spark.createDataFrame([("a", [1.0, 0.0])], "aspect string, embedding array<double>")
+    rows = {r["review_id"]: r["aspects"] for r in vectors.detect_aspect_vectors(chunks, aspects, threshold=0.0).collect()}
+    assert len(rows[1]) == 1 and rows[2] == []
+
+
+def test_chunks(spark):
+    df = spark.createDataFrame([(1, "A first sentence. A second one here."), (2, " ")], "review_id bigint, feedback_text string")
+    assert [r["feedback_text"] for r in vectors.text_chunks(df).collect()] == ["A first sentence.", "A second one here."]
+    assert vectors.text_chunks(df, sentence_level=False).count() == 1
