@@ -184,3 +184,13 @@ def test_labels_do_not_depend_on_row_order(spark):
 def test_large_scores_are_summed(spark):
     df = spark.createDataFrame([("e", 3e12)] * 8, "teacher_name string, x double")
     assert entity_module.summarise_groups(df, "teacher_name", ["x"]).first()["mean_x"] == 3e12
+
+
+def test_hot_group_sends_few_rows(spark):
+    """One group with nine tenths of all rows: every task limits its own part before the first exchange."""
+    df = spark.range(0, 20_000, 1, 16).select("id", F.when(F.col("id") % 10 < 9, 0).otherwise(F.col("id")).alias("g"))
+    limited = skew.first_per_group(df, ["g"], [F.col("id")], 4, "id")
+    plan = limited._jdf.queryExecution().executedPlan().toString()
+    first = plan[plan.rindex("Exchange"):]
+    assert "WindowGroupLimit" in first and "_task" in first and "Partial" in first
+    assert limited.where("g = 0").count() == 4
