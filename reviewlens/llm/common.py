@@ -18,33 +18,28 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Smallest node that every node of ``edges`` (a, b) reaches: ``(node, component)``.
 
-    Labels fall along the edges and then jump to the label of the label, until
-    a round changes nothing. Each round is written to the shared folder, so a
-    lost executor never replays earlier rounds; only the number of changed
-    nodes comes to the driver. Self-links are fine, nodes without a link are
-    not part of the result, null ends are ignored.
+    Labels fall along the edges until a round changes nothing; from the fourth
+    round on they also jump to the label of the label, so that long chains take
+    few rounds. Each round is written to the shared folder, so a lost executor
+    never replays earlier rounds; only whether something changed comes to the
+    driver. Self-links are fine, nodes without a link are not part of the
+    result, null ends are ignored.
     """
     edges = edges.where("a is not null and b is not null")
-    both = materialise(
-        edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), f"{name}-links"
-    )
-    labels = materialise(
-        both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")),
-        f"{name}-labels",
-    )
+    both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-links")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    labels = materialise(labels.select("node", F.least("node", "component").alias("component")), f"{name}-labels")
+    rounds = 0
     while True:
-        heard = both.join(labels.select(F.col("node").alias("b"), "component"), "b").select(
-            F.col("a").alias("node"), "component"
-        )
-        lowest = heard.union(labels).groupBy("node").agg(F.min("component").alias("component"))
-        lowest = materialise(lowest, f"{name}-labels")
-        jump = lowest.select(F.col("node").alias("component"), F.col("component").alias("_next"))
-        jumped = lowest.join(jump, "component", "left").select(
-            "node", F.least("component", "_next").alias("component")
-        )
-        jumped = materialise(jumped, f"{name}-labels")
-        before = labels.select("node", F.col("component").alias("_old"))
-        changed = jumped.join(before, "node").where("component <> _old").limit(1).count()
-        labels = jumped
-        if not changed:
+        heard = both.join(labels.select(F.col("node").alias("b"), "component"), "b")
+        heard = heard.select(F.col("a").alias("node"), "component", F.lit(None).cast("bigint").alias("old"))
+        kept = labels.select("node", "component", F.col("component").alias("old"))
+        lowest = heard.union(kept).groupBy("node").agg(F.min("component").alias("component"), F.max("old").alias("old"))
+        if rounds >= 3:
+            jump = labels.select(F.col("node").alias("component"), F.col("component").alias("_next"))
+            lowest = lowest.join(jump, "component", "left").select("node", F.least("component", "_next").alias("component"), "old")
+        marked = materialise(lowest, f"{name}-labels")
+        labels = marked.select("node", "component")
+        rounds += 1
+        if marked.where("component <> old").isEmpty():
             return labels

@@ -5,16 +5,17 @@ sets of a size band are. Sets that are similar enough differ in fewer tokens
 than there are segments, so some segment holds the same tokens in both
 (pigeonhole). Two allocations of that budget exist, chosen per band by cost:
 
-* exact segments: a set puts the least common of its segments in the index, just
-  as many as two similar sets may differ in plus one. Full segments are the
-  rarest, and fullness is a property of the segment itself, so that two similar
-  sets always have a common choice;
+* exact segments, somewhat more than the pigeonhole needs: every set gives up
+  its most frequent segments, as many as are to spare. The order of frequency is
+  one for all sets, so two similar sets still have a segment in common, and text
+  that many sets share brings no candidates;
 * one-deletion neighbourhoods: half as many segments, each in the index with its
   tokens and with every single token left out, so that a segment in which the
   sets differ by one token is found as well.
 
-Texts with equal sets are one node throughout. Buckets give links to their
-smallest member first; what these leave apart is compared pair by pair.
+Texts with equal sets are one node throughout. Members of a bucket are linked to
+a few of them first; what these leave apart is compared pair by pair. Sizes and
+parity bitmaps, whose distance is a lower bound, come before whole sets.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewlens.llm.common import connected_components, materialise, table
@@ -33,9 +34,13 @@ from reviewlens.llm.shingles import WIDTH, mix, set_key, shingles
 
 PERCENT = 80
 BAND_GROWTH = 1.5
-#: Segments beyond those that the pigeonhole needs, so that thin ones can be left out.
-SPARE = 1.1
-#: What a thin segment (one token or none) costs in rows, through the false candidates that it brings.
+#: Segments in place of each that the pigeonhole needs, so that frequent ones can be left out.
+SPARE = 1.15
+#: Members of a bucket that all others are compared with first.
+CENTRES = 3
+#: Bits of the parity bitmap of the largest sets.
+MOST_BITS = 1 << 17
+#: What a thin segment (one token or none) costs in rows, through the false candidates that it may bring.
 THIN_COST = 25
 #: Above so many rows, texts to verify are joined by a shuffle and not by a broadcast of their 16-byte keys.
 BROADCAST_KEYS = 500_000
@@ -78,124 +83,216 @@ def allocation(number: int, percent: int) -> tuple[np.ndarray, bool]:
     return bounds, deletions
 
 
-def signatures(values: np.ndarray, percent: int) -> np.ndarray:
-    """Index entries of a sorted set, in its own band and, if larger partners may be there, the next one."""
+def signatures(values: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
+    """Index entries of a sorted set, and how many of them can be spared.
+
+    The entries are those of its own band and, if larger partners may be there,
+    the next one; the lowest bit of an entry is that of its band's number, and
+    the numbers to spare stand at that place.
+    """
     size = len(values)
+    spare = [0, 0]
     if not size:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), spare
     own, found = band_of(size, percent), []
     tokens = mix(values)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tokens)))
     for number in (own, own + 1):
         low, high = band(number, percent)
         largest = min(high, size * 100 // percent)
-        differ = most_different(size, largest, percent)
         if largest < low or most_different(high, high, percent) == 0:
             continue  # only equal sets are similar, and these are one node
         bounds, deletions = allocation(number, percent)
         places = np.append(np.searchsorted(values, bounds), size)
         segment = np.arange(1, len(bounds) + 1, dtype=np.uint64) + np.uint64(number << 32)
         content = sums[places[1:]] - sums[places[:-1]]
-        entries = mix(content + mix(segment))
-        counts = np.diff(places)
+        entries = [mix(content + mix(segment))]
         if deletions:
-            of = np.repeat(np.arange(len(bounds)), counts)
-            found += [entries, mix(content[of] - tokens + mix(segment[of]))]
+            of = np.repeat(np.arange(len(bounds)), np.diff(places))
+            entries.append(mix(content[of] - tokens + mix(segment[of])))
         else:
-            found.append(entries[np.lexsort((entries, -counts))[: differ + 1]])
-    return np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+            spare[number & 1] = len(bounds) - most_different(size, largest, percent) - 1
+        found += [e & ~np.uint64(1) | np.uint64(number & 1) for e in entries]
+    return np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64), spare
+
+
+def parity_bits(values: np.ndarray) -> np.ndarray:
+    """A bitmap in which every token flips one bit, as 64-bit words; it has four bits or more per token.
+
+    Two bitmaps differ in at most as many bits as the sets in tokens. One of
+    twice the bits folds to the other's by xor of its halves.
+    """
+    bits = min(MOST_BITS, max(64, 4 << (len(values) - 1).bit_length()))
+    flips = np.bincount((mix(values ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+_COLUMNS = {
+    "size": (("set_key", pa.int64()), ("n_shingles", pa.int64())),
+    "entries": (("set_key", pa.int64()), ("entries", pa.list_(pa.int64())), ("spare0", pa.int32()), ("spare1", pa.int32())),
+    "bits": (("set_key", pa.int64()), ("n", pa.int32()), ("bits", pa.list_(pa.int64()))),
+    "tokens": (("set_key", pa.int64()), ("tokens", pa.list_(pa.int64()))),
+}
+_SQL_TYPES = {pa.int64(): "bigint", pa.int32(): "int", pa.list_(pa.int64()): "array<bigint>"}
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
 
 
 def _sets(docs: DataFrame, keys: list[str], text: str, width: int, kind: str, percent: int = PERCENT) -> DataFrame:
-    """``keys`` with what ``kind`` names: the set's key and size, its index entries, or the set."""
+    """``keys`` with what ``kind`` names: the set's key and size, its index entries, its size and bitmap, or its tokens."""
     chosen = docs.select(*keys, F.col(text).alias("_text"))
     kinds = dict(chosen.dtypes)
-    kept = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    rest = {"size": "set_key bigint, n_shingles bigint", "entries": "set_key bigint, entries array<bigint>",
-            "set": "set_key bigint, tokens array<bigint>"}[kind]
+    columns = _COLUMNS[kind]
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), *(f"{n} {_SQL_TYPES[t]}" for n, t in columns)])
+
+    def described(values: np.ndarray) -> tuple:
+        if kind == "size":
+            return (len(values),)
+        if kind == "entries":
+            entries, spare = signatures(values, percent)
+            return (entries, *spare)
+        if kind == "bits":
+            return (len(values), parity_bits(values)) if len(values) else (0, np.zeros(1, np.int64))
+        return (values.view(np.int64),)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows, names, lists = [], [], []
+                rows, made = [], []
                 for row, value in enumerate(part.column("_text").to_pylist()):
                     values = shingles(value, width)
                     key = set_key(values)
-                    if kind == "size":
-                        lists.append(len(values))
-                    else:  # a copy adds nothing to the index; forgetting some that were seen only adds rows
+                    if kind != "size":  # a copy adds nothing; forgetting some that were seen only adds rows
                         if key in seen:
                             continue
                         if len(seen) >= _SEEN:
                             seen.clear()
                         seen.add(key)
-                        lists.append(signatures(values, percent) if kind == "entries" else values.view(np.int64))
                     rows.append(row)
-                    names.append(key)
-                if kind == "size":
-                    last = pa.array(lists, pa.int64())
-                else:
-                    offsets = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-                    flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-                    last = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-                columns = [part.column(k).take(pa.array(rows, pa.int32())) for k in keys]
-                schema = [*keys, "set_key", "n_shingles" if kind == "size" else "entries" if kind == "entries" else "tokens"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.int64()), last], schema)
-
-    return chosen.mapInArrow(hashed, f"{kept}, {rest}" if keys else rest)
-
-
-def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are similar, compared in full."""
-    left = tokens.select(F.col("set_key").alias("a"), F.col("tokens").alias("_a"))
-    right = tokens.select(F.col("set_key").alias("b"), F.col("tokens").alias("_b"))
-    joined = pairs.join(left, "a").join(right, "b")
-    joined = joined.withColumn("_both", F.size(F.array_intersect("_a", "_b")))
-    union = F.size("_a") + F.size("_b") - F.col("_both")
-    return joined.where(100 * F.col("_both") >= percent * union).select("a", "b")
+                    made.append((key, *described(values)))
+                arrays = [part.column(k).take(pa.array(rows, pa.int32())) for k in keys]
+                for place, (_, kind_of) in enumerate(columns):
+                    column = [m[place] for m in made]
+                    arrays.append(_lists(column) if kind_of == pa.list_(pa.int64()) else pa.array(column, kind_of))
+                yield pa.RecordBatch.from_arrays(arrays, [*keys, *(n for n, _ in columns)])
+
+    return chosen.mapInArrow(hashed, schema)
+
+
+def _may_be_similar(percent: int) -> Column:
+    """Whether sizes and bitmaps (n and bits of a and b) allow the similarity; false for no similar pair."""
+    folded = "zip_with(slice({0}, 1, size({0}) div 2), slice({0}, size({0}) div 2 + 1, size({0}) div 2), (x, y) -> x ^ y)"
+    left = f"case when size(bits_a) > size(bits_b) then {folded.format('bits_a')} else bits_a end"
+    right = f"case when size(bits_b) > size(bits_a) then {folded.format('bits_b')} else bits_b end"
+    return F.expr(
+        f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and aggregate("
+        f"zip_with({left}, {right}, (x, y) -> bit_count(x ^ y)), 0, (total, c) -> total + c) "
+        f"<= {100 - percent} * (n_a + n_b) div {100 + percent}"
+    )
 
 
-def similar_sets(docs: DataFrame, text: str, sizes: DataFrame, percent: int, width: int) -> DataFrame:
-    """``(node, component)`` of all set keys with a link to another set.
+class _Texts:
+    """Looks up sets again from their texts, so that only those of compared pairs are ever written.
 
     ``sizes`` holds one row per text: set_key, text_key (a hash of the text).
     """
+
+    def __init__(self, docs: DataFrame, text: str, sizes: DataFrame, percent: int, width: int):
+        self.docs, self.text, self.sizes, self.percent, self.width = docs, text, sizes, percent, width
+
+    def of(self, ids: DataFrame, kind: str) -> DataFrame:
+        """``kind`` of the sets named by ``ids`` (set_key)."""
+        wanted = ids.distinct().join(self.sizes, "set_key").groupBy("set_key").agg(F.min("text_key").alias("_text_key"))
+        keys = materialise(wanted.select("_text_key").distinct(), "wanted")
+        if keys.count() <= BROADCAST_KEYS:
+            keys = F.broadcast(keys)
+        texts = self.docs.select(F.col(self.text).alias("_text"))
+        texts = texts.join(keys, F.xxhash64("_text") == F.col("_text_key"), "left_semi")
+        return materialise(_sets(texts, [], "_text", self.width, kind), kind)
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b) that are similar, by all of their tokens."""
+        pairs = materialise(pairs, "pairs")
+        if pairs.isEmpty():
+            return pairs
+        tokens = self.of(pairs.select(F.explode(F.array("a", "b")).alias("set_key")), "tokens")
+        joined = pairs.join(tokens.toDF("a", "_a"), "a").join(tokens.toDF("b", "_b"), "b")
+        joined = joined.withColumn("_both", F.size(F.array_intersect("_a", "_b")))
+        union = F.size("_a") + F.size("_b") - F.col("_both")
+        return materialise(joined.where(100 * F.col("_both") >= self.percent * union).select("a", "b"), "links")
+
+
+def _with_facts(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    return pairs.join(facts.toDF("a", "n_a", "bits_a"), "a").join(facts.toDF("b", "n_b", "bits_b"), "b")
+
+
+def shared_entries(docs: DataFrame, text: str, percent: int, width: int) -> DataFrame:
+    """(entry, id) of the entries that several sets have, without those that a set can spare."""
     entries = _sets(docs, [], text, width, "entries", percent).select(
-        F.explode("entries").alias("entry"), F.col("set_key").alias("id")
+        F.explode("entries").alias("entry"), F.col("set_key").alias("id"), "spare0", "spare1"
     )
+    odd = F.col("entry").bitwiseAND(F.lit(1)) == 1
+    entries = entries.select("entry", "id", F.when(odd, F.col("spare1")).otherwise(F.col("spare0")).alias("spare"))
     bucket = Window.partitionBy("entry")
-    entries = entries.withColumn("first", F.min("id").over(bucket)).withColumn("last", F.max("id").over(bucket))
-    shared = materialise(entries.where("first <> last").select("entry", "id", "first"), "shared-entries")
-
-    # Whole sets, only of texts that share an entry.
-    wanted = shared.select(F.col("id").alias("set_key")).distinct().join(sizes, "set_key")
-    wanted = materialise(wanted.groupBy("set_key").agg(F.min("text_key").alias("_text_key")), "wanted")
-    keys = wanted.select("_text_key").distinct()
-    if wanted.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    texts = docs.select(F.col(text).alias("_text"))
-    texts = texts.join(keys, F.xxhash64("_text") == F.col("_text_key"), "left_semi")
-    tokens = materialise(_sets(texts, [], "_text", width, "set"), "sets")
-
-    stars = shared.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialise(_verified(stars, tokens, percent), "links")
-    found = connected_components(links)
+    entries = entries.withColumns(
+        {"members": F.count("*").over(bucket), "first": F.min("id").over(bucket), "last": F.max("id").over(bucket)}
+    )
+    # Entries of one set only are its rarest; what follows is about the few others.
+    shared = entries.where("first <> last").groupBy("entry", "id")
+    shared = shared.agg(F.max("members").alias("members"), F.max("spare").alias("spare"))
+    frequent_first = Window.partitionBy("id", F.col("entry").bitwiseAND(F.lit(1))).orderBy(F.desc("members"), "entry")
+    shared = shared.withColumn("_rank", F.row_number().over(frequent_first))
+    return shared.where(F.col("_rank") > F.col("spare")).select("entry", "id")
+
+
+def similar_sets(docs: DataFrame, text: str, sizes: DataFrame, percent: int, width: int) -> DataFrame:
+    """``(node, component)`` of all set keys with a link to another set.
 
-    # What the stars left apart: members of a bucket that are in different components, pair by pair.
-    placed = shared.select("entry", "id").distinct().join(
-        found.withColumnRenamed("node", "id"), "id", "left"
-    ).withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("entry").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
-    placed = materialise(placed.join(mixed.where("_low <> _high").select("entry"), "entry"), "apart")
-    other = placed.select("entry", F.col("id").alias("b"), F.col("component").alias("_other"))
-    apart = placed.withColumnRenamed("id", "a").join(other, "entry").where("a < b and component <> _other")
-    apart = apart.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialise(_verified(apart, tokens, percent), "links")
-    if more.isEmpty():
-        return found
-    return connected_components(links.unionByName(more))
+    ``sizes`` holds one row per text: set_key, text_key (a hash of the text).
+    """
+    shared = shared_entries(docs, text, percent, width)
+    bucket = Window.partitionBy("entry")
+    centres = F.array_distinct(
+        F.array(*(F.min_by("id", F.xxhash64("id", F.lit(j))).over(bucket) for j in range(CENTRES)))
+    )
+    shared = shared.withColumns({"first": F.min("id").over(bucket), "last": F.max("id").over(bucket), "centres": centres})
+    shared = materialise(shared.where("first <> last").select("entry", "id", "centres"), "shared-entries")
+
+    texts = _Texts(docs, text, sizes, percent, width)
+    facts = texts.of(shared.select(F.col("id").alias("set_key")), "bits")
+    similar = _may_be_similar(percent)
+
+    def with_components(rows: DataFrame, column: str, found: DataFrame) -> DataFrame:
+        """``rows`` with the component of ``column`` as ``_column``; a set without a link is its own."""
+        named = found.select(F.col("node").alias(column), F.col("component").alias(f"_{column}"))
+        return rows.join(named, column, "left").withColumn(f"_{column}", F.coalesce(f"_{column}", column))
+
+    stars = shared.select(F.explode("centres").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
+    stars = materialise(_with_facts(stars, facts).where(similar).select("a", "b"), "stars")
+    # One centre for each set, by an order of all centres; then those that are still in another component.
+    links = texts.similar(stars.groupBy("b").agg(F.min_by("a", F.xxhash64("a")).alias("a")).select("a", "b"))
+    found = connected_components(links)
+    others = with_components(with_components(stars, "a", found), "b", found).where("_a <> _b")
+    more = texts.similar(others.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        found = connected_components(links)
+
+    # What the centres left apart: members of a bucket that are in different components, pair by pair.
+    placed = with_components(shared.select("entry", "id"), "id", found)
+    mixed = placed.groupBy("entry").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high"))
+    placed = placed.join(mixed.where("_low <> _high").select("entry"), "entry")
+    placed = materialise(placed.join(facts.withColumnRenamed("set_key", "id"), "id"), "apart")
+    left = placed.select("entry", *(F.col(c).alias(f"{n}a") for c, n in (("id", ""), ("_id", "_"), ("n", "n_"), ("bits", "bits_"))))
+    right = placed.select("entry", *(F.col(c).alias(f"{n}b") for c, n in (("id", ""), ("_id", "_"), ("n", "n_"), ("bits", "bits_"))))
+    close = (left["entry"] == right["entry"]) & F.expr("a < b and _a <> _b") & similar
+    more = texts.similar(left.join(right, close).select("a", "b").distinct())
+    return found if more.isEmpty() else connected_components(links.unionByName(more))
 
 
 def _components(docs: DataFrame, key: str, text: str, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
