@@ -2,9 +2,9 @@
 
 Pages of a host that are neighbours by URL path are aligned line by line by
 their longest common subsequence; lines that both have come from the site's
-layout and are deleted. Parsing marks what the page itself declares: elements
-that are no main text are never lines, and lines inside an article are kept even
-if another page has them, since an article may quote or repeat.
+layout and are deleted. Parsing adds evidence: elements that are no main text are
+never lines, a line aligns only with one in the same kind of landmark, and prose
+inside an article is kept even if another page has it, since an article may quote.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from reviewlens.llm.common import table
 SAMPLE, BLOCK_PAGES, MOST_BLOCKS = 20_000, 50, 10_000
 #: Two pages that share more than this part of the text are copies, and no evidence of layout.
 COPY_SHARE = 0.5
+#: Lines of so many characters are prose, and stay where they are in a landmark.
+PROSE = 100
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""",
@@ -178,7 +180,7 @@ class _Page:
         self.row, self.host, self.path = row, host, path
         self.lines = lines.split("\n") if marks else []
         self.marks = marks
-        self.hashes = [hash(line) for line in self.lines]
+        self.hashes = [hash(pair) for pair in zip(self.lines, marks, strict=True)]
         self.size = sum(map(len, self.lines))
 
     def shared(self, other: _Page) -> set[int] | None:
@@ -191,10 +193,7 @@ class _Page:
 
     def main_text(self, neighbours: list[_Page]) -> tuple[str, int]:
         gone = set().union(*(self.shared(page) or () for page in neighbours))
-        landmark = next((m for m in "am" if m in self.marks), "")
-        if landmark:
-            kept = [line for line, mark in zip(self.lines, self.marks, strict=True) if mark == landmark]
-            return "\n\n".join(kept), sum(self.marks[i] != landmark for i in gone)
+        gone = {i for i in gone if self.marks[i] == "-" or len(self.lines[i]) < PROSE}
         return "\n\n".join(line for i, line in enumerate(self.lines) if i not in gone), len(gone)
 
 

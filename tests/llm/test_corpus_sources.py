@@ -154,6 +154,24 @@ def test_shared_lines_are_deleted(spark):
     assert pages.extract_main_text(df.limit(0)).count() == 0
 
 
+def texts_of(spark, made):
+    found = pages.extract_main_text(spark.createDataFrame(made, "page_id bigint, url string, html string").repartition(3)).collect()
+    assert Counter(r.page_id for r in found) == Counter(r[0] for r in made)
+    return {r.page_id: (r.text, r.n_shared) for r in found}
+
+
+def test_alignment_decides_beside_landmarks(spark):
+    """A body beside teaser articles stays; layout inside an article goes; a passage that articles quote stays."""
+    body = lambda i: f"<div><p>{prose(i, 40)}</p></div><article><p>Teaser {i}</p></article>"
+    inner = lambda i: f"<article><p>Share this</p><p>{prose(i, 60)}</p><p>{prose(999, 30)}</p><p>Back to top</p></article>"
+    made = [(i, f"http://a.org/{i:03d}", f"<p>Our site</p>{body(i)}<p>Terms</p>") for i in range(9)]
+    made += [(100 + i, f"http://b.org/{i:03d}", f"<p>Our site</p>{inner(i)}") for i in range(9)]
+    found = texts_of(spark, made)
+    for i in range(9):
+        assert found[i] == (f"{prose(i, 40)}\n\nTeaser {i}", 2)
+        assert found[100 + i] == (f"{prose(i, 60)}\n\n{prose(999, 30)}", 3)
+
+
 # Chats.
 
 
