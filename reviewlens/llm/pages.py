@@ -23,9 +23,11 @@ from reviewlens.llm.common import table
 
 #: URLs that come to the driver to cut the order of URLs into blocks of so many pages, and the most blocks.
 SAMPLE, BLOCK_PAGES, MOST_BLOCKS = 20_000, 50, 10_000
-#: Two pages that share more than this part of the text are copies, and no evidence of layout.
-COPY_SHARE = 0.5
-#: Lines of so many characters are prose, and stay where they are in a landmark.
+#: Pages that share more than MUCH of the text are copies, and no evidence of layout, if they share so much of what is no layout.
+MUCH, COPY_SHARE = 0.5, 0.8
+#: Different pages on either side among which a neighbour is sought that is no copy.
+REACH = 4
+#: Lines of so many characters are prose: those in a landmark stay, and pages that share mostly such lines are copies.
 PROSE = 100
 
 _TOKEN = re.compile(
@@ -174,44 +176,107 @@ def common_lines(left: list[int], right: list[int]) -> set[int]:
 
 
 class _Page:
-    __slots__ = ("row", "host", "path", "lines", "marks", "hashes", "size")
+    """The lines of a page; copies in a group of pages are one object."""
 
-    def __init__(self, row: tuple, host: str, path: str, lines: str, marks: str):
-        self.row, self.host, self.path = row, host, path
+    __slots__ = ("lines", "marks", "hashes", "size", "plain", "known")
+
+    def __init__(self, lines: str, marks: str):
         self.lines = lines.split("\n") if marks else []
         self.marks = marks
         self.hashes = [hash(pair) for pair in zip(self.lines, marks, strict=True)]
         self.size = sum(map(len, self.lines))
-
-    def shared(self, other: _Page) -> set[int] | None:
-        """Lines that ``other`` has as well in the same order; None if the two are copies."""
-        both = common_lines(self.hashes, other.hashes)
-        both = {i for i in both if self.lines[i]}
-        if sum(len(self.lines[i]) for i in both) > COPY_SHARE * self.size:
-            return None
-        return both
-
-    def main_text(self, neighbours: list[_Page]) -> tuple[str, int]:
-        gone = set().union(*(self.shared(page) or () for page in neighbours))
+        self.plain = hash(re.sub("[0-9]+", "0", lines))
+        self.known: dict[_Page, set[int]] = {}
+
+    def shared(self, other: _Page) -> set[int]:
+        """Lines that ``other`` has as well in the same order."""
+        if other not in self.known:
+            self.known[other] = common_lines(self.hashes, other.hashes)
+        return self.known[other]
+
+    def chars(self, places: set[int]) -> int:
+        return sum(len(self.lines[i]) for i in places)
+
+    def is_copy(self, other: _Page, reach: list[_Page]) -> bool:
+        """Whether the two hold the same text, that is, share nearly all that is no layout.
+
+        Layout is what this page has in common with the page in reach that it
+        shares least with. If no page tells layout and text apart, as all share
+        as much, pages are copies that share nearly all, and mostly prose.
+        """
+        if self.plain == other.plain:
+            return True
+        both = self.shared(other)
+        much = self.chars(both)
+        if much <= MUCH * min(self.size, other.size):
+            return False
+        layouts = [self.shared(page) for page in reach if page is not other and page.plain != self.plain]
+        layout = min(layouts, key=self.chars, default=both)
+        if self.chars(layout) < COPY_SHARE * much:
+            body = set(range(len(self.lines))) - layout
+            return self.chars(both & body) >= COPY_SHARE * self.chars(body)
+        prose = self.chars({i for i in both if len(self.lines[i]) >= PROSE})
+        return much >= COPY_SHARE * max(self.size, other.size) and prose > MUCH * much
+
+    def main_text(self, before: list[_Page], after: list[_Page]) -> tuple[str, int]:
+        """The text, and the lines deleted; the pages before and after with the nearest first."""
+        reach = before + after
+        gone: set[int] = set()
+        for side in (before, after):
+            near = next((page for page in side if not self.is_copy(page, reach)), None)
+            if near:
+                gone |= self.shared(near)
         gone = {i for i in gone if self.marks[i] == "-" or len(self.lines[i]) < PROSE}
         return "\n\n".join(line for i, line in enumerate(self.lines) if i not in gone), len(gone)
 
 
+def _reaches(pages: list[_Page], digests: list[int]) -> Iterator[list[_Page]]:
+    """Per page the last pages before it with another digest each, nearest first."""
+    recent: dict[int, _Page] = {}
+    for page, digest in zip(pages, digests, strict=True):
+        yield [recent[d] for d in reversed(recent) if d != digest][:REACH]
+        recent.pop(digest, None)
+        recent[digest] = page
+        if len(recent) > REACH + 1:
+            del recent[next(iter(recent))]
+
+
+def _settled(group: list[tuple]) -> Iterator[tuple]:
+    """(page_id, url, text, lines deleted) of the own rows of a host's pages in order, (page_id, url, digest, own, lines, marks)."""
+    known: dict[tuple[str, str], _Page] = {}
+    for row in group:
+        if row[4:] not in known:
+            known[row[4:]] = _Page(*row[4:])
+    pages = [known[row[4:]] for row in group]
+    digests = [row[2] for row in group]
+    after = list(_reaches(pages[::-1], digests[::-1]))[::-1]
+    found: dict[tuple, tuple[str, int]] = {}
+    for row, page, *sides in zip(group, pages, _reaches(pages, digests), after, strict=True):
+        if row[3]:
+            key = (page, *map(tuple, sides))
+            if key not in found:
+                found[key] = page.main_text(*sides)
+            yield (*row[:2], *found[key])
+
+
 def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Per row: page_id, url, text, n_shared (lines deleted as the neighbour has them).
+    """Per row: page_id, url, text, n_shared (lines deleted as a neighbour has them).
 
-    Neighbours are the pages of the host before and after in the order of path
-    and key, inside blocks of that order; a copy is passed over. A null html is
+    Neighbours are the nearest pages of the host before and after in the order of
+    path and key that are no copies, inside blocks of that order. A null html is
     an empty page, a null URL stands in a host of its own. Repeated rows are
     pages as well.
     """
     text = F.coalesce(F.col(url), F.lit(""))
     host = F.lower(F.regexp_extract(text, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(text, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
+    # Markup may differ between copies, as in links with a session.
+    digest = F.xxhash64(F.regexp_replace(F.coalesce(F.col(html), F.lit("")), "<[^>]*>", ""))
     rows = pages.select(
-        F.col(key).alias("page_id"), F.col(url).alias("url"), host.alias("host"), path.alias("path"), F.col(html).alias("html")
-    )
-    places = rows.select("host", "path", F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("id"))
+        F.col(key).alias("page_id"), F.col(url).alias("url"), host.alias("host"), path.alias("path"),
+        F.coalesce(F.col(key).cast("string"), F.lit("")).alias("id"), digest.alias("digest"), F.col(html).alias("html"),
+    )
+    places = rows.select("host", "path", "id")
     count = places.count()
     every = max(1, count // SAMPLE)
     sample = places.where(F.pmod(F.xxhash64("host", "path", "id"), F.lit(every)) == 0).distinct()
@@ -219,57 +284,58 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
     blocks = max(1, min(MOST_BLOCKS, count // BLOCK_PAGES, len(order)))
     bounds = [order[i * len(order) // blocks] for i in range(1, blocks)]
     kinds = dict(rows.dtypes)
-    parsed_schema = f"page_id {kinds['page_id']}, url string, host string, path string, id string, block int, lines string, marks string"
+    names = ["page_id", "url", "host", "path", "id", "digest", "block", "own", "lines", "marks"]
+    parsed_schema = (
+        f"page_id {kinds['page_id']}, url string, host string, path string, id string, digest bigint, block int, own boolean, "
+        "lines string, marks string"
+    )
+    place_names = ["host", "path", "id", "digest"]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)
-                hosts, paths = part.column("host").to_pylist(), part.column("path").to_pylist()
-                ids = ["" if v is None else str(v) for v in part.column("page_id").to_pylist()]
+                keys = list(zip(*(part.column(name).to_pylist() for name in place_names), strict=True))
                 found = [page_lines(value) for value in part.column("html").to_pylist()]
+                out = [(i, bisect_right(bounds, k[:3]), True) for i, k in enumerate(keys)]
+                lines = pa.array(["\n".join(line for line, _ in lines) for lines in found], pa.string())
+                marks = pa.array(["".join(mark[:1] or "-" for _, mark in lines) for lines in found], pa.string())
+                at, blocks, own = zip(*out, strict=True)
+                at = pa.array(at, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("page_id"), part.column("url"), part.column("host"), part.column("path"), pa.array(ids, pa.string()),
-                        pa.array([bisect_right(bounds, k) for k in zip(hosts, paths, ids, strict=True)], pa.int32()),
-                        pa.array(["\n".join(line for line, _ in lines) for lines in found], pa.string()),
-                        pa.array(["".join(mark[:1] or "-" for _, mark in lines) for lines in found], pa.string()),
+                        *(part.column(name).take(at) for name in names[:6]),
+                        pa.array(blocks, pa.int32()), pa.array(own, pa.bool_()), lines.take(at), marks.take(at),
                     ],
-                    ["page_id", "url", "host", "path", "id", "block", "lines", "marks"],
+                    names,
                 )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "url", "text", "n_shared"]
-        done: list[tuple] = []
+        types: list[pa.DataType] = []
 
-        def sent() -> pa.RecordBatch:
-            columns = list(zip(*done, strict=True))
-            done.clear()
-            types = (types_of[0], pa.string(), pa.string(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+        def sent(done: list[tuple]) -> Iterator[pa.RecordBatch]:
+            for start in range(0, len(done), 256):
+                columns = zip(*done[start : start + 256], strict=True)
+                arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text", "n_shared"])
 
-        def settle(before: _Page | None, page: _Page, after: _Page | None) -> None:
-            near = [p for p in (before, after) if p and p.row[2] == page.row[2] and p.host == page.host]
-            done.append((*page.row[:2], *page.main_text(near)))
-
-        types_of: list[pa.DataType] = []
-        before = page = None
+        done: list[tuple] = []
+        group: list[tuple] = []
+        at = None
         for batch in batches:
-            types_of[:] = [batch.schema.field("page_id").type]
-            for page_id, address, host, path, _, block, lines, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                after = _Page((page_id, address, block), host, path, lines, marks)
-                if page:
-                    settle(before, page, after)
-                before, page = page, after
-                if len(done) >= 256:
-                    yield sent()
-        if page:
-            settle(before, page, None)
-        if done:
-            yield sent()
+            types[:] = (batch.schema.field("page_id").type, pa.string(), pa.string(), pa.int64())
+            for page_id, address, host, _, _, digest, block, own, lines, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (block, host) != at:
+                    done += _settled(group)
+                    group, at = [], (block, host)
+                    if len(done) >= 256:
+                        yield from sent(done)
+                        done = []
+                group.append((page_id, address, digest, own, lines, marks))
+        yield from sent([*done, *_settled(group)])
 
     parsed = rows.mapInArrow(parse, parsed_schema)
-    parsed = parsed.repartition("block").sortWithinPartitions("block", "host", "path", "id", "lines")
+    parsed = parsed.repartition("block").sortWithinPartitions("block", "host", "path", "id", "digest", "lines")
     return parsed.mapInArrow(compare, f"page_id {kinds['page_id']}, url string, text string, n_shared bigint")
 
 

@@ -172,6 +172,21 @@ def test_alignment_decides_beside_landmarks(spark):
         assert found[100 + i] == (f"{prose(i, 60)}\n\n{prose(999, 30)}", 3)
 
 
+def test_copies_are_passed_over(spark):
+    """Copies, equal or nearly so, are no evidence; pages with more layout than text are no copies."""
+    layout = "".join(f"<p>Link {c} of the menu</p>" for c in "abcdefgh")
+    made = [(i, f"http://a.org/{i:03d}", f"{layout}<p>{prose(i, 4)}</p>") for i in range(9)]
+    text = f"<p>{prose(5, 40)}</p><p>{prose(6, 40)}</p>"
+    for i in range(9):
+        body = text if i in (3, 4) else f"{text}<p>Printed on day {i}</p>" if i in (5, 6) else f"<p>{prose(i, 40)}</p>"
+        made.append((100 + i, f"http://b.org/{i:03d}", layout + body))
+    found = texts_of(spark, made)
+    assert all(found[i] == (prose(i, 4), 8) for i in range(9))
+    kept = f"{prose(5, 40)}\n\n{prose(6, 40)}"
+    assert found[103] == found[104] == (kept, 8)
+    assert found[105] == (f"{kept}\n\nPrinted on day 5", 8) and found[106] == (f"{kept}\n\nPrinted on day 6", 8)
+
+
 # Chats.
 
 
