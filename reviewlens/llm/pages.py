@@ -259,13 +259,38 @@ def _settled(group: list[tuple]) -> Iterator[tuple]:
             yield (*row[:2], *found[key])
 
 
+def _edges(rows: list[tuple], last: bool = False) -> list[tuple]:
+    """Of rows (host, path, id, digest) the first or last ones with another digest each, so many as a page next to them may need."""
+    best: dict[tuple, tuple] = {}
+    for row in sorted(set(rows), reverse=last):
+        best.setdefault((row[0], row[3]), row)
+        if len(best) > REACH:
+            break
+    return list(best.values())
+
+
+def _context(ends: dict[int, list[tuple]]) -> dict[tuple, list[int]]:
+    """The blocks that a row has to be sent to besides its own, as pages there may need it."""
+    sent = defaultdict(list)
+    for last in (True, False):
+        carried: list[tuple] = []
+        for block in sorted(ends, reverse=not last):
+            edge = min(ends[block]) if last else max(ends[block])
+            for row in carried:
+                if row[0] == edge[0]:
+                    sent[row].append(block)
+            carried = _edges(carried + ends[block], last)
+    return dict(sent)
+
+
 def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Per row: page_id, url, text, n_shared (lines deleted as a neighbour has them).
 
     Neighbours are the nearest pages of the host before and after in the order of
-    path and key that are no copies, inside blocks of that order. A null html is
-    an empty page, a null URL stands in a host of its own. Repeated rows are
-    pages as well.
+    path and key that are no copies. That order is cut into blocks, which also
+    get the pages beyond their ends that theirs may need, so that blocks change
+    no result. A null html is an empty page, a null URL stands in a host of its
+    own. Repeated rows are pages as well.
     """
     text = F.coalesce(F.col(url), F.lit(""))
     host = F.lower(F.regexp_extract(text, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
@@ -291,13 +316,42 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
     )
     place_names = ["host", "path", "id", "digest"]
 
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first and last rows of each block, with another digest each."""
+        found: dict[int, list[tuple]] = defaultdict(list)
+        for batch in batches:
+            for row in zip(*(batch.column(name).to_pylist() for name in place_names), strict=True):
+                held = found[bisect_right(bounds, row[:3])]
+                held.append(row)
+                if len(held) > 64:
+                    held[:] = _edges(held) + _edges(held, True)
+        kept = [(*row, block) for block, held in found.items() for row in {*_edges(held), *_edges(held, True)}]
+        for start in range(0, len(kept), 10_000):
+            columns = zip(*kept[start : start + 10_000], strict=True)
+            types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [*place_names, "block"])
+
+    context: dict[tuple, list[int]] = {}
+    if bounds:
+        schema = "host string, path string, id string, digest bigint, block int"
+        found = rows.select(*place_names).mapInArrow(ends, schema).repartition("block").mapInArrow(ends, schema)
+        edges = defaultdict(list)
+        for r in found.toLocalIterator():
+            edges[r.block].append(tuple(r)[:4])
+        context = _context(edges)
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = set()
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)
                 keys = list(zip(*(part.column(name).to_pylist() for name in place_names), strict=True))
                 found = [page_lines(value) for value in part.column("html").to_pylist()]
                 out = [(i, bisect_right(bounds, k[:3]), True) for i, k in enumerate(keys)]
+                for i, k in enumerate(keys):
+                    if k in context and k not in sent:
+                        sent.add(k)
+                        out += [(i, block, False) for block in context[k]]
                 lines = pa.array(["\n".join(line for line, _ in lines) for lines in found], pa.string())
                 marks = pa.array(["".join(mark[:1] or "-" for _, mark in lines) for lines in found], pa.string())
                 at, blocks, own = zip(*out, strict=True)

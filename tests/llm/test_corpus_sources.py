@@ -187,6 +187,18 @@ def test_copies_are_passed_over(spark):
     assert found[105] == (f"{kept}\n\nPrinted on day 5", 8) and found[106] == (f"{kept}\n\nPrinted on day 6", 8)
 
 
+def test_blocks_change_no_result(spark, monkeypatch):
+    made = [(i, f"http://a.org/{i:03d}", f"<p>Our site</p><p>{prose(i // 3, 30)}</p><p>Terms</p>") for i in range(24)]
+    made += [(100 + 10 * h + i, f"http://h{h}.org/{i}", f"<p>Welcome</p><p>{prose(50 + h + 9 * i, 20)}</p>") for h in range(9) for i in (0, 1)]
+    monkeypatch.setattr(pages, "MOST_BLOCKS", 1)
+    whole = texts_of(spark, made)
+    assert all(whole[i] == (prose(i // 3, 30), 2) for i in range(24)) and all(n == 1 for i, (_, n) in whole.items() if i >= 100)
+    for size in (1, 2, 5):
+        monkeypatch.setattr(pages, "MOST_BLOCKS", 10_000)
+        monkeypatch.setattr(pages, "BLOCK_PAGES", size)
+        assert texts_of(spark, made) == whole
+
+
 # Chats.
 
 
