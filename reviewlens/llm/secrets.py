@@ -50,6 +50,8 @@ CLASSES = (
     CharacterClass("entropy_hex", re.compile(r"[0-9a-fA-F]{20,}"), 20, 3.0),
     CharacterClass("entropy_alnum", re.compile(r"[0-9A-Za-z]{20,}"), 20, 3.85),
     CharacterClass("entropy_base64", re.compile(r"[0-9A-Za-z+/_=-]{32,}"), 32, 4.3),
+    # As short as the shortest candidate, so that a class scans every candidate.
+    CharacterClass("entropy_base64", re.compile(r"[0-9A-Za-z+/_=-]{20,}"), 20, 3.85),
 )
 #: Candidates that are no secrets: identifiers, placeholders, digest labels, running characters.
 ALLOWED = (
@@ -91,6 +93,16 @@ def entropy_spans(run: str, width: int, bits: float) -> list[tuple[int, int]]:
     return found
 
 
+def _joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    joined: list[tuple[int, int]] = []
+    for begin, end in sorted(spans):
+        if joined and begin <= joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(end, joined[-1][1]))
+        else:
+            joined.append((begin, end))
+    return joined
+
+
 def find_secrets(text: str | None) -> list[tuple[str, int, int, int]]:
     """(kind, start, end, start of the secret part) of every span, by start, then kind as listed.
 
@@ -111,14 +123,17 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int, int]]:
     for candidate in CANDIDATE.finditer(text):
         if any(allowed.fullmatch(candidate[0]) for allowed in ALLOWED):
             continue
+        places: dict[str, list[tuple[int, int]]] = {}
         for known in CLASSES:
             for run in known.run.finditer(candidate[0]):
                 for begin, end in entropy_spans(run[0], known.width, known.bits):
-                    start = candidate.start() + run.start()
-                    part = run[0][begin:end]
-                    if not any(allowed.fullmatch(part) for allowed in ALLOWED):
-                        found.append((known.kind, start + begin, start + end, start + begin))
-    order = {kind: at for at, kind in enumerate((*BASE_KINDS, *(known.kind for known in CLASSES)))}
+                    places.setdefault(known.kind, []).append((run.start() + begin, run.start() + end))
+        for kind, spans in places.items():
+            for begin, end in _joined_spans(spans):
+                if not any(allowed.fullmatch(candidate[0][begin:end]) for allowed in ALLOWED):
+                    begin, end = candidate.start() + begin, candidate.start() + end
+                    found.append((kind, begin, end, begin))
+    order = {kind: at for at, kind in enumerate(dict.fromkeys((*BASE_KINDS, *(known.kind for known in CLASSES))))}
     return sorted(found, key=lambda span: (span[1], order[span[0]], span[2]))
 
 

@@ -1,5 +1,6 @@
 """The corpus operators against brute force, on rows with nulls, copies, empty and long texts."""
 
+import base64
 import random
 import re
 import zlib
@@ -306,6 +307,18 @@ def test_entropy_windows_equal_recounting():
         assert all(a[1] < b[0] for a, b in zip(found, found[1:], strict=False))
 
 
+def test_short_keys_with_signs_are_found():
+    """Random 16-byte keys in base64, whose runs of letters and digits are often shorter than a window."""
+    rng = random.Random(12)
+    keys = [base64.b64encode(rng.randbytes(16)).decode() for _ in range(1000)]
+    split = [k for k in keys if not re.search("[0-9A-Za-z]{20}", k)]
+    missed = [k for k in split if not secrets.find_secrets(f"key {k} x")]
+    assert len(split) > 400 and len(missed) < 0.1 * len(split)
+    for key in keys:
+        spans = [s for s in secrets.find_secrets(f"{key}{key}") if s[0] == "entropy_base64"]
+        assert all(a[2] < b[1] for a, b in zip(spans, spans[1:], strict=False))
+
+
 def test_masking(docs):
     allowed = ["123e4567-e89b-12d3-a456-426614174000", "AAAAAAAAAAAAAAAAAAAAAAAAAAAA", "internationalization", "example0123456789example"]
     assert not [s for a in allowed for s in secrets.find_secrets(a)]
