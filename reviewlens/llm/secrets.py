@@ -30,7 +30,8 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 SHORTEST_VALUE, SHORTEST_ACCESS = 6, 20
 
 #: Strings that may hold a secret: runs of these characters, so long at least.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+SHORTEST_CANDIDATE = 20
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SHORTEST_CANDIDATE},}}")
 
 #: Kinds in the order in which spans that start together are listed.
 BASE_KINDS = ("assign", "access", "hex")
@@ -53,10 +54,11 @@ CLASSES = (
     # As short as the shortest candidate, so that a class scans every candidate.
     CharacterClass("entropy_base64", re.compile(r"[0-9A-Za-z+/_=-]{20,}"), 20, 3.85),
 )
-#: Candidates that are no secrets: identifiers, placeholders, digest labels, running characters.
+#: Words that are no part of a secret; what stands beside them is judged by itself.
+PLACEHOLDER = re.compile(r"(?<![a-z])(?:example|placeholder|changeme|dummy|sample)(?![a-z])", re.I)
+#: Candidates that are no secrets: identifiers, digest labels, running characters.
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),
-    re.compile(r"(?:.*[^a-z])?(?:example|placeholder|changeme|dummy|sample)(?:[^a-z].*)?", re.I),
     re.compile(r"sha(?:1|256|384|512)-.*"),
     re.compile(r"[^0-9]*"),
     re.compile(r"[0-9+/_=-]*"),
@@ -103,6 +105,24 @@ def _joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return joined
 
 
+def _candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Places of the candidates; one with placeholder words gives the parts beside these that are as long."""
+    for candidate in CANDIDATE.finditer(text):
+        words = list(PLACEHOLDER.finditer(candidate[0]))
+        if not words:
+            yield candidate.span()
+            continue
+        begins = [0, *(word.end() for word in words)]
+        ends = [*(word.start() for word in words), len(candidate[0])]
+        for begin, end in zip(begins, ends, strict=True):
+            part = candidate[0][begin:end]
+            begin += len(part) - len(part.lstrip("+/_=-"))
+            if end < len(candidate[0]):
+                end -= len(part) - len(part.rstrip("+/_-"))
+            if end - begin >= SHORTEST_CANDIDATE:
+                yield candidate.start() + begin, candidate.start() + end
+
+
 def find_secrets(text: str | None) -> list[tuple[str, int, int, int]]:
     """(kind, start, end, start of the secret part) of every span, by start, then kind as listed.
 
@@ -120,19 +140,19 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int, int]]:
     if "AKIA" in text:
         found += [("access", *m.span(), m.start()) for m in ACCESS.finditer(text) if len(m[0]) >= SHORTEST_ACCESS]
     found += [("hex", *m.span(), m.start()) for m in HEX.finditer(text)]
-    for candidate in CANDIDATE.finditer(text):
-        if any(allowed.fullmatch(candidate[0]) for allowed in ALLOWED):
+    for begin, end in _candidates(text):
+        candidate = text[begin:end]
+        if any(allowed.fullmatch(candidate) for allowed in ALLOWED):
             continue
         places: dict[str, list[tuple[int, int]]] = {}
         for known in CLASSES:
-            for run in known.run.finditer(candidate[0]):
-                for begin, end in entropy_spans(run[0], known.width, known.bits):
-                    places.setdefault(known.kind, []).append((run.start() + begin, run.start() + end))
+            for run in known.run.finditer(candidate):
+                for first, last in entropy_spans(run[0], known.width, known.bits):
+                    places.setdefault(known.kind, []).append((run.start() + first, run.start() + last))
         for kind, spans in places.items():
-            for begin, end in _joined_spans(spans):
-                if not any(allowed.fullmatch(candidate[0][begin:end]) for allowed in ALLOWED):
-                    begin, end = candidate.start() + begin, candidate.start() + end
-                    found.append((kind, begin, end, begin))
+            for first, last in _joined_spans(spans):
+                if not any(allowed.fullmatch(candidate[first:last]) for allowed in ALLOWED):
+                    found.append((kind, begin + first, begin + last, begin + first))
     order = {kind: at for at, kind in enumerate(dict.fromkeys((*BASE_KINDS, *(known.kind for known in CLASSES))))}
     return sorted(found, key=lambda span: (span[1], order[span[0]], span[2]))
 

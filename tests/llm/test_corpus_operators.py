@@ -319,6 +319,15 @@ def test_short_keys_with_signs_are_found():
         assert all(a[2] < b[1] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def test_placeholder_words_hide_no_key():
+    key = "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7"
+    for text in (f"SAMPLE_KEY={key}", f"data/sample/{key}", f"{key}-example", f"dummy-{key}/placeholder", "example=aB3/dE6+gH9jK2/mN5pQ8+sT1v"):
+        spans = secrets.find_secrets(f"x {text} y")
+        assert spans and any(key[:20] in text[s[1] - 2 : s[2] - 2] or "gH9jK2/mN5" in text[s[1] - 2 : s[2] - 2] for s in spans)
+    for text in ("sample-0123456789-example-0123456789", "your_example_key_changeme_here_1", "example/123e4567-e89b-12d3-a456-426614174000"):
+        assert not secrets.find_secrets(text)
+
+
 def test_masking(docs):
     allowed = ["123e4567-e89b-12d3-a456-426614174000", "AAAAAAAAAAAAAAAAAAAAAAAAAAAA", "internationalization", "example0123456789example"]
     assert not [s for a in allowed for s in secrets.find_secrets(a)]
