@@ -1,9 +1,9 @@
 """Best-fit packing of token sequences: hierarchical residual packing.
 
 Every partition packs its own items best-fit. Nearly full bins are final; the
-others become items of the next, smaller set of partitions, until one is left
-or a round no longer joins bins. A bin is at most ``length`` items, so a row is
-bounded, and a task holds at most ``items_per_task`` narrow rows.
+others become items of the next, smaller set of partitions, until no smaller one
+holds them or a round no longer joins bins. A bin is at most ``length`` items, so
+a row is bounded, and a task packs at most ``items_per_task`` rows at a time.
 """
 
 from __future__ import annotations
@@ -116,30 +116,42 @@ def best_fit(sizes: np.ndarray, length: int) -> list[list[int]]:
     return bins
 
 
-def _packer(length: int, tag: int):
-    """Joins the bins of a partition; ``fill`` is a bin's size, ``items`` and ``sizes`` its content in order."""
+def _packer(length: int, tag: int, most: int):
+    """Joins the bins of a partition, at most ``most`` at a time; ``fill`` is a bin's size, ``items`` and ``sizes`` its content in order."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        got: list[pa.RecordBatch] = []
+        held = 0
+        for batch in batches:
+            while batch.num_rows:
+                got.append(batch.slice(0, most - held))
+                batch = batch.slice(got[-1].num_rows)
+                held += got[-1].num_rows
+                if held == most:
+                    yield pa.Table.from_batches(got).combine_chunks()
+                    got, held = [], 0
+        if got:
+            yield pa.Table.from_batches(got).combine_chunks()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [batch for batch in batches if batch.num_rows]
-        if not got:
-            return
-        whole = pa.Table.from_batches(got).combine_chunks()
-        fills = whole.column("fill").to_numpy()
         first = (tag << 56) | (TaskContext.get().partitionId() << 32)
-        packed = best_fit(fills, length)
-        order = pa.array(np.fromiter((p for b in packed for p in b), np.int64, len(fills)))
-        ends = np.cumsum([0, *(len(b) for b in packed)])
-        # Concatenating the lists of a new bin only moves list offsets, as its bins are neighbours after take().
-        arrays = []
-        for name in ("items", "sizes"):
-            lists = whole.column(name).take(order).combine_chunks()
-            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-            offsets = np.asarray(lists.offsets)[ends]
-            arrays.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), lists.values))
-        total = np.add.reduceat(fills[np.asarray(order)], ends[:-1])
-        number = pa.array(first + np.arange(len(packed), dtype=np.int64))
-        result = pa.Table.from_arrays([number, pa.array(total), *arrays], ["sequence_id", "fill", "items", "sizes"])
-        yield from result.to_batches(max_chunksize=4096)
+        for whole in parts(batches):
+            fills = whole.column("fill").to_numpy()
+            packed = best_fit(fills, length)
+            order = pa.array(np.fromiter((p for b in packed for p in b), np.int64, len(fills)))
+            ends = np.cumsum([0, *(len(b) for b in packed)])
+            # Concatenating the lists of a new bin only moves list offsets, as its bins are neighbours after take().
+            arrays = []
+            for name in ("items", "sizes"):
+                lists = whole.column(name).take(order).combine_chunks()
+                lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+                offsets = np.asarray(lists.offsets)[ends]
+                arrays.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), lists.values))
+            total = np.add.reduceat(fills[np.asarray(order)], ends[:-1])
+            number = pa.array(first + np.arange(len(packed), dtype=np.int64))
+            first += len(packed)
+            result = pa.Table.from_arrays([number, pa.array(total), *arrays], ["sequence_id", "fill", "items", "sizes"])
+            yield from result.to_batches(max_chunksize=4096)
 
     return pack
 
@@ -163,17 +175,17 @@ def pack(
     closed, tag, before, parts = [], 1, None, None
     while True:
         packed = bins if parts is None else bins.repartition(parts)
-        packed = materialise(packed.mapInArrow(_packer(length, tag), schema), "packed")
+        packed = materialise(packed.mapInArrow(_packer(length, tag, items_per_task), schema), "packed")
         open_bins = packed.where(F.col("fill") < F.lit(nearly_full * length))
         left = open_bins.count()
-        last = parts == 1 or left == 0 or (before is not None and left > 0.98 * before)
+        # A quarter of the tasks, but as many as the bins need.
+        wanted = -(-left // items_per_task)
+        fewer = wanted if parts is None else max(wanted, parts // 4)
+        last = left == 0 or (before is not None and (fewer >= parts or left > 0.98 * before))
         closed.append(packed if last else packed.where(F.col("fill") >= F.lit(nearly_full * length)))
         if last:
             break
-        # A quarter of the tasks, as many as the bins need at most, and one for the last few.
-        wanted = -(-left // items_per_task)
-        parts = wanted if parts is None else max(1, min(wanted, parts // 4))
-        bins, before, tag = open_bins.select("fill", "items", "sizes"), left, tag + 1
+        bins, before, parts, tag = open_bins.select("fill", "items", "sizes"), left, fewer, tag + 1
     placed = closed[0]
     for more in closed[1:]:
         placed = placed.union(more)

@@ -257,6 +257,18 @@ def test_packing_rounds(spark, tmp_path):
     assert found.sequence_id.nunique() <= 1.02 * len(whole)
 
 
+def test_packing_tasks_are_bounded(spark, tmp_path):
+    """No task joins more bins at once than ``items_per_task``, the first and the last round included."""
+    spark.createDataFrame([(i, 600 if i < 2000 else 424) for i in range(4000)], "item bigint, length bigint").coalesce(1).write.parquet(f"{tmp_path}/items")
+    bins = spark.read.parquet(f"{tmp_path}/items").selectExpr("length as fill", "array(item) as items", "array(length) as sizes")
+    schema = "sequence_id bigint, fill bigint, items array<bigint>, sizes array<bigint>"
+    found = bins.mapInArrow(packing._packer(1024, 1, 300), schema).collect()
+    assert sorted(i for r in found for i in r["items"]) == list(range(4000)) and len({r.sequence_id for r in found}) == len(found)
+    assert all(len({i // 300 for i in r["items"]}) == 1 for r in found)
+    placed = packing.pack(spark.read.parquet(f"{tmp_path}/items"), items_per_task=300).toPandas()
+    assert sorted(placed.item) == list(range(4000))
+
+
 def test_best_fit_is_best_fit():
     rng = random.Random(8)
     sizes = [rng.randint(1, 100) for _ in range(500)]
