@@ -15,6 +15,24 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def pick(df: DataFrame, rest: str | None = None, **columns: str) -> DataFrame:
+    """The columns of ``df`` called by the values, renamed to the keywords.
+
+    They are chosen by place, so other columns may have any name, one that
+    differs in case only too. ``rest`` names a struct of the whole row to add,
+    its fields ``c0``, ``c1`` … by place.
+    """
+    whole = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+    def place(name: str) -> int:
+        if name in df.columns:
+            return df.columns.index(name)
+        return [column.lower() for column in df.columns].index(name.lower())
+
+    chosen = [F.col(f"c{place(name)}").alias(alias) for alias, name in columns.items()]
+    return whole.select(*chosen, *([F.struct(*whole.columns).alias(rest)] if rest else []))
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Smallest node that every node of ``edges`` (a, b) reaches: ``(node, component)``.
 

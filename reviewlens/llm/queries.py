@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlens.llm import mixing, quality
+from reviewlens.llm import audit, mixing, quality
+from reviewlens.llm.bpe import op11_byte_bpe
 from reviewlens.llm.chat import op8_chat_formatting
 from reviewlens.llm.jaccard import op6_ngram_jaccard
 from reviewlens.llm.licenses import op1_license_scan
@@ -15,6 +16,7 @@ from reviewlens.llm.pages import op5_main_text
 from reviewlens.llm.secrets import op10_secret_scan
 from reviewlens.llm.simhash import op4_simhash
 from reviewlens.llm.warc import op2_warc
+from reviewlens.llm.whitening import op12_embedding_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
@@ -27,5 +29,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_secret_scan": op10_secret_scan,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_filter_audit": audit.op13_filter_audit,
+}
+ORACLES: dict[str, str] = {
+    "op3_mixing": mixing.ORACLE,
+    "op7_line_frequency": quality.ORACLE,
+    "op13_filter_audit": audit.ORACLE,
 }
-ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op7_line_frequency": quality.ORACLE}
