@@ -1,7 +1,8 @@
 """Quality rules: counts per document, and lines that too many documents of a host share.
 
-DataFrame functions only. The one shuffle of the line rule moves a hash per
-distinct line of a document; the texts themselves stay where they were read.
+DataFrame functions only. The line rule shuffles a hash per distinct line of a
+document. The texts stay where they were read as long as the common lines fit a
+broadcast; beyond that the documents are joined with the lines that they lose.
 """
 
 from __future__ import annotations
@@ -9,16 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import materialise, table
+from reviewlens.llm.common import materialise, pick, table
+from reviewlens.operators.skew import lookup_join
 
 SPACES = " \t\n\x0b\f\r"
-#: A line is common if more than this share of a host's distinct texts hold it, and more than so many texts.
-LINE_SHARE = 0.2
-LINE_TEXTS = 20
+#: A line is common if more than so many distinct texts of a host hold it, and more than so many square roots of the
+#: number of its distinct texts: 5 of 16, 32 of 1,000, 1,001 of 1,000,000.
+LINE_TEXTS, LINE_ROOTS = 4, 1
 #: A document is depleted if fewer than this share of its words are left.
 WORDS_LEFT = 0.5
-#: Common lines of all hosts are broadcast up to this number (24 bytes each), and joined by a shuffle beyond.
-BROADCAST_LINES = 200_000
+#: Common lines (24 bytes each) that are broadcast: of all hosts, and of one host. Beyond, rows are joined in a shuffle.
+BROADCAST_LINES, HOST_LINES = 200_000, 2_000
 
 _WORDS = r"[ \t-\r]+"
 _SYMBOLS = "[#*$%&|<>]+"
@@ -30,54 +32,72 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _WORDS))
 
 
-def normal_line(line: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(line), r"[ \t\x0B\f\r]+", " "))
+def line_hashes(text: Column) -> Column:
+    """A hash per line of a text, in order: case and white space do not count; null for a line without a word."""
+    lines = F.split(F.regexp_replace(F.lower(text), r"[ \t\x0B\f\r]+", " "), " ?\n ?")
+    lines = F.transform(lines, lambda line: F.btrim(line))
+    return F.transform(lines, lambda line: F.when(line != "", F.xxhash64(line)))
 
 
-def common_lines(
-    docs: DataFrame, key: str, text: str, host: str, share: float = LINE_SHARE, least: int = LINE_TEXTS
-) -> DataFrame:
-    """Per host: ``lines``, an array of (line, first), of the lines that too many of its distinct texts hold.
+def text_lines(rows: DataFrame) -> DataFrame:
+    """Of rows (doc_id, host, text, text_key): each line of each document once, as (host, doc_id, text_key, line)."""
+    lines = rows.select("host", "doc_id", "text_key", F.explode(F.array_distinct(line_hashes(F.col("text")))).alias("line"))
+    return lines.where("line is not null")
+
+
+def common_lines(rows: DataFrame, least: int = LINE_TEXTS, roots: float = LINE_ROOTS) -> DataFrame:
+    """The lines that too many distinct texts of a host hold: (host, line, texts, first).
 
-    ``first`` is the smallest key with the line: that document keeps it. Copies
-    of one text count once. A null host is a host. As a line needs a ``share`` of
-    the texts, a host has at most (mean lines per text) / ``share`` of them.
+    ``rows`` are (doc_id, host, text, text_key), the host not null. ``first`` is
+    the smallest key with the line: that document keeps it. Copies of one text
+    count once. The limit grows as the square root of the host's texts, so a
+    host has at most (mean lines per text) x (square root of its texts) of them.
     """
-    texts = docs.select(
-        F.col(host).alias("host"), F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text")
-    ).withColumn("text_key", F.xxhash64("text"))
-    split = F.split(F.regexp_replace(F.lower("text"), r"[ \t\x0B\f\r]+", " "), " ?\n ?")
-    lines = texts.select("host", "key", "text_key", F.explode(F.array_distinct(split)).alias("line"))
-    lines = lines.withColumn("line", F.btrim("line")).where("line <> ''")
-    lines = lines.select("host", "key", "text_key", F.xxhash64("line").alias("line"))
-    holders = lines.groupBy("host", "line", "text_key").agg(F.min("key").alias("first"))
+    holders = text_lines(rows).groupBy("host", "line", "text_key").agg(F.min("doc_id").alias("first"))
     holders = holders.groupBy("host", "line").agg(F.count("*").alias("texts"), F.min("first").alias("first"))
     holders = holders.where(F.col("texts") > least)
-    hosts = texts.groupBy(F.col("host").alias("_host"), "text_key").agg(F.lit(1).alias("one"))
-    hosts = hosts.groupBy("_host").agg(F.sum("one").alias("all_texts"))
-    common = holders.join(hosts, F.col("host").eqNullSafe(F.col("_host")))
-    common = common.where(F.col("texts") > share * F.col("all_texts"))
-    return common.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("line", "first"))).alias("lines"))
-
-
-def with_common_lines(docs: DataFrame, common: DataFrame, host: str, column: str = "_common") -> DataFrame:
-    """``docs`` with the array of its host's common lines; they are few, and broadcast if this is so."""
-    common = materialise(common.withColumnRenamed("host", "_host").withColumnRenamed("lines", column), "common-lines")
-    total = common.agg(F.sum(F.size(column))).first()[0] or 0
-    side = F.broadcast(common) if total <= BROADCAST_LINES else common
-    return docs.join(side, docs[host].eqNullSafe(side["_host"]), "left").drop("_host")
+    hosts = rows.select("host", "text_key").distinct().groupBy("host").agg(F.count("*").alias("all_texts"))
+    hosts = materialise(hosts, "host-texts")
+    common = lookup_join(holders, hosts.withColumn("weight", F.col("all_texts")), "host", "weight", F.col("line"))
+    over = F.col("texts").cast("double") * F.col("texts") > F.col("all_texts") * F.lit(float(roots) ** 2)
+    return materialise(common.where(over).select("host", "line", "texts", "first"), "common-lines")
+
+
+def with_lost_lines(rows: DataFrame, common: DataFrame, most: int = BROADCAST_LINES, per_host: int = HOST_LINES) -> DataFrame:
+    """``rows`` (with doc_id, host, text, text_key) and ``lost``: hashes of the common lines that the document loses, or null."""
+    sizes = common.groupBy("host").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    if not sizes["n"]:
+        return rows.withColumn("lost", F.lit(None).cast("array<bigint>"))
+    if sizes["n"] <= most and sizes["most"] <= per_host:
+        entry = F.struct("line", "first")
+        sets = common.groupBy("host").agg(F.collect_list("line").alias("_lines"), F.collect_list(entry).alias("_entries"))
+        own = F.transform(F.filter("_entries", lambda e: e["first"].eqNullSafe(F.col("doc_id"))), lambda e: e["line"])
+        lost = F.array_except(F.array_intersect(line_hashes(F.col("text")), F.col("_lines")), own)
+        rows = rows.join(F.broadcast(sets), "host", "left").withColumn("lost", lost)
+        return rows.drop("_lines", "_entries")
+
+    # The lines of every distinct text that are common; then the texts get theirs. Hot lines and hot texts are looked up.
+    lines = text_lines(rows).groupBy("host", "text_key", "line").agg(F.count("*").alias("copies"))
+    lines = lines.withColumn("line_key", F.concat_ws("\u0000", "host", "line"))
+    named = common.select(F.concat_ws("\u0000", "host", "line").alias("line_key"), "first", "texts", F.lit(True).alias("found"))
+    named = materialise(named, "named-lines")
+    spread = F.concat_ws("\u0000", "text_key", "line")
+    hits = lookup_join(lines, named, "line_key", "texts", spread).where("found")
+    hits = hits.groupBy(F.concat_ws("\u0000", "host", "text_key").alias("_text")).agg(
+        F.collect_list(F.struct("line", "first")).alias("_entries"), F.max("copies").alias("_copies")
+    )
+    hits = materialise(hits, "lost-lines")
+    rows = rows.withColumn("_text", F.concat_ws("\u0000", "host", "text_key"))
+    rows = lookup_join(rows, hits, "_text", "_copies", F.xxhash64("_text", "doc_id"))
+    lost = F.transform(F.filter("_entries", lambda e: ~e["first"].eqNullSafe(F.col("doc_id"))), lambda e: e["line"])
+    return rows.withColumn("lost", lost).drop("_text", "_entries")
 
 
-def left_lines(text: Column, key: Column, common: Column) -> Column:
-    """The lines of a text that stay, as written."""
-    hashed = F.transform(
-        F.split(text, "\n"), lambda line: F.struct(line.alias("line"), F.xxhash64(normal_line(line)).alias("hash"))
-    )
-    kept = F.filter(
-        hashed,
-        lambda line: ~F.exists(common, lambda c: (c["line"] == line["hash"]) & ~c["first"].eqNullSafe(key)),
-    )
-    return F.transform(kept, lambda line: line["line"])
+def left_lines(text: Column, lost: Column) -> Column:
+    """The text without its lost lines, the others as written."""
+    pairs = F.zip_with(F.split(text, "\n"), line_hashes(text), lambda line, h: F.struct(line.alias("line"), h.alias("h")))
+    kept = F.filter(pairs, lambda pair: pair["h"].isNull() | ~F.array_contains(lost, pair["h"]))
+    return F.array_join(F.transform(kept, lambda pair: pair["line"]), "\n")
 
 
 def _repeated_words(words: str) -> tuple[dict[str, Column], Column]:
@@ -109,44 +129,41 @@ def quality_rules(
     key: str = "doc_id",
     text: str = "text",
     host: str = "source",
-    share: float = LINE_SHARE,
     least: int = LINE_TEXTS,
+    roots: float = LINE_ROOTS,
     words_left: float = WORDS_LEFT,
     with_row: bool = False,
+    broadcast_lines: int = BROADCAST_LINES,
 ) -> DataFrame:
     """Per row: the key, its counts, base_failed, n_words_left, kept and the text that is left.
 
-    A null text is an empty one and fails by its length. A document is kept if
-    the base rules pass and at least ``words_left`` of its words stand in lines
-    that stay. Repeated rows get equal results; other columns do not matter.
+    A null text is an empty one and fails by its length. A null host is a host.
+    A document is kept if the base rules pass and at least ``words_left`` of its
+    words stand in lines that stay. A host of ``least`` distinct texts or fewer
+    has no common lines. Repeated rows get equal results; other columns do not
+    matter, whatever their names, and an empty table gives an empty result.
     ``with_row`` adds the whole input row as the struct ``row``, its fields by place.
     """
-    whole = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    place = {name: F.col(f"c{docs.columns.index(name)}") for name in (key, text, host)}
-    rows = whole.select(
-        place[key].alias("doc_id"), F.coalesce(place[text], F.lit("")).alias("_text"), place[host].alias("_doc_host"),
-        *([F.struct(*whole.columns).alias("row")] if with_row else []),
-    )
-    rows = with_common_lines(rows, common_lines(docs, key, text, host, share, least), "_doc_host")
-    rows = rows.withColumn("_words", words(F.col("_text")))
-    rows = rows.withColumn(
-        "_lines", F.filter(F.split("_text", "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "")
-    )
+    rows = pick(docs, "row" if with_row else None, doc_id=key, text=text, host=host)
+    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
+    rows = rows.withColumn("host", F.coalesce(F.concat(F.lit("="), F.col("host").cast("string")), F.lit("")))
+    rows = rows.withColumn("text_key", F.xxhash64("text"))
+    rows = with_lost_lines(rows, common_lines(rows, least, roots), broadcast_lines)
+    rows = rows.withColumn("_words", words(F.col("text")))
+    rows = rows.withColumn("_lines", F.filter(F.split("text", "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != ""))
     steps, repeated = _repeated_words("_words")
     for name, column in steps.items():
         rows = rows.withColumn(name, column)
-    left = F.when(
-        F.col("_common").isNull(), F.col("_text")
-    ).otherwise(F.array_join(left_lines(F.col("_text"), F.col("doc_id"), F.col("_common")), "\n"))
-    rows = rows.withColumn("left_text", left)
+    loses = F.coalesce(F.size("lost") > 0, F.lit(False))
+    rows = rows.withColumn("left_text", F.when(loses, left_lines(F.col("text"), F.col("lost"))).otherwise(F.col("text")))
     rows = rows.select(
         "doc_id",
         F.size("_words").cast("bigint").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
-        (F.length("_text") - F.length(F.regexp_replace("_text", _SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        (F.length("text") - F.length(F.regexp_replace("text", _SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         repeated.alias("n_repeat_words"),
-        F.when(F.col("_common").isNull(), F.size("_words")).otherwise(F.size(words(F.col("left_text")))).cast("bigint").alias("n_words_left"),
+        F.when(loses, F.size(words(F.col("left_text")))).otherwise(F.size("_words")).cast("bigint").alias("n_words_left"),
         "left_text",
         *(["row"] if with_row else []),
     )
@@ -200,7 +217,7 @@ JUDGED_SQL = f"""
     select l.source, l.normal, min(l.doc_id) as first
     from raw_lines l join sources s on l.source is not distinct from s.source
     where normal <> '' group by l.source, l.normal, s.n
-    having count(distinct text) > {LINE_TEXTS} and count(distinct text) > {LINE_SHARE}::double * s.n),
+    having count(distinct text) > {LINE_TEXTS} and count(distinct text) ** 2 > {LINE_ROOTS ** 2} * s.n),
   left_texts as (
     select l.row, coalesce(string_agg(l.line, chr(10) order by l.place) filter (
       c.normal is null or c.first is not distinct from l.doc_id), '') as left_text,

@@ -198,6 +198,33 @@ def test_common_lines_are_removed(spark):
     assert kept[7] == prose(7, 30) and kept[200] == made[45][1] and 100 not in kept
 
 
+def test_line_limit_grows_as_the_root(spark):
+    """A menu of a small host, a footer in a fifth of a larger one, and a line in 3 % of one with 3,600 texts go."""
+    made = [(i, f"Home News About Us\n{prose(i, 25)}", "small") for i in range(20)]
+    made += [(i, prose(i, 25) + ("\nAll rights reserved by us" if i % 5 == 0 else ""), "middle") for i in range(1000, 2000)]
+    made += [(i, f"{i} text\n{prose(i, 25)}" + ("\nposted by admin" if i % 32 == 0 else ""), "large") for i in range(4000, 7600)]
+    made += [(i, f"seldom used\n{prose(i, 25)}", "large") for i in range(8000, 8060)]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string, source string")
+    left = {r.doc_id: r.left_text for r in quality.quality_rules(docs).collect()}
+    held = Counter(line for text in left.values() for line in text.split("\n"))
+    assert held["Home News About Us"] == held["All rights reserved by us"] == held["posted by admin"] == 1
+    assert held["seldom used"] == 60  # no more than the root of 3,660
+    assert sum(len(t.split()) for t in left.values()) == sum(len(t.split()) for _, t, _ in made) - 19 * 4 - 199 * 5 - 112 * 3
+
+
+def test_common_lines_beyond_a_broadcast(spark, docs):
+    """Joined rows give the same as broadcast ones, with a hot host, a hot text, null keys and hosts."""
+    rng = random.Random(5)
+    lines = [f"shared line {i}" for i in range(60)]
+    made = [(i, "\n".join([*rng.sample(lines, 9), prose(i, 12)]), rng.choice(("hot", "hot", "b", None))) for i in range(500)]
+    made += [(600 + i, made[3][1], "hot") for i in range(250)] + [(None, made[4][1], None)] * 3
+    many = spark.createDataFrame(made, "doc_id bigint, text string, source string").repartition(5)
+    for table in (many, docs):
+        one, two = (multiset(dicts(quality.quality_rules(table, broadcast_lines=n))) for n in (quality.BROADCAST_LINES, 0))
+        assert one == two
+    assert quality.quality_rules(many).where("n_words_left < n_words").count() > 500
+
+
 # Mixing.
 
 
