@@ -1,19 +1,20 @@
 """Main text of web pages: nearest-URL page differencing.
 
 Pages of a host that are neighbours by URL path are aligned line by line by
-their longest common subsequence; lines that both have come from the site's
-layout and are deleted. Parsing adds evidence: elements that are no main text are
-never lines, a line aligns only with one in the same kind of landmark, and prose
-inside an article is kept even if another page has it, since an article may quote.
+their longest common subsequence; lines that several neighbours have come from the
+site's layout and are deleted. Parsing adds evidence: elements that are no main text
+are never lines, a line aligns only with one in the same kind of landmark, and lines
+of an article go only where all pages nearby begin or end theirs with them.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 from html import unescape
+from itertools import takewhile, zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,23 +28,26 @@ SAMPLE, BLOCK_PAGES, MOST_BLOCKS = 20_000, 50, 10_000
 MUCH, COPY_SHARE = 0.5, 0.8
 #: Different pages on either side among which a neighbour is sought that is no copy.
 REACH = 4
-#: Lines of so many characters are prose: those in a landmark stay, and pages that share mostly such lines are copies.
+#: Lines of so many characters are prose: those in a landmark always stay, and pages that share mostly such lines are copies.
 PROSE = 100
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""",
-    re.S,
-)
-_ATTRIBUTE = re.compile(r"""(class|id|role|style|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|\b(hidden)\b""", re.I)
+#: A tag ends at the first ">" outside quoted values; another "<" before it means that there was no tag.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"'=]++|=\s*+(?:"[^"]*"|'[^']*'|)|["'])*+)>""")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
+_TELLING = re.compile("class|id|role|style|hidden", re.I)
 _RAW = frozenset(("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "xmp"))
-_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in _RAW}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Inline markup, which need not be nested rightly and is not followed.
+_INLINE = frozenset("a abbr b big cite code em font i kbd mark nobr q s samp small strike strong sub sup tt u".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot "
     "th thead tr ul caption option".split()
 )
-_LEFT_OUT = frozenset("nav footer aside form button select dialog menu head object audio video canvas map label".split())
+#: An opening tag of one of these ends an open element of the same set.
+_SIBLINGS = {name: group for group in ({"li"}, {"dd", "dt"}, {"td", "th"}, {"tr"}, {"option"}) for name in group}
+_LEFT_OUT = frozenset("nav footer aside select dialog menu head object audio video canvas map".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 _HINTS = frozenset(
     "nav navbar navigation menu menus sidebar ad ads adv advert adverts advertisement advertising sponsor sponsored promo "
@@ -52,94 +56,226 @@ _HINTS = frozenset(
     "pager login signup toolbar widget widgets skip search searchbox form masthead topbar".split()
 )
 _OUTER_HINTS = frozenset(("header", "head"))
+#: Ids name places in a text as well. These are hints on every element, the others on plain containers outside landmarks only.
+_ID_HINTS = frozenset("ad ads sidebar cookie cookies newsletter share sharing related comments respond disqus".split())
+_CONTAINERS = frozenset("div ul ol span table td".split())
+#: A class like "has-sidebar" tells of another element.
+_OTHERS = frozenset("has no not with without".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _LANDMARKS = ("article", "main")
+#: Text outside left-out elements that an article needs to be the page's article if a hint is on or around it.
+PRINCIPAL = 1 / 3
+
+_TEXT, _BREAK, _OPEN, _CLOSE = range(4)
 
 
-def _left_out(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is no main text; ``inside`` an article its own header is."""
-    if name in _LEFT_OUT or (name == "header" and not inside):
-        return True
-    if not attributes or name in ("html", "body"):
+def _hinted(name: str, attributes: str, inside: bool) -> bool:
+    """Whether the attributes of an element tell that it is no main text; ``inside`` a landmark fewer do."""
+    if name in ("html", "body") or not _TELLING.search(attributes):
         return False
-    for m in _ATTRIBUTE.finditer(attributes):
-        if m[3]:
+    for key, value in _ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), value.strip("\"'").lower()
+        if key == "hidden" or (key == "role" and value in _ROLES) or (key == "aria-hidden" and value == "true"):
             return True
-        kind, value = m[1].lower(), m[2].strip("\"'").lower()
-        if kind == "role":
-            if value in _ROLES:
-                return True
-        elif kind == "aria-hidden":
-            if value == "true":
-                return True
-        elif kind == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        else:
-            hints = set(re.split(r"[^a-z0-9]+", value))
-            if hints & _HINTS or (not inside and hints & _OUTER_HINTS):
+        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            return True
+        if key not in ("class", "id") or name in _HEADINGS:
+            continue
+        allowed = _HINTS if inside else _HINTS | _OUTER_HINTS
+        if key == "id" and (inside or name not in _CONTAINERS):
+            allowed = _ID_HINTS
+        for word in value.split():
+            parts = re.split(r"[^a-z0-9]+", word)
+            if parts[0] not in _OTHERS and not allowed.isdisjoint(parts):
                 return True
     return False
 
 
-def page_lines(html: str | None) -> list[tuple[str, str]]:
-    """Lines of a page in order, with the landmark they stand in ("article", "main" or "").
+class _Element:
+    """A landmark, or an element that may be left out: from event ``start`` to ``end``, its own end tag seen if ``closed``."""
 
-    A line is the text of a block with character references decoded and white
-    space turned into single spaces. Elements that are not closed end with the
-    page, left-out ones also where an article begins.
-    """
-    html = html or ""
-    lines: list[tuple[str, str]] = []
-    words: list[str] = []
-    depth = {"article": 0, "main": 0}
-    skipped, skipped_depth = "", 0
+    __slots__ = ("name", "sure", "hint", "parent", "start", "end", "closed", "landmark", "chars")
+
+    def __init__(self, name: str, sure: bool, hint: bool, parent: _Element | None, start: int):
+        self.name, self.sure, self.hint, self.parent, self.start = name, sure, hint, parent, start
+        self.end, self.closed, self.landmark, self.chars = -1, False, -1, 0
+
+    def bounds(self) -> tuple[int, int]:
+        """Without an own end tag, it ends at the first landmark inside."""
+        return self.start, self.end if self.closed or self.landmark < 0 else self.landmark
+
+
+def _events(html: str) -> tuple[list[tuple], list[_Element]]:
+    """Texts, block bounds, and ends of noted elements, in one pass whose time grows with the length only."""
+    events: list[tuple] = []
+    elements: list[_Element] = []
+    #: Open elements: name and, for noted ones, the element; how many of each name are open; noted ones alone.
+    stack: list[tuple[str, _Element | None]] = []
+    opened: dict[str, int] = defaultdict(int)
+    noted: list[_Element] = []
     at, size = 0, len(html)
 
-    def end_block() -> None:
-        text = " ".join(unescape("".join(words)).split())
-        words.clear()
-        if text:
-            lines.append((text, "article" if depth["article"] else "main" if depth["main"] else ""))
+    def close(own: bool) -> None:
+        name, element = stack.pop()
+        opened[name] -= 1
+        if element:
+            noted.pop()
+            element.end, element.closed = len(events), own
+            events.append((_CLOSE, element))
+        if name in _BLOCKS:
+            events.append((_BREAK, None))
 
     while at < size:
-        token = _TOKEN.search(html, at)
-        if not token:
-            if not skipped:
-                words.append(html[at:])
+        less = html.find("<", at)
+        if less < 0:
+            events.append((_TEXT, html[at:]))
             break
-        if not skipped and token.start() > at:
-            words.append(html[at : token.start()])
-        at = token.end()
-        name = (token[2] or token[5] or "").lower()
-        if not name:
+        if less > at:
+            events.append((_TEXT, html[at:less]))
+        following = html[less + 1 : less + 2]
+        if following in ("!", "?"):
+            ends = ("-->", 3) if html.startswith("<!--", less) else (">", 1)
+            found = html.find(ends[0], less + 2 if ends[1] == 3 else less)
+            at = found + ends[1] if found >= 0 else size
+            continue
+        tag = _TAG.match(html, less)
+        if not tag:
+            events.append((_TEXT, "<"))
+            at = less + 1
             continue
-        closing, attributes = token[1] or token[4], token[3] or token[6] or ""
-        if name in _RAW and not closing:
+        at = tag.end()
+        name, attributes = tag[2].lower(), tag[3]
+        if tag[1]:
+            if opened[name]:
+                while stack[-1][0] != name:
+                    close(False)
+                close(True)
+            elif name in _BLOCKS:
+                events.append((_BREAK, None))
+            continue
+        if name in _RAW:
             if not attributes.endswith("/"):
                 end = _RAW_END[name].search(html, at)
                 at = end.end() if end else size
             continue
-        if skipped:
-            if name == skipped and name not in _VOID:
-                skipped_depth += -1 if closing else 1
-                if not skipped_depth:
-                    skipped = ""
-                continue
-            if closing or name not in _LANDMARKS or _left_out(name, attributes, True) or skipped in ("section", "ol", "article"):
-                continue
-            skipped = ""
-        inside = bool(depth["article"] or depth["main"])
-        if not closing and name not in _VOID and _left_out(name, attributes, inside):
-            if name in _BLOCKS:
-                end_block()
-            skipped, skipped_depth = name, 1
+        block = name in _BLOCKS
+        if block and stack:
+            if stack[-1][0] == "p":
+                close(False)
+            if stack and stack[-1][0] in _SIBLINGS.get(name, ()):
+                close(False)
+        if block:
+            events.append((_BREAK, None))
+        elif name == "br":
+            events.append((_TEXT, " "))
+        if name in _VOID:
+            continue
+        inside = any(opened[mark] for mark in _LANDMARKS)
+        sure = name in _LEFT_OUT or (name == "header" and not inside)
+        hint = name == "form" or (bool(attributes) and _hinted(name, attributes, inside))
+        landmark = name in _LANDMARKS
+        element = None
+        if sure or hint or landmark or name == "button":
+            element = _Element(name, sure, hint, noted[-1] if noted else None, len(events))
+            if landmark:
+                for above in reversed(noted):
+                    if above.landmark >= 0:
+                        break
+                    above.landmark = len(events)
+            elements.append(element)
+            noted.append(element)
+            events.append((_OPEN, element))
+        elif name in _INLINE and not opened[name]:
             continue
-        if name == "br":
-            words.append(" ")
-        elif name in _BLOCKS:
+        stack.append((name, element))
+        opened[name] += 1
+    while stack:
+        close(False)
+    return events, elements
+
+
+def _left_out(events: list[tuple], elements: list[_Element]) -> dict[int, int]:
+    """Where an element begins that is no main text, and where it ends.
+
+    Navigation, footers and the like always are. What is only hinted at by
+    attributes is not if it holds a ``main`` or the page's article, or, in a page
+    without these, more than half of the text.
+    """
+    out = dict(element.bounds() for element in elements if element.sure)
+    watched = [element for element in elements if not element.sure]
+    starts = {element.start: element for element in watched}
+    ends = {element.end: element for element in watched}
+    chars, until = 0, 0
+    for place, (kind, value) in enumerate(events):
+        if place in starts:
+            starts[place].chars -= chars
+        elif place in ends:
+            ends[place].chars += chars
+        if place >= until and place in out:
+            until = out[place]
+        if kind == _TEXT and place >= until:
+            chars += len(value)
+
+    # Parents come before their children: where left-out ancestors end, and whether any has a hint.
+    above: dict[int, tuple[int, bool]] = {0: (0, False)}
+    marks = []
+    for element in elements:
+        covered, hinted = above[id(element.parent) if element.parent else 0]
+        above[id(element)] = max(covered, element.bounds()[1] if element.sure else 0), hinted or element.hint
+        if element.name in _LANDMARKS and element.start >= covered and not element.sure:
+            marks.append((element, hinted or element.hint))
+    articles = [(e, hinted) for e, hinted in marks if e.name == "article"]
+    able = [e for e, hinted in articles if not hinted] or [e for e, _ in articles if e.chars >= PRINCIPAL * chars]
+    principal = max(able, key=lambda e: e.chars, default=None)
+    bodies = [e for e, _ in marks if e.name == "main"] + ([principal] if principal else [])
+    kept: set[int] = set()
+    for body in bodies:
+        while body and id(body) not in kept:
+            kept.add(id(body))
+            body = body.parent
+    for element in watched:
+        if element.hint and id(element) not in kept and (bodies or 2 * element.chars <= chars):
+            start, end = element.bounds()
+            out[start] = max(end, out.get(start, 0))
+    return out
+
+
+def page_lines(html: str | None) -> list[tuple[str, str]]:
+    """Lines of a page in order, with the landmark they stand in ("article", "main" or "").
+
+    A line is the text of a block with character references decoded and white
+    space turned into single spaces. A block of nothing but buttons is none.
+    """
+    events, elements = _events(html or "")
+    out = _left_out(events, elements) if elements else {}
+    lines: list[tuple[str, str]] = []
+    words: list[str] = []
+    depth = {"article": 0, "main": 0, "button": 0}
+    until, text = 0, False
+
+    def end_block() -> None:
+        if text:
+            line = " ".join(unescape("".join(words)).split())
+            if line:
+                lines.append((line, "article" if depth["article"] else "main" if depth["main"] else ""))
+        words.clear()
+
+    for place, (kind, value) in enumerate(events):
+        if place < until:
+            continue
+        if place in out:
+            until = out[place]
+        elif kind == _TEXT:
+            words.append(value)
+            text = text or (not depth["button"] and not value.isspace())
+        elif kind == _BREAK:
             end_block()
-            if name in depth:
-                depth[name] = max(0, depth[name] + (-1 if closing else 1))
+            text = False
+        elif value.name in depth:
+            if value.name != "button":
+                end_block()
+                text = False
+            depth[value.name] += 1 if kind == _OPEN else -1
     end_block()
     return lines
 
@@ -218,45 +354,89 @@ class _Page:
         prose = self.chars({i for i in both if len(self.lines[i]) >= PROSE})
         return much >= COPY_SHARE * max(self.size, other.size) and prose > MUCH * much
 
+    def frame(self, other: _Page) -> tuple[set[int], set[int]]:
+        """Lines in landmarks from the first one, and from the last one, up to where ``other`` differs."""
+        own, its = ([i for i, mark in enumerate(page.marks) if mark != "-"] for page in (self, other))
+        found = []
+        for pairs in (zip(own, its, strict=False), zip(reversed(own), reversed(its), strict=False)):
+            same = takewhile(lambda pair: self.hashes[pair[0]] == other.hashes[pair[1]], pairs)
+            found.append({i for i, _ in same})
+        return found[0], found[1]
+
     def main_text(self, before: list[_Page], after: list[_Page]) -> tuple[str, int]:
-        """The text, and the lines deleted; the pages before and after with the nearest first."""
+        """The text, and the lines deleted; the pages before and after with the nearest first.
+
+        Witnesses are the nearest page on either side that is no copy, and the
+        next one (at the ends of a host all from one side). Outside landmarks a
+        line is layout if two witnesses have it, or the only one. In a landmark it
+        has to be short, and all pages in reach that are no copies, three at
+        least, must begin or end their landmarks with it and all lines beyond.
+        """
         reach = before + after
-        gone: set[int] = set()
-        for side in (before, after):
-            near = next((page for page in side if not self.is_copy(page, reach)), None)
-            if near:
-                gone |= self.shared(near)
-        gone = {i for i in gone if self.marks[i] == "-" or len(self.lines[i]) < PROSE}
+        sides = [[page for page in side if not self.is_copy(page, reach)] for side in (before, after)]
+        others = [page for pair in zip_longest(*sides) for page in pair if page]
+        shared = [self.shared(page) for page in others[:3]]
+        held = Counter(i for lines in shared for i in lines)
+        gone = {i for i, n in held.items() if self.marks[i] == "-" and n >= min(2, len(shared))}
+        if len(shared) == 3:
+            frames = [self.frame(page) for page in others]
+            alike = set.intersection(*(first for first, _ in frames)) | set.intersection(*(last for _, last in frames))
+            gone |= {i for i in alike.intersection(*shared) if len(self.lines[i]) < PROSE}
         return "\n\n".join(line for i, line in enumerate(self.lines) if i not in gone), len(gone)
 
 
-def _reaches(pages: list[_Page], digests: list[int]) -> Iterator[list[_Page]]:
-    """Per page the last pages before it with another digest each, nearest first."""
-    recent: dict[int, _Page] = {}
-    for page, digest in zip(pages, digests, strict=True):
-        yield [recent[d] for d in reversed(recent) if d != digest][:REACH]
-        recent.pop(digest, None)
-        recent[digest] = page
-        if len(recent) > REACH + 1:
-            del recent[next(iter(recent))]
-
-
-def _settled(group: list[tuple]) -> Iterator[tuple]:
-    """(page_id, url, text, lines deleted) of the own rows of a host's pages in order, (page_id, url, digest, own, lines, marks)."""
-    known: dict[tuple[str, str], _Page] = {}
-    for row in group:
-        if row[4:] not in known:
-            known[row[4:]] = _Page(*row[4:])
-    pages = [known[row[4:]] for row in group]
-    digests = [row[2] for row in group]
-    after = list(_reaches(pages[::-1], digests[::-1]))[::-1]
-    found: dict[tuple, tuple[str, int]] = {}
-    for row, page, *sides in zip(group, pages, _reaches(pages, digests), after, strict=True):
-        if row[3]:
-            key = (page, *map(tuple, sides))
-            if key not in found:
-                found[key] = page.main_text(*sides)
-            yield (*row[:2], *found[key])
+class _Host:
+    """The pages of a host in order, as a stream: rows leave when enough different pages behind them are known."""
+
+    def __init__(self) -> None:
+        self.known: dict[tuple[str, str], _Page] = {}
+        self.recent: dict[int, _Page] = {}
+        #: Rows of equal pages next to each other: rows, page, digest, pages before, pages behind by digest.
+        self.waiting: deque[tuple[list[tuple], _Page, int, list[_Page], dict[int, _Page]]] = deque()
+        self.settled: dict[tuple, tuple[str, int]] = {}
+
+    def add(self, row: tuple, digest: int, own: bool, content: tuple[str, str]) -> Iterator[tuple]:
+        """Takes a row (page_id, url); gives rows with their text and the number of lines deleted."""
+        if len(self.known) > 64:
+            held = {id(page) for page in self.recent.values()} | {id(entry[1]) for entry in self.waiting}
+            self.known = {key: page for key, page in self.known.items() if id(page) in held}
+            self.settled.clear()
+            for page in self.known.values():
+                page.known.clear()
+        if content not in self.known:
+            self.known[content] = _Page(*content)
+        page = self.known[content]
+        last = self.waiting[-1] if self.waiting else None
+        if own and last and last[1] is page and last[2] == digest:
+            last[0].append(row)
+            return
+        # Rows before the last one with this digest have seen it.
+        for entry in reversed(self.waiting):
+            if entry[2] == digest:
+                break
+            if len(entry[4]) < REACH:
+                entry[4].setdefault(digest, page)
+        before = [self.recent[d] for d in reversed(self.recent) if d != digest][:REACH]
+        self.recent.pop(digest, None)
+        self.recent[digest] = page
+        if len(self.recent) > REACH + 1:
+            del self.recent[next(iter(self.recent))]
+        if own:
+            self.waiting.append(([row], page, digest, before, {}))
+        while self.waiting and len(self.waiting[0][4]) >= REACH:
+            yield from self._settle()
+
+    def rest(self) -> Iterator[tuple]:
+        while self.waiting:
+            yield from self._settle()
+
+    def _settle(self) -> Iterator[tuple]:
+        rows, page, _, before, after = self.waiting.popleft()
+        key = (page, *before, None, *after.values())
+        if key not in self.settled:
+            self.settled[key] = page.main_text(before, list(after.values()))
+        for row in rows:
+            yield (*row, *self.settled[key])
 
 
 def _edges(rows: list[tuple], last: bool = False) -> list[tuple]:
@@ -374,19 +554,18 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
                 yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text", "n_shared"])
 
         done: list[tuple] = []
-        group: list[tuple] = []
-        at = None
+        host, at = _Host(), None
         for batch in batches:
             types[:] = (batch.schema.field("page_id").type, pa.string(), pa.string(), pa.int64())
-            for page_id, address, host, _, _, digest, block, own, lines, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (block, host) != at:
-                    done += _settled(group)
-                    group, at = [], (block, host)
-                    if len(done) >= 256:
-                        yield from sent(done)
-                        done = []
-                group.append((page_id, address, digest, own, lines, marks))
-        yield from sent([*done, *_settled(group)])
+            for page_id, address, name, _, _, digest, block, own, lines, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (block, name) != at:
+                    done += host.rest()
+                    host, at = _Host(), (block, name)
+                done += host.add((page_id, address), digest, own, (lines, marks))
+                if len(done) >= 256:
+                    yield from sent(done)
+                    done = []
+        yield from sent([*done, *host.rest()])
 
     parsed = rows.mapInArrow(parse, parsed_schema)
     parsed = parsed.repartition("block").sortWithinPartitions("block", "host", "path", "id", "digest", "lines")

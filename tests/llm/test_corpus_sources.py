@@ -3,9 +3,11 @@
 import base64
 import gzip
 import hashlib
+import html.parser
 import json
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -124,6 +126,34 @@ def test_page_lines():
     assert pages.page_lines('<p a="' + "x" * 100_000) != []
 
 
+def test_bodies_are_not_lost():
+    """Hints on wrappers, headings, anchors and other attributes, controls in sentences; parts with teasers go."""
+    cases = {
+        '<main class="site-main has-sidebar"><p>Body</p></main>': ["Body"],
+        '<div class="content no-sidebar"><p>Body</p></div>': ["Body"],
+        '<div class="layout sidebar"><article class="post comments-open"><p>Body of it</p></article></div><div class="ad">x</div>': ["Body of it"],
+        '<article><h2 id="search">Search</h2><p>x</p><section id="form"><p>in form</p></section><p data-id="search">data</p></article>':
+            ["Search", "x", "in form", "data"],
+        '<p>See <a href="/hidden-gems">the full list</a></p><p title="the hidden truth">kept</p><p hidden>gone</p>': ["See the full list", "kept"],
+        '<article><p>A body of the page</p></article><div class="related"><article>Teaser</article><p>More</p></div>': ["A body of the page"],
+        '<article><p>A body of the page</p></article><aside><article>Teaser</article><p>More</p></aside>': ["A body of the page"],
+        '<div><p>A body without any landmark</p></div><div class="related"><article>Teaser</article><p>More</p></div>': ["A body without any landmark"],
+        "<p>Pick <label>this</label> one</p><p>Press <button>Save</button> now</p><button>Send</button>": ["Pick this one", "Press Save now"],
+        '<form id="page"><main><p>Body</p></main></form><form><label>Name</label></form>': ["Body"],
+        '<article><p>Short</p></article><section id="comments">' + "<p>Long comments about it</p>" * 9 + "</section>": ["Short"],
+    }
+    for html, lines in cases.items():
+        assert [line for line, _ in pages.page_lines(html)] == lines, html
+
+
+@pytest.mark.parametrize("part", ["a < b <c ", "<a ", '<a b="', "<a b='\"<", "<!-- ", "<div>", "</div>", "<div class=ad>x", "<article><div class=ad>", "<script>", "&"])
+def test_long_pages_take_linear_time(part):
+    html = part * (1_000_000 // len(part))
+    start = time.process_time()
+    pages.page_lines(html)
+    assert time.process_time() - start < 5  # about half a second each
+
+
 def test_alignment_is_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(300):
@@ -172,6 +202,85 @@ def test_alignment_decides_beside_landmarks(spark):
         assert found[100 + i] == (f"{prose(i, 60)}\n\n{prose(999, 30)}", 3)
 
 
+class ArticleText(html.parser.HTMLParser):
+    """The contract's text of pages that have one article without layout inside, by another parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.words, self.blocks = 0, [], []
+
+    def end_block(self):
+        block = " ".join("".join(self.words).split())
+        self.words = []
+        if block and self.depth:
+            self.blocks.append(block)
+
+    def handle_starttag(self, name, attributes):
+        if name in "article p h1 h2 ul li div".split():
+            self.end_block()
+        self.depth += name == "article"
+        if name == "br":
+            self.words.append(" ")
+
+    def handle_endtag(self, name):
+        if name in "article p h1 h2 ul li div".split():
+            self.end_block()
+        self.depth -= name == "article"
+
+    def handle_data(self, data):
+        self.words.append(data)
+
+
+def test_given_pages_equal_another_parser(spark):
+    sf = "/root/testdata/sf0.01"
+    found = {r.page_id: r for r in pages.op5_main_text(spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert len(found) == len(rows) and any("<article>" in (r.html or "") for r in rows)
+    for row in rows:
+        parser = ArticleText()
+        parser.feed(row.html or "")
+        parser.close()
+        parser.end_block()
+        text = "\n\n".join(parser.blocks)
+        r = found[row.page_id]
+        assert (r.url, r.text, r.n_chars) == (row.url, text, len(text))
+
+
+def test_known_texts_are_found(spark):
+    """Sites with layout around, inside and without articles: recall and precision of lines, headings that pages share included."""
+    rng = random.Random(8)
+    made, expected = [], {}
+    for site in range(6):
+        for i in range(25):
+            body = [prose(1000 * site + i, 9), "Ingredients" if i % 3 else prose(i, 2), *(prose(7 * i + k + site, rng.randint(4, 60)) for k in range(rng.randint(2, 6)))]
+            if rng.random() < 0.3:
+                body.insert(2, "A line that some texts quote")
+            lines = "".join(f"<p>{line}</p>" for line in body)
+            inner = f"<p>Share this page</p>{lines}<p>Read more of us</p>" if site % 2 else lines
+            inner = f"<article>{inner}</article>" if site < 4 else f"<div>{inner}</div>"
+            html_text = f"<nav><p>Home</p></nav><p>Welcome to site {site}</p><p>All topics</p>{inner}<p>Imprint of {site}</p><footer>x</footer>"
+            made.append((100 * site + i, f"http://site{site}.org/p/{i:02d}", html_text))
+            expected[100 * site + i] = body
+    found = {key: text.split("\n\n") for key, (text, _) in texts_of(spark, made).items()}
+    pairs = [(Counter(found[key]), Counter(body)) for key, body in expected.items()]
+    hits = sum((a & b).total() for a, b in pairs)
+    assert hits / sum(a.total() for a, _ in pairs) > 0.99  # precision
+    assert hits / sum(b.total() for _, b in pairs) > 0.93  # recall: headings that pages without an article share go
+    assert all(not b - a for (a, b), key in zip(pairs, expected, strict=True) if key < 400)  # articles lose nothing
+
+
+def test_ties_and_runs_of_copies(spark):
+    """Equal URL and id with other contents; a run of copies far longer than the pages in reach."""
+    page = lambda text: f"<p>Our site</p><p>{text}</p><p>Terms</p>"
+    made = [(1, "http://a.org/1", page(prose(1, 30))), (1, "http://a.org/1", page(prose(2, 30)))]
+    made += [(2, "http://a.org/2", page(prose(3, 30)))] * 2 + [(10 + i, "http://a.org/3", page(prose(4, 30))) for i in range(300)]
+    made += [(400 + i, f"http://a.org/4{i}", page(prose(5 + i, 30))) for i in range(4)]
+    rows = spark.createDataFrame(made, "page_id bigint, url string, html string")
+    found = Counter((r.page_id, r.text, r.n_shared) for r in pages.extract_main_text(rows.repartition(3)).collect())
+    expected = [(key, text.split("<p>")[2].removesuffix("</p>"), 2) for key, _, text in made]
+    assert found == Counter(expected)
+
+
 def test_copies_are_passed_over(spark):
     """Copies, equal or nearly so, are no evidence; pages with more layout than text are no copies."""
     layout = "".join(f"<p>Link {c} of the menu</p>" for c in "abcdefgh")
