@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import table
+from reviewlens.llm.common import pick, table
 
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLES = ("assistant",)
@@ -168,7 +168,7 @@ def format_chats(records: DataFrame, keys: list[str], record: str, loss_roles: t
     A record in an unknown layout, that is no JSON, or null keeps its row and
     fingerprint, with nulls for the rest. Repeated rows are formatted repeatedly.
     """
-    chosen = records.select(*keys, F.col(record).alias("_record"))
+    chosen = pick(records, **{k: k for k in keys}, _record=record)
     kinds = dict(chosen.dtypes)
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,8 +205,8 @@ def read_back(formatted: str, spans: list[tuple[int, int]]) -> dict:
 
 
 def chat_digests(formatted: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` with layout and what ``read_back`` finds, for rows that have a formatted text."""
-    chosen = formatted.where("formatted is not null").select(*keys, "layout", "formatted", "loss")
+    """``keys`` with layout and what ``read_back`` finds; nulls for rows without a formatted text."""
+    chosen = formatted.select(*keys, "layout", "formatted", "loss")
     kinds = dict(chosen.dtypes)
     types = {"n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(),
              "formatted_chars": pa.int64()}
@@ -216,7 +216,7 @@ def chat_digests(formatted: DataFrame, keys: list[str]) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [
-                read_back(text, [(s["start"], s["end"]) for s in spans])
+                read_back(text, [(s["start"], s["end"]) for s in spans]) if text is not None else dict.fromkeys(types)
                 for text, spans in zip(batch.column("formatted").to_pylist(), batch.column("loss").to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays(
@@ -238,16 +238,15 @@ def conversation_records(
     key are one conversation. A conversation is one record and so one row.
     """
     empty = F.lit("")
-    said = F.struct(
-        F.col(turn).alias("turn"), F.coalesce(F.col(role), empty).alias("role"), F.coalesce(F.col(text), empty).alias("content")
-    )
-    grouped = turns.groupBy(F.col(key).alias("conv_id")).agg(F.sort_array(F.collect_list(said)).alias("said"))
-    roles = F.array_join(F.transform("said", lambda s: s["role"]), ",")
+    said = F.struct("turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("content"))
+    grouped = pick(turns, conv_id=key, turn=turn, role=role, text=text).groupBy("conv_id").agg(F.sort_array(F.collect_list(said)).alias("said"))
+    roles = F.transform("said", lambda s: s["role"])
+    are = lambda *names: roles == F.array(*map(F.lit, names))
     content = lambda i: F.get("said", F.lit(i))["content"]
     record: Column = F.when(
-        roles == "user,assistant", F.to_json(F.struct(content(0).alias("prompt"), content(1).alias("response")))
+        are("user", "assistant"), F.to_json(F.struct(content(0).alias("prompt"), content(1).alias("response")))
     ).when(
-        (roles == "system,user,assistant") & (content(0) != ""),
+        are("system", "user", "assistant") & (content(0) != ""),
         F.to_json(F.struct(content(0).alias("system"), content(1).alias("prompt"), content(2).alias("response"))),
     )
     messages = F.transform("said", lambda s: F.struct(s["role"].alias("role"), s["content"].alias("content")))

@@ -29,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import connected_components, materialise, table
+from reviewlens.llm.common import connected_components, materialise, pick, table
 from reviewlens.llm.shingles import WIDTH, mix, set_key, shingles
+from reviewlens.operators.skew import lookup_join
 
 PERCENT = 80
 BAND_GROWTH = 1.5
@@ -38,6 +39,8 @@ BAND_GROWTH = 1.5
 SPARE = 1.15
 #: Members of a bucket that all others are compared with first.
 CENTRES = 3
+#: Members of a bucket's largest component that one task compares with the bucket's others.
+DEALT_MEMBERS = 5_000
 #: Bits of the parity bitmap of the largest sets.
 MOST_BITS = 1 << 17
 #: What a thin segment (one token or none) costs in rows, through the false candidates that it may bring.
@@ -199,7 +202,7 @@ def _may_be_similar(percent: int) -> Column:
 class _Texts:
     """Looks up sets again from their texts, so that only those of compared pairs are ever written.
 
-    ``sizes`` holds one row per text: set_key, text_key (a hash of the text).
+    ``sizes`` holds one row per set: set_key, text_key (a hash of a text with the set).
     """
 
     def __init__(self, docs: DataFrame, text: str, sizes: DataFrame, percent: int, width: int):
@@ -253,7 +256,7 @@ def shared_entries(docs: DataFrame, text: str, percent: int, width: int) -> Data
 def similar_sets(docs: DataFrame, text: str, sizes: DataFrame, percent: int, width: int) -> DataFrame:
     """``(node, component)`` of all set keys with a link to another set.
 
-    ``sizes`` holds one row per text: set_key, text_key (a hash of the text).
+    ``sizes`` holds one row per set: set_key, text_key (a hash of a text with the set).
     """
     shared = shared_entries(docs, text, percent, width)
     bucket = Window.partitionBy("entry")
@@ -283,33 +286,49 @@ def similar_sets(docs: DataFrame, text: str, sizes: DataFrame, percent: int, wid
         links = links.unionByName(more)
         found = connected_components(links)
 
-    # What the centres left apart: members of a bucket that are in different components, pair by pair.
+    # What the centres left apart: members of a bucket that are in different components. Those of its largest component
+    # only meet the others, never each other; of a large one they are dealt to several tasks, and the others go to each.
     placed = with_components(shared.select("entry", "id"), "id", found)
-    mixed = placed.groupBy("entry").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high"))
-    placed = placed.join(mixed.where("_low <> _high").select("entry"), "entry")
-    placed = materialise(placed.join(facts.withColumnRenamed("set_key", "id"), "id"), "apart")
-    left = placed.select("entry", *(F.col(c).alias(f"{n}a") for c, n in (("id", ""), ("_id", "_"), ("n", "n_"), ("bits", "bits_"))))
-    right = placed.select("entry", *(F.col(c).alias(f"{n}b") for c, n in (("id", ""), ("_id", "_"), ("n", "n_"), ("bits", "bits_"))))
-    close = (left["entry"] == right["entry"]) & F.expr("a < b and _a <> _b") & similar
-    more = texts.similar(left.join(right, close).select("a", "b").distinct())
+    sizes = placed.groupBy("entry", "_id").agg(F.count("*").alias("members"))
+    sizes = sizes.groupBy("entry").agg(F.max(F.struct("members", "_id")).alias("most"), F.count("*").alias("components"))
+    sizes = sizes.where("components > 1").select("entry", "most")
+    placed = placed.join(sizes, "entry").join(facts.withColumnRenamed("set_key", "id"), "id")
+    placed = materialise(placed, "apart")
+    parts = F.expr(f"cast(1 + most.members div {DEALT_MEMBERS} as int)")
+
+    def side(rows: DataFrame, name: str, *more: str) -> DataFrame:
+        columns = (F.col(c).alias(f"{n}{name}") for c, n in (("id", ""), ("_id", "_"), ("n", "n_"), ("bits", "bits_")))
+        return rows.select("entry", *more, *columns)
+
+    large = placed.where("_id = most._id").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    small = placed.where("_id <> most._id")
+    each = small.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    met = side(large, "a", "part").join(side(each, "b", "part"), ["entry", "part"]).where(similar)
+    both = side(small, "a").join(side(small, "b"), "entry").where(F.expr("a < b and _a <> _b") & similar)
+    pairs = met.select("a", "b").union(both.select("a", "b"))
+    more = texts.similar(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return found if more.isEmpty() else connected_components(links.unionByName(more))
 
 
-def _components(docs: DataFrame, key: str, text: str, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with doc_id, _text_key, set_key (null: empty), n_shingles; and per set its component and smallest row."""
-    chosen = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
+def _components(docs: DataFrame, key: str, text: str, percent: int, width: int) -> DataFrame:
+    """Rows with doc_id, _text_key, set_key (null: empty), n_shingles, and ``first``, the smallest row of their component."""
+    chosen = pick(docs, doc_id=key, _text=text)
     chosen = chosen.withColumn("_text_key", F.xxhash64("_text"))
     sizes = materialise(_sets(chosen, ["doc_id", "_text_key"], "_text", width, "size"), "sizes")
-    known = sizes.where("n_shingles > 0").select("set_key", F.col("_text_key").alias("text_key"))
+    # One row per set, so that no key of the joins below is hot.
+    known = sizes.where("n_shingles > 0").groupBy("set_key").agg(F.min("_text_key").alias("text_key"))
+    known = materialise(known, "known-sets")
     found = similar_sets(chosen, "_text", known, percent, width)
     # Rows with a null key come last here.
     row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_text_key")
-    smallest = sizes.where("n_shingles > 0").groupBy("set_key").agg(F.min(row).alias("_first"))
+    smallest = sizes.where("n_shingles > 0").groupBy("set_key").agg(F.min(row).alias("_first"), F.count("*").alias("rows"))
     smallest = smallest.join(found.withColumnRenamed("node", "set_key"), "set_key", "left")
     smallest = materialise(smallest.withColumn("component", F.coalesce("component", "set_key")), "smallest")
     lowest = smallest.groupBy("component").agg(F.min("_first").alias("first"))
-    named = smallest.select("set_key", "component").join(lowest, "component").select("set_key", "first")
-    return sizes.withColumn("set_key", F.when(F.col("n_shingles") > 0, F.col("set_key"))), named
+    named = smallest.select("set_key", "rows", "component").join(lowest, "component")
+    named = materialise(named.select(F.col("set_key").cast("string"), "rows", "first"), "named-sets")
+    rows = sizes.withColumn("set_key", F.when(F.col("n_shingles") > 0, F.col("set_key").cast("string")))
+    return lookup_join(rows, named, "set_key", "rows", F.concat_ws(":", "doc_id", "_text_key"))
 
 
 def jaccard_components(
@@ -323,10 +342,9 @@ def jaccard_components(
     equal sets are linked. Repeated rows are rows of the result as well. A null
     key never is a component's smallest unless all its keys are null.
     """
-    rows, named = _components(docs, key, text, percent, width)
-    joined = rows.join(named, "set_key", "left")
+    rows = _components(docs, key, text, percent, width)
     component = F.when(F.col("n_shingles") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -335,8 +353,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     Of rows with equal key and text one stays. Texts are not shuffled while the
     keys to drop are few.
     """
-    rows, named = _components(docs, key, text, percent, width)
-    judged = rows.where(F.col("set_key").isNotNull()).join(named, "set_key")
+    judged = _components(docs, key, text, percent, width).where(F.col("set_key").isNotNull())
     first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("_text_key") == F.col("first._text_key"))
     judged = materialise(judged.groupBy("doc_id", "_text_key").agg(F.max(first).alias("first"), F.count("*").alias("n")), "judged")
     names = docs.columns

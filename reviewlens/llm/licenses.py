@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import table
+from reviewlens.llm.common import pick, table
 
 LONG_GRAM, SHORT_GRAM = 4, 2
 #: Share of a template's grams that have to be found, the distance of diagonals to merge, and the growth of a span.
@@ -141,7 +141,7 @@ def license_spans(
         )
     )
 
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")).select(
+    rows = pick(docs, doc_id=key, _text=text).select(
         "doc_id", F.xxhash64("_text").alias("text_key"), word_list(F.col("_text")).alias("words")
     )
     rows = rows.select("doc_id", "text_key", F.size("words").alias("n_words"), "words", F.posexplode_outer("words").alias("at", "word"))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import materialise, table
+from reviewlens.llm.common import materialise, pick, table
 from reviewlens.llm.quality import words
 
 WEIGHTS = (5, 2, 1)
@@ -117,9 +117,9 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def sized_documents(docs: DataFrame, key: str, text: str, source: str, seed: str = SEED) -> DataFrame:
-    return docs.select(
-        F.col(key).alias("doc_id"), F.col(source).alias("source"),
-        F.size(words(F.col(text))).cast("bigint").alias("size"), document_hash(F.col(key), seed).alias("hash"),
+    return pick(docs, doc_id=key, source=source, text=text).select(
+        "doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size"),
+        document_hash(F.col("doc_id"), seed).alias("hash"),
     )
 
 

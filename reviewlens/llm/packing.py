@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import materialise, table
+from reviewlens.llm.common import materialise, pick, table
 
 END_ID = 2
 LENGTH = 1024
@@ -65,7 +65,7 @@ def pieces(docs: DataFrame, key: str, text: str, path: str, length: int = LENGTH
     first one holds the rest and may be shorter. Repeated rows, and rows with a
     null key, are separate items.
     """
-    chosen = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    chosen = pick(docs, doc_id=key, text=text)
     schema = f"doc_id {dict(chosen.dtypes)['doc_id']}, {_PIECE}"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

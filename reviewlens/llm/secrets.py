@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewlens.llm.common import table
+from reviewlens.llm.common import pick, table
 
 MASK = "[SECRET]"
 
@@ -176,8 +176,8 @@ _ARROW_SPANS = pa.list_(
 
 
 def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id and ``spans``. A null text has none; repeated rows are scanned repeatedly."""
-    chosen = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    """Per row: doc_id and ``spans``. A null text has none; repeated rows are scanned repeatedly; other columns do not matter."""
+    chosen = pick(docs, doc_id=key, text=text)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,7 +12,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import materialise, table
+from reviewlens.llm.common import materialise, pick, table
 
 BITS, LANES = 64, 32
 _LOW_BITS = 0x0000000100000001
@@ -160,7 +160,7 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     A null text is an empty one. Rows with a repeated or null key are rows of
     their own; the order among them is that of their texts.
     """
-    rows = with_next(docs, key, text).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    rows = with_next(pick(docs, doc_id=key, text=text), "doc_id", "text").withColumn("edited", edited(F.col("text"), F.col("next_text")))
     facts = ["doc_id", "block", "place", "next_block", "next_place"]
     rows = rows.select(
         *facts, F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),

@@ -1,8 +1,10 @@
 """WARC archives as a Spark data source, written and read in parallel.
 
 ``register(spark)``, then ``df.write.format("warc").save(folder)`` and
-``spark.read.format("warc").load(folder)``. A write leaves a manifest of the
-files of the tasks that were committed, with places where a file can be split.
+``spark.read.format("warc").load(folder)``. A write leaves a manifest of its own
+with the files of the tasks that were committed and places where a file can be
+split; a folder is read by all its manifests. One of an overwrite names those that
+it replaces, so readers see either the old or the new content.
 Every record is a gzip member of its own whose header gives the member's length,
 so that a reader inflates the WARC header, decides, and steps over the rest.
 """
@@ -36,10 +38,12 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from reviewlens.llm.common import table
+from reviewlens.llm.common import materialise, pick, table
+from reviewlens.operators.skew import lookup_join
 from reviewlens.session import scratch_path
 
 MANIFEST = "_manifest.json"
+_MANIFEST_START = "_manifest"
 SPLIT_BYTES = 64 << 20
 #: A record is read by pieces; so many bytes nearly always hold its WARC and HTTP headers.
 HEAD_BYTES = 8192
@@ -108,8 +112,8 @@ class _Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     """Columns record_type, record_id, target_uri, warc_date, refers_to (strings) and payload (binary)."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         files, folder = _filesystem(self.path)
@@ -145,8 +149,41 @@ class WarcWriter(DataSourceArrowWriter):
         files.create_dir(folder, recursive=True)
         written = [m for m in messages if m is not None and m.name]
         known = {"files": [{"name": m.name, "bytes": m.size, "splits": m.splits} for m in written]}
-        with files.open_output_stream(f"{folder}/{MANIFEST}") as out:
+        before = manifests(files, folder) if self.overwrite else {}
+        if before:
+            known["replaces"] = sorted(before)
+        name = f"{_MANIFEST_START}-{uuid.uuid4().hex}.json"
+        # Written aside first, since a stream that breaks off must not leave half a manifest.
+        with files.open_output_stream(f"{folder}/.{name}") as out:
             out.write(json.dumps(known).encode())
+        files.move(f"{folder}/.{name}", f"{folder}/{name}")
+        for old, content in before.items():
+            for part in content["files"]:
+                _remove(files, f"{folder}/{part['name']}")
+            _remove(files, f"{folder}/{old}")
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        """Removes what the tasks of a failed job had written; nothing refers to it."""
+        files, folder = _filesystem(self.path)
+        for message in messages:
+            if message is not None and message.name:
+                _remove(files, f"{folder}/{message.name}")
+
+
+def _remove(files: pyarrow.fs.FileSystem, path: str) -> None:
+    if files.get_file_info(path).type == pyarrow.fs.FileType.File:
+        files.delete_file(path)
+
+
+def manifests(files: pyarrow.fs.FileSystem, folder: str) -> dict[str, dict]:
+    """The valid manifests of a folder by name, those that a later one replaces left out."""
+    found = {}
+    for info in files.get_file_info(pyarrow.fs.FileSelector(folder, allow_not_found=True)):
+        if info.base_name.startswith(_MANIFEST_START) and info.base_name.endswith(".json"):
+            with files.open_input_stream(info.path) as source:
+                found[info.base_name] = json.loads(source.read())
+    replaced = {name for content in found.values() for name in content.get("replaces", ())}
+    return {name: content for name, content in sorted(found.items()) if name not in replaced}
 
 
 @dataclass
@@ -169,12 +206,12 @@ def plan_spans(path: str) -> list[Span]:
         raise FileNotFoundError(path)
     if info.type == pyarrow.fs.FileType.File:
         return [Span(folder, 0, None)]
-    if files.get_file_info(f"{folder}/{MANIFEST}").type == pyarrow.fs.FileType.File:
-        with files.open_input_stream(f"{folder}/{MANIFEST}") as manifest:
-            known = json.loads(manifest.read())
+    known = manifests(files, folder)
+    if known:
         return [
             Span(f"{folder}/{f['name']}", begin, end)
-            for f in known["files"]
+            for content in known.values()
+            for f in content["files"]
             for begin, end in zip([0, *f["splits"]], [*f["splits"], f["bytes"]], strict=True)
         ]
     found = files.get_file_info(pyarrow.fs.FileSelector(folder, recursive=True))
@@ -369,7 +406,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], schema, self.options.get("verify", "false").lower() == "true")
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -386,14 +423,13 @@ def page_records(
     The others revisit it; rows that share the largest key are all responses. A
     null html is an empty payload; a null key is smaller than all others.
     """
-    rows = pages.select(
-        F.col(key).alias("id"), F.col(url).alias("target_uri"),
-        F.encode(F.coalesce(F.col(html).cast("string"), F.lit("")), "UTF-8").alias("payload"),
+    rows = pick(pages, id=key, target_uri=url, html=html).select(
+        "id", "target_uri", F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload")
     ).withColumn("same", F.sha2("payload", 256))
-    # Partial counts leave the map tasks; only payloads that repeat are joined, and AQE splits hot ones.
+    # Partial counts leave the map tasks. Digests that repeat are few or looked up: payloads rarely move for them.
     groups = rows.where(F.octet_length("payload") >= least_bytes).groupBy("same")
-    groups = groups.agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(groups.withColumn("repeats", F.lit(True)), "same", "left")
+    groups = groups.agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").withColumn("repeats", F.lit(True))
+    joined = lookup_join(rows, materialise(groups, "repeated-payloads"), "same", "n", F.coalesce(F.col("id").cast("string"), F.lit("")))
     revisit = F.col("repeats") & ~F.col("id").eqNullSafe(F.col("first"))
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")))
     return joined.select(
@@ -413,3 +449,24 @@ def op2_warc(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")
     )
+
+
+def warc_pushdown(spark: SparkSession, sf: str) -> DataFrame:
+    """Payload digests of the responses from https pages: all other records are stepped over, their payloads not inflated."""
+    register(spark)
+    path = scratch_path(spark, "warc")
+    page_records(table(spark, sf, "pages")).write.format("warc").mode("append").save(path)
+    found = spark.read.format("warc").schema("record_type string, record_id string, target_uri string, payload binary").load(path)
+    found = found.where((F.col("record_type") == "response") & F.col("target_uri").startswith("https://"))
+    return found.select(
+        F.expr("try_cast(substring(record_id, 10) as bigint)").alias("page_id"), "target_uri",
+        F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha1("payload").alias("payload_sha1"),
+    )
+
+
+PUSHDOWN_ORACLE = """
+  select page_id, url as target_uri, octet_length(encode(coalesce(html, ''))) as payload_bytes,
+    sha1(coalesce(html, '')) as payload_sha1
+  from (select *, max(page_id) over (partition by coalesce(html, '')) as first from pages)
+  where page_id is not distinct from first and starts_with(url, 'https://')
+"""

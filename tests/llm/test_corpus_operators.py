@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from reviewlens.llm import jaccard, licenses, mixing, packing, quality, secrets, simhash
+from reviewlens.llm import audit, bpe, jaccard, licenses, mixing, packing, quality, secrets, simhash
 
 SPACE = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, hash string, row int, first int"
@@ -483,6 +483,23 @@ def test_empty_tables(none):
     assert simhash.fingerprint_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("name", ["TEXT", "row", "Source"])
+def test_clashing_names_change_nothing(spark, rows, name):
+    """An extra column whose name differs in case only, or is one that an operator uses itself."""
+    made = [(r[0], r[1], r[2], r[3]) for r in rows[:20]]
+    plain = spark.createDataFrame(made, "doc_id bigint, text string, lang string, source string")
+    more = spark.createDataFrame([(*r, "x") for r in made], f"doc_id bigint, text string, lang string, source string, `{name}` string")
+    operators = (licenses.license_spans, secrets.scan_secrets, quality.quality_rules, mixing.mix_sources, bpe.encode_documents)
+    if name == "TEXT":
+        operators += (simhash.fingerprint_documents, jaccard.jaccard_components, packing.pack_documents)
+    for operator in operators:
+        one, two = (sorted(map(repr, operator(df.coalesce(1)).collect())) for df in (plain, more))
+        assert one == two, operator
+    marks = spark.createDataFrame([(0, 1, 0, 5)], "doc_id bigint, quality int, toxic int, QUALITY int")
+    one, two = (sorted(map(repr, audit.failure_counts(df, marks).collect())) for df in (plain, more))
+    assert one == two
+
+
 def test_native_operators_run_no_python(docs):
     for df in (
         quality.quality_rules(docs), mixing.mix_sources(docs), simhash.fingerprint_documents(docs),
