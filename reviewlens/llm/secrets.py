@@ -68,13 +68,27 @@ ALLOWED = (
 )
 
 
+#: Words inside an identifier, and the share of its letters and digits from which on it consists of them: of mixed case
+#: or with separators, and otherwise, where chance makes words of letters more often.
+WORD = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}")
+WORD_SHARE, PLAIN_WORD_SHARE = 0.6, 0.8
+_VOWEL, _CONSONANTS = re.compile("[aeiouy]", re.I), re.compile("[^aeiouy]{5}", re.I)
+
+
+def is_wordy(span: str) -> bool:
+    """Whether a span is made of words, as names in code and slugs are: letters that have vowels and no five consonants."""
+    inside = sum(len(w) for w in WORD.findall(span) if _VOWEL.search(w) and not _CONSONANTS.search(w))
+    mixed = any(c in "-_/" for c in span) or (span.upper() != span and span.lower() != span)
+    return inside >= (WORD_SHARE if mixed else PLAIN_WORD_SHARE) * sum(c.isalnum() for c in span)
+
+
 def entropy_spans(run: str, width: int, bits: float) -> list[tuple[int, int]]:
     """Joined windows of ``run`` whose Shannon entropy is at least ``bits``.
 
     Moving the window by one character changes two counts; the sum of
     n * log2(n) over the counts follows from these alone.
     """
-    weight = [0.0, *(n * math.log2(n) for n in range(1, width + 1))]
+    weight = [0.0, *(n * math.log2(n) for n in range(1, width + 2))]
     counts: dict[str, int] = {}
     total, limit, found = 0.0, (math.log2(width) - bits) * width + 1e-9, []
     for at, char in enumerate(run):
@@ -126,6 +140,8 @@ def _candidates(text: str) -> Iterator[tuple[int, int]]:
 def find_secrets(text: str | None) -> list[tuple[str, int, int, int]]:
     """(kind, start, end, start of the secret part) of every span, by start, then kind as listed.
 
+    High-entropy spans that consist of words, as identifiers do, are no secrets.
+
     Positions are code points, ends exclusive. Spans of the base patterns stay
     whatever the allow-list says; those of one kind do not overlap, those of
     different kinds may.
@@ -151,7 +167,8 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int, int]]:
                     places.setdefault(known.kind, []).append((run.start() + first, run.start() + last))
         for kind, spans in places.items():
             for first, last in _joined_spans(spans):
-                if not any(allowed.fullmatch(candidate[first:last]) for allowed in ALLOWED):
+                span = candidate[first:last]
+                if not any(allowed.fullmatch(span) for allowed in ALLOWED) and not (kind != "entropy_hex" and is_wordy(span)):
                     found.append((kind, begin + first, begin + last, begin + first))
     order = {kind: at for at, kind in enumerate(dict.fromkeys((*BASE_KINDS, *(known.kind for known in CLASSES))))}
     return sorted(found, key=lambda span: (span[1], order[span[0]], span[2]))

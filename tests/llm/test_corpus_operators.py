@@ -468,6 +468,23 @@ def test_block_tables_find_all_neighbours(spark):
     assert found == {(a, b, distance(a, b)) for a in queries for b in set(values) if distance(a, b) <= 3}
 
 
+CLEAN = """getUserAccountSettingsByIdV2 blog-post-2023-machine-learning-pipelines test_int64_overflow_groupby_large_df_shuffled
+/usr/share/doc/python3/examples/readme2 https://issues.example.org/browse/ARROW-10146 x13SparkConnectServiceGrpcHandler
+AbstractSingletonProxyFactoryBean2 MAX_CONNECTION_RETRY_COUNT_V2 com/en-us/dynamics365/finance-operations/language-reference
+test_symlink_extraction2_with_long_names dataset_v2_files/year=2019/month=12/part-00017 readLittleEndianInt32FromBuffer
+release-notes-2024-spring-update-part-2 kubernetes-cluster-autoscaler-1.29.3 _testSingleMessageTruncate2
+=====================a1 zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz1b2""".split()
+
+
+def test_names_are_no_secrets_and_keys_are():
+    assert [name for name in CLEAN if secrets.find_secrets(name)] == []
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for alphabet, size, least in ((letters + "+/", 24, 0.92), (letters + "+/", 40, 0.98), (letters, 32, 0.97), (letters + "-_", 43, 0.99)):
+        found = sum(bool(secrets.find_secrets("key is " + "".join(rng.choices(alphabet, k=size)))) for _ in range(2000))
+        assert found >= least * 2000
+
+
 # Empty tables.
 
 
