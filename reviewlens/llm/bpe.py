@@ -16,6 +16,7 @@ import os
 import tempfile
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +26,38 @@ from pyspark.sql import functions as F
 
 from reviewlens.llm.common import pick, table
 
-#: Bytes of text, or tokens, that a task hands to DuckDB at once (one document at least).
-PORTION = 4 << 20
-#: Bytes of new words that one recursive query encodes (one word at least).
-QUERY_BYTES = 1 << 20
-#: Distinct words and tokens that a task remembers before it starts anew.
+#: Bytes of text that a task encodes, and tokens that it decodes at once (one document at least).
+TEXT_BYTES, TOKENS = 4 << 20, 1 << 20
+#: Bytes of new words that one recursive query encodes (one word at least), and of a long word.
+QUERY_BYTES, LONG_WORD = 1 << 18, 64
+#: Distinct words and tokens that a task remembers; beyond, those that it met once are forgotten.
 WORDS_KEPT, TOKENS_KEPT = 300_000, 4_000_000
 
-#: ``live`` are the tokens of words that changed in the last round, ``pairs`` those that may be contracted. Of the pairs
-#: of minimum rank the leftmost one is contracted; where no other order of contractions is possible ("calm", see
-#: _merges), all that do not overlap are, so that a long run of equal characters takes few rounds.
+#: Rounds of whole words: the tokens of all words that were not finished before, with one pair per word contracted.
+#: Word and position are one number, so that a single sort brings neighbours together.
 ENCODE = """
+with recursive state(place, id, step) as (
+  select (word::bigint << 32) | pos, id, 0 from portion
+  union all
+  (with live as (
+     select place, id, step, lead(id) over places as next_id, lead(place) over places as next_place,
+       lag(place) over places as last_place
+     from state window places as (order by place)),
+   lowest as (
+     select v.place >> 32 as word, min((m.id::bigint << 32) | (v.place & 4294967295)) as best
+     from live v join merges m on m.pair = (v.id::bigint << 32) | v.next_id
+     where v.place >> 32 = v.next_place >> 32 group by v.place >> 32),
+   chosen as (select word, (best >> 32)::int as id, (word << 32) | (best & 4294967295) as place from lowest)
+   select v.place, case when v.place = c.place then c.id else v.id end, step + 1
+   from live v join chosen c on c.word = v.place >> 32 where v.last_place is distinct from c.place)
+),
+ends as (select place >> 32 as word, max(step) as step from state group by place >> 32)
+select e.word, list(s.id order by s.place) as ids
+from state s join ends e on e.word = s.place >> 32 and e.step = s.step group by e.word order by e.word
+"""
+#: The same for long words, which need many rounds: these change rows in place, and where the order of contractions
+#: does not matter ("calm", see _merges), all pairs of the word's minimum rank that do not overlap go in one round.
+ENCODE_LONG = """
 with recursive state(word, pos, id) using key (word, pos) as (
   select word, pos, id from portion
   union all
@@ -45,7 +67,7 @@ with recursive state(word, pos, id) using key (word, pos) as (
      window places as (partition by word order by pos)),
    pairs as (
      select v.word, v.pos, v.next_pos, v.place, m.id, m.calm, min(m.id) over (partition by v.word) as least
-     from live v join merges m on m.l = v.id and m.r = v.next_id),
+     from live v join merges m on m.pair = (v.id::bigint << 32) | v.next_id),
    lowest as (
      select word, pos, next_pos, id, bool_and(calm) over (partition by word) as calm,
        row_number() over (partition by word order by pos) as nth,
@@ -67,7 +89,7 @@ from portion p join tokens t on t.id = p.id group by p.doc order by p.doc
 
 
 def _merges(ranks: dict[bytes, int]) -> pa.Table:
-    """All pairs of tokens whose bytes together are a token: l, r, id, calm.
+    """All pairs of tokens whose bytes together are a token: pair (the left one times 2^32 plus the right one), id, calm.
 
     A merge is calm if its token can't at once be part of another pair of the
     same or a lower rank. For a token x before it such a pair x + (l r) exists
@@ -91,9 +113,8 @@ def _merges(ranks: dict[bytes, int]) -> pa.Table:
         for l, r in splits[left] if rank <= left else ():  # noqa: E741
             if pairs.get((r, right), left + 1) > left:
                 stirred.add((l, r))
-    keys = np.array(list(pairs), np.int32).reshape(-1, 2)
     return pa.table({
-        "l": keys[:, 0], "r": keys[:, 1], "id": pa.array(pairs.values(), pa.int32()),
+        "pair": pa.array([left << 32 | right for left, right in pairs], pa.int64()), "id": pa.array(pairs.values(), pa.int32()),
         "calm": pa.array([pair not in stirred for pair in pairs], pa.bool_()),
     })
 
@@ -123,21 +144,34 @@ class Codec:
             raise ValueError("The vocabulary has to hold every byte.")
         spill = os.path.join(tempfile.gettempdir(), f"bpe-{os.getpid()}")
         self.connection = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": spill})
-        names = [token.decode("latin-1") for token in self.ranks]
-        self._load("merges", _merges(self.ranks))
-        self._load("tokens", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "bytes": names}))
-        self._forget()
-
-    def _load(self, name: str, rows: pa.Table) -> None:
+        self.loaded: set[str] = set()
+        self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self._keep(np.zeros(0, np.int64))
+
+    def _need(self, name: str) -> None:
+        """Load the merge table or the token table where a task first uses it."""
+        if name in self.loaded:
+            return
+        if name == "merges":
+            rows = _merges(self.ranks)
+        else:
+            names = [token.decode("latin-1") for token in self.ranks]
+            rows = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "bytes": names})
         self.connection.register("incoming", rows)
         self.connection.execute(f"create table {name} as select * from incoming")
         self.connection.unregister("incoming")
+        self.loaded.add(name)
 
-    def _forget(self) -> None:
-        self.index: defaultdict[str, int] = defaultdict()
+    def _keep(self, places: np.ndarray) -> None:
+        """Remember only the words at these places."""
+        words = list(self.index) if len(places) else []
+        sizes = np.diff(self.starts)[places]
+        ends = np.cumsum(sizes)
+        self.ids = self.ids[np.repeat(self.starts[places] - ends + sizes, sizes) + np.arange(sizes.sum())]
+        self.starts = np.append(0, ends)
+        self.index = defaultdict(None, zip((words[place] for place in places), range(len(places)), strict=True))
         self.index.default_factory = self.index.__len__
-        self.starts = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.int32)
+        self.uses = np.zeros(len(places), np.int64)
 
     def _query(self, query: str, **portion) -> pa.Table:
         self.connection.register("portion", pa.table(portion))
@@ -146,41 +180,51 @@ class Codec:
         finally:
             self.connection.unregister("portion")
 
-    def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Lengths and ids; a word that is a token as a whole is that token."""
-        known = np.array([self.ranks.get(word, -1) for word in words], np.int32)
-        rest = np.flatnonzero(known < 0)
-        sizes = np.array([len(words[i]) for i in rest], np.int64)
-        number = np.repeat(np.arange(len(rest), dtype=np.int32), sizes)
+    def _contract(self, words: list[bytes], query: str) -> pa.ListArray:
+        self._need("merges")
+        sizes = np.array([len(word) for word in words], np.int64)
+        number = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         place = np.arange(len(number)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        first = self.byte_ids[np.frombuffer(b"".join(words[i] for i in rest), np.uint8)]
-        lengths = np.ones(len(words), np.int64)
-        if not len(rest):
-            return lengths, known
-        found = self._query(ENCODE, word=number, pos=place.astype(np.int32), id=first).column("ids").combine_chunks()
-        lengths[rest] = pc.list_value_length(found).to_numpy()
-        whole = np.repeat(known, lengths)
-        whole[whole < 0] = found.flatten().to_numpy()
-        return lengths, whole
+        first = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        return self._query(query, word=number, pos=place.astype(np.int32), id=first).column("ids").combine_chunks()
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode new words; one that is a token as a whole is that token."""
+        known = np.array([self.ranks.get(word, -1) for word in words], np.int32)
+        sizes = np.array([len(word) for word in words], np.int64)
+        lengths, parts = np.ones(len(words), np.int64), []
+        for query, rest in ((ENCODE, sizes <= LONG_WORD), (ENCODE_LONG, sizes > LONG_WORD)):
+            rest = np.flatnonzero((known < 0) & rest)
+            for start, stop in _cuts(sizes[rest], QUERY_BYTES):
+                chosen = rest[start:stop]
+                found = self._contract([words[i] for i in chosen], query)
+                lengths[chosen] = pc.list_value_length(found).to_numpy()
+                parts.append((chosen, found.flatten().to_numpy()))
+        starts = np.append(0, np.cumsum(lengths))
+        ids = np.empty(starts[-1], np.int32)
+        ids[starts[:-1]] = known
+        for chosen, found in parts:
+            size = lengths[chosen]
+            ids[np.repeat(starts[chosen] - np.cumsum(size) + size, size) + np.arange(len(found))] = found
+        self.starts = np.append(self.starts, self.starts[-1] + starts[1:])
+        self.ids = np.append(self.ids, ids)
+        self.uses = np.append(self.uses, np.zeros(len(words), np.int64))
 
     def encode(self, texts: list[str]) -> pa.ListArray:
         """The ids of every text."""
         if len(self.index) > WORDS_KEPT or len(self.ids) > TOKENS_KEPT:
-            self._forget()
+            often = np.flatnonzero(self.uses > 1)
+            fits = len(often) <= WORDS_KEPT // 2 and np.diff(self.starts)[often].sum() <= TOKENS_KEPT // 2
+            self._keep(often if fits else often[:0])
         before, number = len(self.index), self.index.__getitem__
         rows = []
         for text in texts:
             words = self.find(text)
-            rows.append(np.fromiter(map(number, words), np.int64, len(words)))
+            rows.append(np.fromiter(map(number, words), np.int32, len(words)))
         if len(self.index) > before:
-            new = list(self.index)[before:]
-            new = [word.encode() for word in new]
-            sizes = np.array([len(word) for word in new])
-            for start, stop in _cuts(sizes, QUERY_BYTES):
-                lengths, ids = self._encode_words(new[start:stop])
-                self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(lengths))
-                self.ids = np.append(self.ids, ids)
-        words = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            self._learn([word.encode() for word in islice(self.index, before, None)])
+        words = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        self.uses += np.bincount(words, minlength=len(self.uses))
         sizes = np.diff(self.starts)[words]
         ends = np.cumsum(sizes)
         ids = self.ids[np.repeat(self.starts[words] - ends + sizes, sizes) + np.arange(sizes.sum())]
@@ -189,12 +233,13 @@ class Codec:
 
     def decode(self, lists: pa.ListArray) -> pa.Array:
         """The bytes of every list of ids; an id that is no token is an error."""
+        self._need("tokens")
         sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
         ids = lists.flatten()
         doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         if ids.null_count or (len(ids) and not pc.all(pc.is_in(ids, pa.array(self.ranks.values(), pa.int32()))).as_py()):
             raise ValueError("Unknown token id.")
-        found = self._query(DECODE, doc=doc, place=np.arange(len(doc)), id=ids)
+        found = self._query(DECODE, doc=doc, place=np.arange(len(doc), dtype=np.int32), id=ids)
         whole = [b""] * len(sizes)
         for row, value in zip(found.column("doc").to_pylist(), found.column("bytes").to_pylist(), strict=True):
             whole[row] = value.encode("latin-1")
@@ -219,8 +264,8 @@ def word_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-def _portions(batch: pa.RecordBatch, sizes: pa.Array) -> Iterator[pa.RecordBatch]:
-    for start, stop in _cuts(pc.fill_null(sizes, 0).to_numpy(), PORTION):
+def _portions(batch: pa.RecordBatch, sizes: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+    for start, stop in _cuts(pc.fill_null(sizes, 0).to_numpy(), most):
         yield batch.slice(start, stop - start)
 
 
@@ -239,7 +284,7 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _portions(batch, pc.binary_length(batch.column("text"))):
+            for part in _portions(batch, pc.binary_length(batch.column("text")), TEXT_BYTES):
                 ids = codec(path, pattern).encode(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
 
@@ -255,7 +300,7 @@ def decode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _portions(batch, pc.list_value_length(batch.column("ids"))):
+            for part in _portions(batch, pc.list_value_length(batch.column("ids")), TOKENS):
                 whole = codec(path, pattern).decode(part.column("ids"))
                 yield pa.RecordBatch.from_arrays([*part.columns, whole], ["doc_id", "ids", "bytes"])
 
