@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from reviewlens.llm.common import pick, table
 
 #: Bytes of text that a task encodes, and tokens that it decodes at once (one document at least).
-TEXT_BYTES, TOKENS = 4 << 20, 1 << 20
+TEXT_BYTES, TOKENS = 4 << 20, 1 << 19
 #: Bytes of new words that one recursive query encodes (one word at least), and of a long word.
 QUERY_BYTES, LONG_WORD = 1 << 18, 64
 #: Distinct words and tokens that a task remembers; beyond, those that it met once are forgotten.

@@ -34,14 +34,15 @@ BLOCK_ENTRIES, BLOCK_ROWS, CELL_BLOCKS = 1 << 16, 1024, 16
 LARGEST = 1 << 52
 
 
-def block_rows(dims: int) -> int:
-    return max(16, min(BLOCK_ROWS, BLOCK_ENTRIES // max(1, dims)))
+def block_rows(dims: int, entries: int, most: int) -> int:
+    return max(16, min(most, entries // max(1, dims)))
 
 
 def packed_rows(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """Blocks of rows: task, seq, rows, dims, ids, sums per dimension, and the scaled entries ``x`` (int64, row by row)."""
     chosen = pick(vectors, vec_id=key, vector=vector)
     chosen = chosen.select("vec_id", F.col("vector").cast("array<double>").alias("vector"))
+    entries, most = BLOCK_ENTRIES, BLOCK_ROWS
     fine = F.forall("vector", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     chosen = chosen.where(F.col("vector").isNotNull() & fine)
 
@@ -54,7 +55,7 @@ def packed_rows(vectors: DataFrame, key: str, vector: str) -> DataFrame:
             dims = int(sizes[0])
             if (sizes != dims).any():
                 raise ValueError("The vectors differ in length.")
-            step = block_rows(dims)
+            step = block_rows(dims, entries, most)
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
                 ids = part.column("vec_id")
@@ -137,7 +138,7 @@ class Blocks:
 
     def matrix(self, column) -> BlockMatrix:
         """Centred rows, block g in the given column of blocks; short blocks end with rows of zeros, which add nothing."""
-        dims, n, sums, height = self.dims, self.n, self.sums, block_rows(self.dims)
+        dims, n, sums, height = self.dims, self.n, self.sums, block_rows(self.dims, BLOCK_ENTRIES, BLOCK_ROWS)
 
         def block(row):
             values = np.zeros((height, dims))
