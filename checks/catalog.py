@@ -167,6 +167,50 @@ def a7(spark, sf):
     return df.withColumn("parsed", F.date_format("parsed", "yyyy-MM-dd HH:mm:ss"))
 
 
+# More spellings, by event_id % 12; the last one has two readings, which the column's other dates decide.
+MORE_SPELLINGS = (
+    "EEE MMM d yyyy", "EEEE, MMMM d, yyyy", "EEE, d MMM yyyy", "yyyy-MM-dd HH:mm:ss' UTC'", "M/d/yy h:mm a", "MMM yyyy", "yyyy-M",
+    "yyyy", "MMMM yyyy", "yyyy-MM-dd HH:mm:ss' GMT'", "d'th' MMMM yyyy", "'Sept' d yyyy",
+)
+
+
+@query(
+    "a7_more_dates",
+    """select event_id, strftime(case when k in (3, 9) then date_trunc('second', ts) when k = 4 then date_trunc('minute', ts)
+         when k in (5, 6, 8) then date_trunc('month', ts) when k = 7 then date_trunc('year', ts)
+         when k = 11 then make_date(year(ts), 9, least(day(ts), 30)) else date_trunc('day', ts) end, '%Y-%m-%d %H:%M:%S') as parsed
+       from (select *, event_id % 12 as k from events)""",
+)
+def a7_more(spark, sf):
+    ts, kind = F.col("ts"), F.col("event_id") % 12
+    spelled = F.lit(None).cast("string")
+    for number, pattern in enumerate(MORE_SPELLINGS[:-1]):
+        spelled = F.when(kind == number, F.date_format(ts, pattern)).otherwise(spelled)
+    september = F.concat(F.lit("Sept "), F.least(F.dayofmonth(ts), F.lit(30)).cast("string"), F.lit(" "), F.year(ts).cast("string"))
+    df = table(spark, sf, "events").select("event_id", F.coalesce(spelled, september).alias("spelled"))
+    return df.select("event_id", F.date_format(ingest.lenient_timestamp(F.col("spelled")), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+
+
+@query(
+    "a7_day_or_month_first",
+    """select event_id, event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') as parsed from events""",
+)
+def a7_voted(spark, sf):
+    """Every kind of event has its own spelling, as files of different origin have; each column decides for itself."""
+    events = table(spark, sf, "events")
+    kinds = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]
+    parts = []
+    for number, kind in enumerate(kinds):
+        spelled = F.date_format("ts", ("d/M/yyyy", "M/d/yyyy")[number % 2])
+        part = events.where(F.col("event_type").eqNullSafe(kind)).select("event_id", "event_type", spelled.alias("date"))
+        part = part.withColumn("feedback_text", F.lit("some words"))
+        parts.append(ingest.clean_reviews(part).select("event_id", "event_type", F.date_format("date", "yyyy-MM-dd").alias("parsed")))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
 @query("a8_rating_scale", """select review_id, rating, round(rating / (select max(rating) from reviews) * 100, 1)
   as rating_normalized from reviews""")
 def a8(spark, sf):

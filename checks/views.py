@@ -35,7 +35,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return load_parquet(spark, f"{sf}/{name}.parquet")
+    """The table, its rows dealt to all cores where it has fewer files than there are cores.
+
+    The given files have one row group each, which one task reads; scoring in that task would leave the others idle.
+    """
+    rows = load_parquet(spark, f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
 
 def _sentence(position: Column) -> Column:

@@ -65,6 +65,12 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"{NOT_SPACE}+"), F.lit(0))
 
 
+def words_up_to(text: Column, most: int) -> Column:
+    """The number of words, or ``most`` if there are as many: a long text is left after that many words."""
+    enough = text.rlike(f"^{SPACE}*+(?:{NOT_SPACE}++{SPACE}++){{{most - 1}}}{NOT_SPACE}")
+    return F.when(enough, most).otherwise(F.size(words(text)))
+
+
 def cap_words(text: Column, more_than: int, keep: int) -> Column:
     """Texts of more than ``more_than`` words become their first ``keep`` words and ``...``."""
     found = words(text)

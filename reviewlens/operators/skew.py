@@ -49,18 +49,17 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, weight: str, spread
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column], most: int, unique: str) -> DataFrame:
     """The first ``most`` rows of every group, with ``_rank``.
 
-    Each task first keeps the first rows of its own part of a group; the part's
-    number is the task's, so no row moves for that. What is left, ``most`` rows
-    per group and task, is limited a second time in some hundred parts, and
-    then as a whole: a group of any size sends few rows to its last task.
+    Spark limits ranks before it shuffles: every task keeps the first rows of its
+    own part of a group (up to ``spark.sql.optimizer.windowGroupLimitThreshold``
+    of them). What is left is limited in some hundred parts of a group, each fed
+    by some tasks, and then as a whole: a group of any size sends few rows to
+    its last task, and only these are sorted again.
     """
-    parts = {"_task": F.spark_partition_id(), "_part": F.pmod(F.spark_partition_id(), F.lit(PARTS))}
-    df = df.withColumns(parts)
-    for part in ("_task", "_part"):
-        window = Window.partitionBy(*keys, part).orderBy(*order)
+    df = df.withColumn("_task", F.pmod(F.spark_partition_id(), F.lit(PARTS)))
+    for groups in ([*keys, "_task"], keys):
+        window = Window.partitionBy(*groups).orderBy(*order)
         df = df.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= most)
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.where(F.col("_rank") <= most).drop(*parts)
+    return df.drop("_task")
 
 
 def with_rank(df: DataFrame, order: list[Column], rows: int, column: str = "rank") -> DataFrame:

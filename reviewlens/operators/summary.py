@@ -32,14 +32,19 @@ def group_pieces(
     comment by comment; ``joined`` is all comments if they have fewer than 25
     words together, and else their first ``opening`` characters, which matters
     to groups without such a sentence only. So a comment adds three sentences
-    and an opening at most, and a group the first few of each.
+    and an opening at most, and a group the first few of each. The opening of a
+    comment that has both such a sentence and 25 words is of no use to its group.
     """
     trimmed = T.text_trim(F.col(text))
     rows = df.where(F.col(by).isNotNull()).select(by, F.col(order).alias("_order"), F.coalesce(trimmed, F.lit("")).alias("_text"))
-    n_words = F.size(T.words(F.col("_text")))
+    n_words = T.words_up_to(F.col("_text"), K.SUMMARY_MIN_WORDS)
     rows = rows.withColumn("_words", n_words)
     rows = rows.withColumn("_long", F.slice(T.sentences(F.col("_text"), _LONGER_THAN), 1, _SENTENCES))
-    start = F.when(F.col("_words") < K.SUMMARY_MIN_WORDS, F.col("_text")).otherwise(F.substring("_text", 1, opening))
+    start = (
+        F.when(F.col("_words") < K.SUMMARY_MIN_WORDS, F.col("_text"))
+        .when(F.size("_long") > 0, "")
+        .otherwise(F.substring("_text", 1, opening))
+    )
     piece = lambda kind, position, words, value: F.struct(
         F.lit(kind).alias("kind"), position.alias("position"), words.alias("words"), value.alias("piece")
     )

@@ -23,7 +23,9 @@ DATE_FORMATS = (
     f"d/M/yyyy{_TIME}",
     "d/M/yyyy h:m[:s] a",
     "M/d/yy[ H:m[:s]]",
+    "M/d/yy h:m[:s] a",
     "d/M/yy[ H:m[:s]]",
+    "d/M/yy h:m[:s] a",
     "yyyyMMdd",
     f"d MMM yyyy{_TIME}",
     f"d MMMM yyyy{_TIME}",
@@ -33,7 +35,13 @@ DATE_FORMATS = (
     "MMM d yyyy h:m[:s] a",
     "MMMM d yyyy h:m[:s] a",
     "d MMM yy",
+    "MMM yyyy",
+    "MMMM yyyy",
+    "yyyy-M",
+    "yyyy",
 )
+_WEEKDAYS = r"(?i)^(?:mon|tues?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?[.,]? "
+_NUMBERS = r"^(\d{1,2})/(\d{1,2})/\d{2,4}(?!\d)"
 
 
 def load_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -171,6 +179,10 @@ def with_text_column(df: DataFrame) -> DataFrame:
 def _plain_date(value: Column) -> Column:
     """One spelling for separators, so that few patterns are left: 2024-1-5, 1/2/2024, 5 Jan 2024."""
     plain = F.regexp_replace(T.text_trim(value), r"\s+", " ")
+    plain = F.regexp_replace(plain, _WEEKDAYS, "")
+    plain = F.regexp_replace(plain, r"(?i)\b(sep)t\b", "$1")
+    plain = F.regexp_replace(plain, r"(?i)^(\d{1,2})(?:st|nd|rd|th)\b", "$1")
+    plain = F.regexp_replace(plain, r"(?i)(:\d{2}(?:\.\d+)?) ?(?:utc|gmt)$", "$1Z")
     plain = F.regexp_replace(plain, r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})(?!\d)", "$1-$2-$3")
     plain = F.regexp_replace(plain, r"^(\d{1,2})[-.](\d{1,2})[-.](\d{2,4})(?!\d)", "$1/$2/$3")
     plain = F.regexp_replace(plain, r"^(\d{1,2})[- ]([A-Za-z]{3,9})\.?[- ,]+(\d{2,4})", "$1 $2 $3")
@@ -180,13 +192,43 @@ def _plain_date(value: Column) -> Column:
     return F.regexp_replace(plain, r"(:\d{2}(?:\.\d+)?) ?([+-]\d{2}):?(\d{2})$", "$1$2:$3")
 
 
-def lenient_timestamp(value: Column) -> Column:
-    """A timestamp from any of the accepted spellings, else NULL."""
+def lenient_timestamp(value: Column, day_first: Column | bool = False) -> Column:
+    """A timestamp from any of the accepted spellings, else NULL.
+
+    ``day_first`` tells how 1/2/2024 is read, see :func:`day_comes_first`; 25/12/2024 has one reading only.
+    """
     plain = _plain_date(value)
     parsed = [F.try_to_timestamp(plain, F.lit(pattern)) for pattern in DATE_FORMATS]
+    if day_first is not False:
+        turned = [F.try_to_timestamp(plain, F.lit(p)) for p in DATE_FORMATS if p.startswith("d/M/")]
+        parsed.insert(0, F.when(F.lit(day_first) & plain.rlike(_NUMBERS), F.coalesce(*turned)))
     return F.coalesce(*parsed).cast("timestamp_ntz")
 
 
+def day_comes_first(date: Column) -> Column:
+    """Aggregate: whether a column's dates like 1/2/2024 begin with the day.
+
+    A vote of the values that have one reading only: more of them have a first
+    number above 12 than a second one. Without such values the month is first.
+    """
+    plain = _plain_date(date)
+    first, second = (F.regexp_extract(plain, _NUMBERS, group).try_cast("int") for group in (1, 2))
+    days, months = (F.count_if((a > 12) & b.between(1, 12)) for a, b in ((first, second), (second, first)))
+    return F.coalesce(days > months, F.lit(False))
+
+
+def date_report(df: DataFrame, date: str = "date") -> DataFrame:
+    """One row about a text column of dates: rows, blank ones, dates read and not read, and whether the day comes first."""
+    value = F.col(date)
+    return df.agg(
+        F.count("*").alias("n_rows"),
+        F.count_if(T.is_blank(value)).alias("n_blank"),
+        F.count(lenient_timestamp(value)).alias("n_read"),
+        unparsed_dates(value).alias("n_unread"),
+        day_comes_first(value).alias("day_first"),
+    )
+
+
 def unparsed_dates(date: Column) -> Column:
     """Aggregate: how many values of a text column are dates in no accepted spelling."""
     return F.count_if((T.text_trim(date) != "") & lenient_timestamp(date).isNull())
@@ -205,16 +247,21 @@ def with_normalised_rating(df: DataFrame, highest: float | None = None) -> DataF
     return df.withColumn("rating_normalized", scaled).drop("_highest")
 
 
-def clean_reviews(df: DataFrame, highest_rating: float | None = None) -> DataFrame:
+def clean_reviews(df: DataFrame, highest_rating: float | None = None, day_first: bool | None = None) -> DataFrame:
     """Drop empty rows and texts of five characters or less; parse dates and ratings if present.
 
-    Ratings are scaled by the highest one of the kept rows, unless it is given.
+    Ratings are scaled by the highest one of the kept rows, and dates read with
+    the day or the month first as most of them tell, unless these are given.
     """
     df = with_text_column(normalise_columns(df.na.drop("all")))
     df = df.withColumn("feedback_text", T.text_trim(F.col("feedback_text").cast("string")))
     df = df.where(F.length("feedback_text") > 5)
     if "date" in df.columns and isinstance(df.schema["date"].dataType, types.StringType):
-        df = df.withColumn("date", lenient_timestamp(F.col("date")))
+        if day_first is None:
+            df = df.withColumn("_day_first", df.agg(day_comes_first(F.col("date"))).scalar())
+        else:
+            df = df.withColumn("_day_first", F.lit(day_first))
+        df = df.withColumn("date", lenient_timestamp(F.col("date"), F.col("_day_first"))).drop("_day_first")
     if "rating" in df.columns:
         df = with_normalised_rating(df, highest_rating)
     return df
@@ -252,12 +299,15 @@ def validate(df: DataFrame) -> DataFrame:
     missing = F.lit(0)
     if has["feedback_text"]:
         missing = F.count_if(F.col("feedback_text").isNull() | (F.col("feedback_text") == ""))
-    unparsed = F.lit(0)
+    unparsed, undated = F.lit(0), F.lit(0)
     if has["date"] and isinstance(df.schema["date"].dataType, types.StringType):
         unparsed = unparsed_dates(F.col("date"))
+    elif has["date"]:
+        undated = F.count_if(F.col("date").isNull())
     stats = df.agg(
-        F.count("*").alias("n_rows"), missing.cast("bigint").alias("_missing"), unparsed.cast("bigint").alias("_unparsed")
-    )
+        F.count("*").alias("n_rows"), missing.cast("bigint").alias("_missing"), unparsed.cast("bigint").alias("_unparsed"),
+        undated.cast("bigint").alias("_undated"),
+    )
     percent = F.when(F.col("n_rows") > 0, F.round(F.col("_missing") / F.col("n_rows") * 100, 2)).otherwise(F.lit(0.0))
     stats = stats.withColumn("missing_pct", percent)
     pct = F.col("missing_pct")
@@ -273,6 +323,7 @@ def validate(df: DataFrame) -> DataFrame:
         warnings.append(F.lit("No 'date' column found — trend analysis will be unavailable."))
     dates = F.concat(F.col("_unparsed").cast("string"), F.lit(" dates could not be read."))
     warnings.append(F.when(F.col("_unparsed") > 0, dates))
+    warnings.append(F.when(F.col("_undated") > 0, F.concat(F.col("_undated").cast("string"), F.lit(" rows have no date."))))
     return stats.select(
         F.lit(has["feedback_text"]).alias("is_valid"),
         "n_rows",

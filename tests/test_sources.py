@@ -116,8 +116,29 @@ def test_date_spellings(spark):
         "25/12/2024": "2024-12-25 00:00", "2024-01-05T10:30:00Z": "2024-01-05 10:30", "1/2/24": "2024-01-02 00:00",
         "March 5th, 2024": "2024-03-05 00:00", "3/5/2024 4:05 pm": "2024-03-05 16:05", "garbage": None, "99/99/2024": None, "": None,
     }
+    spelled |= {
+        "Fri Jan 5 2024": "2024-01-05 00:00", "Friday, January 5, 2024": "2024-01-05 00:00", "5th March 2024": "2024-03-05 00:00",
+        "Sept 5 2024": "2024-09-05 00:00", "2024-01-05 10:00:00 UTC": "2024-01-05 10:00", "12/31/99 5:00 PM": "2099-12-31 17:00",
+        "Jan 2024": "2024-01-01 00:00", "2024-1": "2024-01-01 00:00", "2024": "2024-01-01 00:00", "Sunday": None, "31/12/99 5:00 PM": "2099-12-31 17:00",
+    }
     df = spark.createDataFrame([(k,) for k in spelled], "d string")
     got = {r["d"]: r["p"] and f"{r['p']:%Y-%m-%d %H:%M}" for r in df.withColumn("p", ingest.lenient_timestamp(F.col("d"))).collect()}
     assert got == spelled
     dated = df.select(F.lit("some text").alias("feedback_text"), F.lit("t").alias("teacher_name"), F.col("d").alias("date"))
-    assert "2 dates could not be read." in ingest.validate(dated).first()["warnings"]
+    assert "3 dates could not be read." in ingest.validate(dated).first()["warnings"]
+
+
+def test_dates_vote_for_day_or_month(spark):
+    """Most of the dates with one reading decide on the others; each value that fits only the other order keeps its own."""
+    def cleaned(dates, **given):
+        df = spark.createDataFrame([("some text", d) for d in dates], "feedback_text string, date string")
+        return [r["date"] and f"{r['date']:%Y-%m-%d}" for r in ingest.clean_reviews(df.coalesce(1), **given).collect()]
+
+    assert cleaned(["1/2/2024", "25/12/2024", "13.1.24", "12/31/2024"]) == ["2024-02-01", "2024-12-25", "2024-01-13", "2024-12-31"]
+    assert cleaned(["1/2/2024", "25/12/2024", "12/31/2024", "1/30/2024"]) == ["2024-01-02", "2024-12-25", "2024-12-31", "2024-01-30"]
+    assert cleaned(["1/2/2024", None, "", "x"]) == ["2024-01-02", None, None, None]
+    assert cleaned(["1/2/2024"], day_first=True) == ["2024-02-01"] and cleaned([]) == []
+    raw = spark.createDataFrame([("1/2/2024",), ("13/1/2024",), (None,), ("",), ("soon",)], "date string")
+    assert ingest.date_report(raw).first().asDict() == {"n_rows": 5, "n_blank": 2, "n_read": 2, "n_unread": 1, "day_first": True}
+    clean = ingest.clean_reviews(raw.withColumn("feedback_text", F.lit("some text")))
+    assert "3 rows have no date." in ingest.validate(clean).first()["warnings"]
