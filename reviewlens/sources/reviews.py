@@ -11,6 +11,7 @@ from pyspark.sql import types as types
 
 from reviewlens import constants as K
 from reviewlens.functions import text as T
+from reviewlens.sources.records import csv_records, parsed_records
 
 # Accepted date spellings, tried in this order after :func:`_plain_date`. Where both readings are possible, the month
 # comes before the day.
@@ -62,18 +63,23 @@ def _header_names(line: str) -> list[str]:
     return names
 
 
-def _read_csv(spark: SparkSession, path: str | list[str], header: str, encoding: str, multi_line: bool) -> DataFrame:
-    schema = types.StructType([types.StructField(name, types.StringType()) for name in _header_names(header)])
-    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
-    return reader.option("encoding", encoding).schema(schema).csv(path)
+def _read_csv(
+    spark: SparkSession, path: str | list[str], header: str, encoding: str, multi_line: bool, excepted: list[str] | None = None
+) -> DataFrame:
+    names = _header_names(header)
+    if multi_line:
+        return parsed_records(csv_records(spark, path, encoding, excepted), names)
+    schema = types.StructType([types.StructField(name, types.StringType()) for name in names])
+    rows = spark.read.option("header", True).option("escape", '"').option("encoding", encoding).schema(schema).csv(path)
+    return rows.where(~F.col("_metadata.file_path").isin(excepted)) if excepted else rows
 
 
 def csv_layouts(spark: SparkSession, path: str | list[str]) -> list[Row]:
     """The layouts of CSV files: encoding, header, multi_line, the number of files, the most frequent first.
 
-    A file is UTF-8 unless a line is not valid, then Latin-1; it is read as a
-    whole (``multi_line``) if a quoted value may hold a line break. One pass
-    over the files; as many rows come back as there are layouts.
+    A file is UTF-8 unless a line is not valid, then Latin-1; it is
+    ``multi_line`` if a quoted value may hold a line break. One pass over the
+    files; as many rows come back as there are layouts.
     """
     return _file_layouts(spark, path).groupBy("encoding", "header", "multi_line").count().orderBy(
         F.desc("count"), "encoding", "header", "multi_line"
@@ -102,8 +108,8 @@ def load_csv(spark: SparkSession, path: str | list[str], multi_line: bool | None
     Values are read as text and cast leniently afterwards. A first pass finds
     the layouts (an action). Files of the most frequent one are read by the
     given path, so that only the names of the others come to the driver.
-    Large files are cut unless a quoted value holds a line break; ``multi_line``
-    says so for all files.
+    Large files are cut, those with line breaks in quoted values as well
+    (``csv_records``); ``multi_line`` says for all files whether there are any.
     """
     layouts = csv_layouts(spark, path)
     if not layouts:
@@ -120,15 +126,11 @@ def load_csv(spark: SparkSession, path: str | list[str], multi_line: bool | None
         for row in _file_layouts(spark, path).where(~same).orderBy("file").toLocalIterator():
             others[by_layout[(row["encoding"], row["header"], row["multi_line"])]].append(row["file"])
 
-    def read(layout: Row, files: str | list[str]) -> DataFrame:
-        whole = layout["multi_line"] if multi_line is None else multi_line
-        return _read_csv(spark, files, layout["header"], layout["encoding"], whole)
+    def read(layout: Row, files: str | list[str], excepted: list[str] | None = None) -> DataFrame:
+        broken = layout["multi_line"] if multi_line is None else multi_line
+        return _read_csv(spark, files, layout["header"], layout["encoding"], broken, excepted)
 
-    first = read(layouts[0], path)
-    if others:
-        excepted = [file for files in others.values() for file in files]
-        first = first.where(~F.col("_metadata.file_path").isin(excepted))
-    df = normalise_columns(first)
+    df = normalise_columns(read(layouts[0], path, [file for files in others.values() for file in files]))
     for layout, files in others.items():
         df = df.unionByName(normalise_columns(read(layout, files)), allowMissingColumns=True)
     return clean_reviews(_with_written_text(df))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +144,29 @@ def test_dates_vote_for_day_or_month(spark):
     assert ingest.date_report(raw).first().asDict() == {"n_rows": 5, "n_blank": 2, "n_read": 2, "n_unread": 1, "day_first": True}
     clean = ingest.clean_reviews(raw.withColumn("feedback_text", F.lit("some text")))
     assert "3 rows have no date." in ingest.validate(clean).first()["warnings"]
+
+
+def test_cut_files_with_line_breaks(spark, tmp_path):
+    """Files cut at any place, inside quoted values too, give what a reader of whole files gives."""
+    rng = random.Random(12)
+    def value():
+        text = "".join(rng.choice(("a", "é", ",", '"', "\n", "\r\n", " ", "word ")) for _ in range(rng.choice((0, 3, 12, 90))))
+        return text if rng.random() < 0.3 and not set(text) & set(',"\r\n') else '"' + text.replace('"', '""') + '"'
+
+    for number, (encoding, end) in enumerate((("utf-8", "\n"), ("latin-1", "\r\n"), ("utf-8", "\r\n"))):
+        rows = [",".join([str(i), value(), value()]) for i in range(60)]
+        rows[30] = '30,"' + "long line\n" * 300 + '",x'
+        (tmp_path / f"{number}.csv").write_bytes(end.join(["id,one,two", *rows, ""]).encode(encoding))
+    names = ["id", "one", "two"]
+    for files, encoding in ((["0.csv", "2.csv"], "UTF-8"), (["1.csv"], "ISO-8859-1")):
+        paths = [str(tmp_path / f) for f in files]
+        reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding)
+        whole = sorted(map(repr, reader.schema("id string, one string, two string").csv(paths).collect()))
+        for size in ("150", "2000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            try:
+                records = ingest.csv_records(spark, paths, encoding)
+                found = sorted(map(repr, ingest.parsed_records(records, names).collect()))
+            finally:
+                spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            assert found == whole and len(found) == 60 * len(files)
