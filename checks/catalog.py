@@ -16,8 +16,9 @@ from reviewlens.functions import sentiment as S
 from reviewlens.functions import text as T
 from reviewlens.operators import cohort, duplicates, entity, keywords, summary, trend, vectors, views
 from reviewlens.operators.score import detect_aspects, extract_labels, score_reviews, with_rule_aspects
+from reviewlens.operators.skew import lookup_join
 from reviewlens.plans.report import summary_report
-from reviewlens.session import scratch_path
+from reviewlens.session import materialise, scratch_path
 from reviewlens.sources import reviews as ingest
 from reviewlens.sources import sinks
 from reviewlens.streaming import reviews as stream
@@ -1026,7 +1027,9 @@ def anchors(spark: SparkSession, sf: str) -> DataFrame:
 def j1(spark, sf):
     df = table(spark, sf, "embeddings")
     means = vectors.mean_vectors(df, ["label"]).withColumnRenamed("embedding", "mean")
-    return df.join(means, "label").select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("mean")), 4).alias("similarity"))
+    means = means.join(df.groupBy("label").agg(F.count("*").alias("n")), "label")
+    joined = lookup_join(df, materialise(means, "label-means"), "label", "n", F.col("vec_id")).where(F.col("mean").isNotNull())
+    return joined.select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("mean")), 4).alias("similarity"))
 
 
 @query(

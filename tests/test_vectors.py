@@ -47,10 +47,48 @@ def test_detection_and_cosine(spark):
     assert [round(r["c"], 4) for r in row] == [0.7071, 0.0]
 
 
-def test_too_many_anchors(spark):
-    aspects = spark.createDataFrame([(str(i), [1.0]) for i in range(3)], "aspect string, embedding array<double>")
-    with pytest.raises(ValueError):
-        vectors.detect_aspect_vectors(aspects, aspects, max_anchors=2)
+def test_many_anchors_equal_one_matrix_product(spark, monkeypatch):
+    """50,000 anchors, many of them ties; the first 700 also in blocks of 64 that come in one, four or eleven rounds."""
+    rng = np.random.default_rng(1)
+    texts = rng.normal(size=(40, 4))
+    values = rng.integers(-3, 4, size=(50_000, 4)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(texts)], "id int, embedding array<double>").repartition(3)
+    schema = "aspect string, embedding array<double>"
+
+    def found(size):
+        rows = [(f"a{i:05}", v.tolist()) for i, v in enumerate(values[:size])]
+        result = vectors.detect_aspect_vectors(df, spark.createDataFrame(rows, schema), threshold=-1.0)
+        return {r["id"]: [(a["aspect"], a["score"]) for a in r["aspects"]] for r in result.collect()}
+
+    def check(result, size):
+        unit = values[:size] / np.maximum(np.linalg.norm(values[:size], axis=1, keepdims=True), 1e-9)
+        similar = texts / np.linalg.norm(texts, axis=1, keepdims=True) @ unit.T
+        assert len(result) == len(texts)
+        for i, best in result.items():
+            assert [s for _, s in best] == pytest.approx(-np.sort(-similar[i])[:3], abs=1e-4)
+            assert [similar[i][int(a[1:])] for a, _ in best] == pytest.approx([s for _, s in best], abs=1e-4)
+
+    check(found(50_000), 50_000)
+    whole = found(700)
+    check(whole, 700)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 64)
+    for blocks in (11, 3, 1):
+        monkeypatch.setattr(vectors, "BROADCAST_BYTES", blocks * 64 * 8 * 5)
+        assert found(700) == whole
+
+
+def test_ties_between_anchors_go_by_name(spark):
+    same = spark.createDataFrame([(c, [1.0, 0.0]) for c in "dbca"], "aspect string, embedding array<double>")
+    text = spark.createDataFrame([(1, [2.0, 0.0])], "id int, embedding array<double>")
+    assert [a["aspect"] for a in vectors.detect_aspect_vectors(text, same).first()["aspects"]] == ["a", "b", "c"]
+
+
+def test_no_anchors(spark):
+    texts = spark.createDataFrame([(1, [2.0, 0.0], "x"), (2, None, None)], "review_id bigint, embedding array<double>, aspect string")
+    aspects = spark.createDataFrame([], "aspect string, embedding array<double>")
+    assert [r["aspects"] for r in vectors.detect_aspect_vectors(texts, aspects).collect()] == [[], []]
+    anchors = spark.createDataFrame([], "aspect string, pole string, embedding array<double>")
+    assert [r["aspect_detail"] for r in vectors.score_aspect_vectors(texts, anchors).collect()] == [{}]
 
 
 def test_missing_vectors_and_poles(spark):
