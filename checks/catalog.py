@@ -21,7 +21,9 @@ from reviewlens.plans.report import summary_report
 from reviewlens.session import materialise, scratch_path
 from reviewlens.sources import reviews as ingest
 from reviewlens.sources import sinks
+from reviewlens.sources.versions import read_version
 from reviewlens.streaming import reviews as stream
+from reviewlens.streaming import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -411,6 +413,22 @@ def c2(spark, sf):
     )
 
 
+@query(
+    "c2_stored_summaries",
+    """select teacher_name, summary, strengths, improvements, case when teacher_name in
+         (select teacher_name from reviews where teacher_name like '%-en' and review_id % 2 <> 0) then 1 else 0 end as since
+       from summaries""",
+)
+def c2_stored(spark, sf):
+    """Some comments arrive after the first version: only their entities are summarised again."""
+    now, scores, path = reviews(spark, sf), entities(spark, sf), scratch_path(spark, "summaries")
+    late = F.coalesce(F.col("teacher_name").endswith("-en"), F.lit(False)) & (F.col("review_id") % 2 != 0)
+    tables.store_summaries(now.where(~late), scores, path, scale=10.0)
+    return flat(tables.store_summaries(now, scores, path, scale=10.0)).select(
+        "teacher_name", "summary", "strengths", "improvements", "since"
+    )
+
+
 @query(
     "c2_content_keys",
     """select teacher_name, count(*) as n, concat_ws('-', count(*)::varchar,
@@ -430,6 +448,15 @@ def d1(spark, sf):
     return entities(spark, sf)
 
 
+@query("d1_merged_state", f"select {ENTITY_SQL} from entity")
+def d1_merged(spark, sf):
+    """States of three disjoint parts of the reviews, stored one after the other and added up."""
+    df, path = scored(spark, sf), scratch_path(spark, "state")
+    for part in range(3):
+        tables.add_reviews(df.where(F.pmod("review_id", F.lit(3)) == part), path)
+    return entity.aggregate_from_state(read_version(spark, path))
+
+
 @query("d1_entity_aggregate_lines", f"select {ENTITY_SQL} from lsub_entity",
        {"lsub": "select *, row_number() over () as review_id from lines", **D.entity_ctes("lsub_", "lsub", False, False)})
 def d1_lines(spark, sf):
@@ -1185,3 +1212,28 @@ def l3(spark, sf):
     df = score_lines(_stream(spark, sf, "lineitem")).withColumn("date", F.col("date").cast("timestamp"))
     result = _run(stream.windowed_entities(df), "windows")
     return result.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd")).drop("window_end")
+
+
+CLOSED_SQL = WINDOW_SQL.replace("      where w + interval 30 day <= (select max(date) - interval 1 day from lines) group by", "      group by")
+
+
+@query("l3_open_windows", CLOSED_SQL)
+def l3_open(spark, sf):
+    """All windows, those that are open when the input ends included."""
+    df = score_lines(_stream(spark, sf, "lineitem")).withColumn("date", F.col("date").cast("timestamp"))
+    path = scratch_path(spark, "open-windows")
+    tables.write_windows(stream.windowed_entities(df), path, scratch_path(spark, "open-windows-state")).awaitTermination()
+    result = tables.read_windows(spark, path)
+    return result.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd")).drop("window_end")
+
+
+@query(
+    "e2_flag_repeats_stream",
+    f"""select doc_id as review_id, fp as fingerprint, coalesce(fp is not null and doc_id > min(doc_id) over (partition by fp), false) as is_duplicate
+      from (select doc_id, case when {D.trim('text')} <> '' then sha256(lower({D.trim('text')})) end as fp from documents)""",
+)
+def e2_stream(spark, sf):
+    df = _stream(spark, sf, "documents").select(
+        F.col("doc_id").alias("review_id"), F.col("text").alias("feedback_text"), F.lit("2024-01-01").cast("timestamp").alias("date")
+    )
+    return _run(stream.flag_repeats(df).drop("date"), "flagged-stream")

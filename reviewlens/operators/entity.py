@@ -33,6 +33,7 @@ ENTITY_COLUMNS = (
 )
 _LISTS = {"strengths_list": "strengths", "improvements_list": "improvements"}
 _MODES = ("subject", "semester")
+_MEASURES = [*K.SCORE_COLUMNS, "confidence"]
 
 
 def with_defaults(scored: DataFrame, entity: str = "teacher_name") -> DataFrame:
@@ -75,19 +76,13 @@ def _facts(df: DataFrame, modes: list[str]) -> Column:
     return F.filter(F.concat(*lists), lambda f: (f["kind"] == "row") | f["item"].isNotNull())
 
 
-def summarise_groups(
-    df: DataFrame, key: str, measures: list[str], order: str = "review_id", top: int = K.MAX_LABELS
-) -> DataFrame:
-    """One row per group: size, means, label counts, most frequent items; one pass over the rows.
+def group_state(df: DataFrame, key: str, measures: list[str], order: str = "review_id") -> DataFrame:
+    """What is known of every group, as counts and sums that can be added to those of other rows.
 
-    Every row is spread into its facts and these are counted by (group, kind,
-    item). That makes the most frequent subject, semester and labels part of
-    the same hash aggregate as the means: the rows are read and scored once,
-    partial sums leave each map task, and no task ever holds all rows of a
-    group. Rows without a group are left out.
-
-    Columns: the group, ``n``, ``mean_<measure>``, ``n_<label>``, ``n_mixed``,
-    ``subject``, ``semester`` and the arrays ``strengths`` and ``improvements``.
+    Every row is spread into its facts (itself, its subject and semester, each
+    label) and these are counted by (group, kind, item). Rows without a group
+    are left out. Stored states of several sets of rows are brought together by
+    :func:`merge_states`; nothing is lost against counting all rows at once.
     """
     df = df.where(F.col(key).isNotNull())
     ordered = order in df.columns
@@ -107,7 +102,7 @@ def summarise_groups(
         F.explode(_facts(df, modes)).alias("_fact"),
     )
     of_row = F.col("_fact.kind") == "row"
-    counted = spread.groupBy(
+    return spread.groupBy(
         key, F.col("_fact.kind").alias("kind"), F.col("_fact.item").alias("item")
     ).agg(
         F.count("*").alias("n"),
@@ -118,6 +113,47 @@ def summarise_groups(
         *[F.count(F.when(of_row, F.col(f"_m_{m}"))).alias(f"count_{m}") for m in measures],
         *[F.count_if(of_row & F.col(f"_f_{n}")).alias(f"flag_{n}") for n in flags],
     )
+
+
+def merge_states(state: DataFrame, *others: DataFrame) -> DataFrame:
+    """The state of all rows behind some states of :func:`group_state`, which must be of disjoint rows.
+
+    Counts and sums are added, the first row of an item is the smallest of the
+    states' (states without an order of rows have none). Types stay, so that a
+    merged state is one to merge again.
+    """
+    rows = state
+    for other in others:
+        rows = rows.unionByName(other)
+    identity = [c for c in state.columns[:3]]
+    added = [c for c in state.columns[3:] if c not in ("first", "position")]
+    merged = rows.groupBy(*identity).agg(
+        *[F.sum(c).cast(state.schema[c].dataType).alias(c) for c in added],
+        F.min("first").alias("first"),
+        F.min_by("position", F.struct("first", "position")).alias("position"),
+    )
+    return merged.select(*state.columns)
+
+
+def summarise_groups(
+    df: DataFrame, key: str, measures: list[str], order: str = "review_id", top: int = K.MAX_LABELS
+) -> DataFrame:
+    """One row per group: size, means, label counts, most frequent items; one pass over the rows.
+
+    The most frequent subject, semester and labels are part of the same hash
+    aggregate as the means (:func:`group_state`): the rows are read and scored
+    once, partial sums leave each map task, and no task ever holds all rows of
+    a group. Rows without a group are left out.
+
+    Columns: the group, ``n``, ``mean_<measure>``, ``n_<label>``, ``n_mixed``,
+    ``subject``, ``semester`` and the arrays ``strengths`` and ``improvements``.
+    """
+    return groups_from_state(group_state(df, key, measures, order), key, measures, top)
+
+
+def groups_from_state(counted: DataFrame, key: str, measures: list[str], top: int = K.MAX_LABELS) -> DataFrame:
+    """The rows of :func:`summarise_groups` from a state."""
+    flags = [*K.SENTIMENTS, "mixed"]
     by_frequency = Window.partitionBy(key, "kind").orderBy(F.desc("n"), "first", "position", "item")
     ranked = counted.withColumn("place", F.row_number().over(by_frequency)).where(F.col("place") <= top)
 
@@ -142,10 +178,14 @@ def summarise_groups(
     )
 
 
-def entity_means(scored: DataFrame, config: AggregationConfig, entity: str, order: str) -> DataFrame:
-    """Per-entity statistics before normalisation, from one pass over the reviews."""
-    measures = [*K.SCORE_COLUMNS, "confidence"]
-    groups = summarise_groups(with_defaults(scored, entity), entity, measures, order, config.top_labels)
+def entity_state(scored: DataFrame, entity: str = "teacher_name", order: str = "review_id") -> DataFrame:
+    """Counts and sums per entity behind :func:`aggregate_from_scores`; add states with :func:`merge_states`."""
+    return group_state(with_defaults(scored, entity), entity, _MEASURES, order)
+
+
+def entity_means(state: DataFrame, config: AggregationConfig, entity: str) -> DataFrame:
+    """Per-entity statistics before normalisation."""
+    groups = groups_from_state(state, entity, _MEASURES, config.top_labels)
     mean_confidence = F.col("mean_confidence")
     volume = F.least(F.lit(1.0), F.col("n") / F.lit(float(config.min_reviews_for_high_confidence)))
     return groups.select(
@@ -191,9 +231,16 @@ def aggregate_from_scores(
     bounds and the final table are then read from it instead of the reviews.
     Ties between labels go to the one seen first by ``order``.
     """
+    return aggregate_from_state(entity_state(scored, entity, order), config, entity)
+
+
+def aggregate_from_state(
+    state: DataFrame, config: AggregationConfig | None = None, entity: str = "teacher_name"
+) -> DataFrame:
+    """The rows of :func:`aggregate_from_scores` from a state of :func:`entity_state`, stored or merged."""
     config = config or AggregationConfig()
     config.validate()
-    entities = materialise(entity_means(scored, config, entity, order), "entities")
+    entities = materialise(entity_means(state, config, entity), "entities")
     bounds = _bounds(entities)
     if config.normalise:
         entities = entities.withColumns({c: _normalised(c, bounds) for c in K.SCORE_COLUMNS})

@@ -1,9 +1,14 @@
-"""The review operators on streams: scoring, dropping repeats, windowed entity statistics."""
+"""The review operators on streams: scoring, dropping or flagging repeats, windowed entity statistics."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as types
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from reviewlens import constants as K
 from reviewlens.config import ScoringConfig
@@ -23,10 +28,72 @@ def drop_repeats(reviews: DataFrame, time: str = "date", delay: str = "1 day", t
     return known.withWatermark(time, delay).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
+def flag_repeats(
+    reviews: DataFrame, time: str = "date", delay: str = "1 day", text: str = "feedback_text", order: str = "review_id"
+) -> DataFrame:
+    """Flag repeated texts instead of dropping them: ``order``, ``time``, ``fingerprint``, ``is_duplicate``.
+
+    The state of a fingerprint is the id that had it first and the time it was
+    last seen; it is forgotten when the watermark is more than ``delay`` past
+    that, and the next such text is a first one again. Of the rows in which a
+    text first appears the smallest id is the first, and comes without the flag
+    as often as it is delivered; blank texts are never duplicates. Inside the
+    watermark this equals :func:`reviewlens.operators.duplicates.mark_duplicates`
+    if ids come in order. Rows behind the watermark and rows without a time are
+    left out, as by all operators with a watermark. Rows of a text pass as a
+    stream of three narrow columns, of which one row is held.
+    """
+    spark = reviews.sparkSession
+    life = spark.range(1).select(F.unix_millis(F.timestamp_millis(F.lit(0)) + F.expr(f"interval {delay}"))).first()[0]
+    rows = with_fingerprint(reviews, text).select(order, time, "fingerprint", F.unix_millis(time).alias("_ms"))
+    rows = rows.withWatermark(time, delay)
+    # Blank texts have no state; they are only spread over the tasks.
+    spread = F.concat(F.lit("blank "), F.pmod(F.xxhash64(order), F.lit(1024)).cast("string"))
+    rows = rows.withColumn("_key", F.coalesce("fingerprint", spread))
+    kept = [order, time, "fingerprint"]
+
+    def flag(key: tuple[str], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first = latest = held = None
+        if state.exists:
+            first, latest = state.get
+            if latest + life < state.getCurrentWatermarkMs():
+                first = latest = None
+        for part in parts:
+            if part["fingerprint"].isna().any():
+                yield part[kept].assign(is_duplicate=False)
+                continue
+            latest = max(int(part["_ms"].max()), latest if latest is not None else 0)
+            if first is not None:
+                yield part[kept].assign(is_duplicate=(part[order] != first).to_numpy())
+                continue
+            if held is not None:
+                part = pd.concat([held, part], ignore_index=True)
+            held = part[part[order] == part[order].min()]
+            yield part.drop(held.index)[kept].assign(is_duplicate=True)
+            held = held.reset_index(drop=True)
+        if held is not None:
+            first = held[order].iloc[0]
+            yield held[kept].assign(is_duplicate=False)
+        if first is not None:
+            state.update((first.item() if hasattr(first, "item") else first, latest))
+            state.setTimeoutTimestamp(latest + life)
+
+    result = types.StructType([*[rows.schema[c] for c in kept], types.StructField("is_duplicate", types.BooleanType())])
+    known = types.StructType([types.StructField("first", rows.schema[order].dataType), types.StructField("latest", types.LongType())])
+    return rows.groupBy("_key").applyInPandasWithState(flag, result, known, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def windowed_entities(
     scored: DataFrame, window: str = "30 days", delay: str = "1 day", time: str = "date", entity: str = "teacher_name"
 ) -> DataFrame:
-    """Per time window and entity: reviews, mean scores, confidence, label shares, mixed reviews."""
+    """Per time window and entity: reviews, mean scores, confidence, label shares, mixed reviews.
+
+    In append mode a window is written when the watermark has passed it;
+    :func:`reviewlens.streaming.tables.write_windows` also writes open ones.
+    """
     n = F.count("*")
     stats = (
         scored.where(F.col(entity).isNotNull())
