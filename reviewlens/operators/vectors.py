@@ -73,11 +73,14 @@ def _merge(best: tuple[np.ndarray, ...], found: tuple[np.ndarray, ...], top: int
     return tuple(np.take_along_axis(column, order, axis=1) for column in both)
 
 
-def nearest_anchors(df: DataFrame, anchors: DataFrame, groups: int, vector: str, top: int) -> DataFrame:
+def nearest_anchors(
+    df: DataFrame, anchors: DataFrame, sizes: list[int], width: int, vector: str, top: int
+) -> DataFrame:
     """Add ``_found``: per group of anchors the ``top`` highest cosine similarities, with the anchors' numbers and names.
 
-    ``anchors`` has ``group`` (0 to ``groups`` - 1), ``number``, ``embedding``
-    and perhaps ``name``. A blocked vector product without a shuffle of ``df``: its
+    ``anchors`` has ``group``, ``number``, ``embedding`` and perhaps ``name``;
+    ``sizes`` are the numbers of anchors per group, counted from 0, and
+    ``width`` the length of their vectors. A blocked vector product without a shuffle of ``df``: its
     rows are packed as they are read, the anchors into rows of ``BLOCK_ROWS``
     vectors; a packed row meets the anchor rows one after the other and keeps
     the highest similarities so far. Anchors are broadcast, up to
@@ -91,15 +94,10 @@ def nearest_anchors(df: DataFrame, anchors: DataFrame, groups: int, vector: str,
         (F.col("name") if "name" in anchors.columns else F.lit(None)).cast("string").alias("name"),
         F.col("embedding").cast("array<double>").alias("embedding"),
     )
-    sizes = anchors.groupBy("group").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).collect()
-    # Numbered by group; a group's anchors are dealt to its blocks by their numbers.
-    first, blocks = {}, 0
-    for row in sorted(sizes, key=lambda r: r["group"]):
-        first[row["group"]] = (blocks, -(-row["n"] // BLOCK_ROWS))
-        blocks += first[row["group"]][1]
-    width = max([row["width"] for row in sizes], default=1)
-    start = F.create_map(*[F.lit(v) for g, (b, _) in first.items() for v in (g, b)]) if first else None
-    parts = F.create_map(*[F.lit(v) for g, (_, n) in first.items() for v in (g, n)]) if first else None
+    # Blocks are numbered by group; a group's anchors are dealt to its blocks by their numbers.
+    parts = [-(-size // BLOCK_ROWS) for size in sizes]
+    starts = [sum(parts[:i]) for i in range(len(parts))]
+    groups, blocks = len(sizes), sum(parts)
 
     fields = df.schema.fields
     packed_type = types.ArrayType(types.StructType([*fields, types.StructField("_vector", types.ArrayType(types.DoubleType()))]))
@@ -109,7 +107,8 @@ def nearest_anchors(df: DataFrame, anchors: DataFrame, groups: int, vector: str,
 
     packed = df.withColumn("_vector", F.col(vector).cast("array<double>")).mapInArrow(_pack, types.StructType([types.StructField("_rows", packed_type)]))
     packed = packed.withColumns({name: F.lit(None).cast(kind) for name, kind in _STATE.items()})
-    table = anchors.withColumn("_block", F.element_at(start, F.col("group")) + F.pmod("number", F.element_at(parts, F.col("group"))).cast("int"))
+    start, dealt = (F.get(F.array(*[F.lit(v) for v in values]), F.col("group")) for values in (starts, parts))
+    table = anchors.withColumn("_block", start + F.pmod("number", dealt).cast("int"))
     table = table.groupBy("_block").agg(
         F.first("group").alias("_group"), F.array_sort(F.collect_list(F.struct("number", "name", "embedding"))).alias("_anchors")
     )
@@ -213,7 +212,8 @@ def score_aspect_vectors(
     """
     anchors = anchors.where(_usable(F.col("embedding"))).withColumn("number", F.monotonically_increasing_id())
     anchors = materialise(anchors.select("aspect", "pole", "number", "embedding"), "aspect-anchors")
-    sizes = {(r["aspect"], r["pole"]): r["count"] for r in anchors.groupBy("aspect", "pole").count().collect()}
+    counted = anchors.groupBy("aspect", "pole").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).collect()
+    sizes = {(r["aspect"], r["pole"]): r["n"] for r in counted}
     given = {aspect for aspect, _ in sizes}
     names = [a for a in K.ASPECTS if a in given]
     names += sorted(given - set(names))
@@ -226,7 +226,8 @@ def score_aspect_vectors(
         anchors = anchors.withColumn("group", number_of).where(F.col("group").isNotNull())
     else:
         anchors = anchors.withColumn("group", F.lit(0))
-    found = nearest_anchors(chunks, anchors, len(groups), vector, K.TOP_SIMILARITIES)
+    width = max([r["width"] for r in counted], default=0)
+    found = nearest_anchors(chunks, anchors, [sizes.get(g, 0) for g in groups], width, vector, K.TOP_SIMILARITIES)
     means = []
     for i, key in enumerate(groups):
         most = min(K.TOP_SIMILARITIES, sizes.get(key, 0))
@@ -293,7 +294,7 @@ def detect_aspect_vectors(
     numbered = materialise(numbered, "numbered-aspects")
     known = _usable(F.col(vector))
     rows = texts.withColumn("_row", F.when(known, F.col(vector).cast("array<double>")).otherwise(F.array_repeat(F.lit(0.0), size["width"])))
-    found = nearest_anchors(rows, numbered, 1, "_row", top_k).drop("_row")
+    found = nearest_anchors(rows, numbered, [size["rows"]], size["width"], "_row", top_k).drop("_row")
     scored = F.transform(
         F.filter(F.col("_found")[0], lambda a: (a["number"] > 0) & known),
         lambda a: F.struct(a["name"].cast(aspects.schema["aspect"].dataType).alias("aspect"), a["similarity"].alias("score")),
