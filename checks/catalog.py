@@ -1166,8 +1166,9 @@ def k3_prose(spark, sf):
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The table as a stream, be it one file or a folder of files; a stream takes a file by a pattern only."""
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/[{name[0]}]{name[1:]}.parquet")
 
 
 def _run(df: DataFrame, name: str) -> DataFrame:
