@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,61 +30,87 @@ def drop_repeats(reviews: DataFrame, time: str = "date", delay: str = "1 day", t
 
 
 def flag_repeats(
-    reviews: DataFrame, time: str = "date", delay: str = "1 day", text: str = "feedback_text", order: str = "review_id"
+    reviews: DataFrame,
+    time: str = "date",
+    delay: str = "1 day",
+    text: str = "feedback_text",
+    order: str = "review_id",
+    groups: int = 1024,
 ) -> DataFrame:
     """Flag repeated texts instead of dropping them: ``order``, ``time``, ``fingerprint``, ``is_duplicate``.
 
-    The state of a fingerprint is the id that had it first and the time it was
-    last seen; it is forgotten when the watermark is more than ``delay`` past
-    that, and the next such text is a first one again. Of the rows in which a
-    text first appears the smallest id is the first, and comes without the flag
-    as often as it is delivered; blank texts are never duplicates. Inside the
-    watermark this equals :func:`reviewlens.operators.duplicates.mark_duplicates`
+    What is known of a fingerprint is the id that had it first and the time it
+    was last seen; it is forgotten when the watermark is more than ``delay``
+    past that, and the next such text is a first one again. Of the rows in which
+    a text first appears the smallest id is the first, and comes without the
+    flag as often as it is delivered; blank texts are never duplicates. Inside
+    the watermark this equals :func:`reviewlens.operators.duplicates.mark_duplicates`
     if ids come in order. Rows behind the watermark and rows without a time are
-    left out, as by all operators with a watermark. Rows of a text pass as a
-    stream of three narrow columns, of which one row is held.
+    left out, as by all operators with a watermark.
+
+    Fingerprints are dealt by hash to ``groups`` groups with one state each, so
+    that Python is called per group and not per text. The rows of a group pass as
+    a stream of narrow columns, of which one row per new text is held. A stream
+    keeps the number of groups it was started with.
     """
     spark = reviews.sparkSession
     life = spark.range(1).select(F.unix_millis(F.timestamp_millis(F.lit(0)) + F.expr(f"interval {delay}"))).first()[0]
     rows = with_fingerprint(reviews, text).select(order, time, "fingerprint", F.unix_millis(time).alias("_ms"))
     rows = rows.withWatermark(time, delay)
-    # Blank texts have no state; they are only spread over the tasks.
-    spread = F.concat(F.lit("blank "), F.pmod(F.xxhash64(order), F.lit(1024)).cast("string"))
-    rows = rows.withColumn("_key", F.coalesce("fingerprint", spread))
+    # Blank texts have no state; they are only spread over the groups.
+    dealt = F.coalesce("fingerprint", F.col(order).cast("string"), F.lit(""))
+    rows = rows.withColumn("_group", F.pmod(F.xxhash64(dealt), F.lit(groups)))
     kept = [order, time, "fingerprint"]
 
-    def flag(key: tuple[str], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def flag(key: tuple[int], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        first = latest = held = None
-        if state.exists:
-            first, latest = state.get
-            if latest + life < state.getCurrentWatermarkMs():
-                first = latest = None
+        texts, firsts, latest = state.get if state.exists else ([], [], [])
+        watermark = state.getCurrentWatermarkMs()
+        alive = [i for i, last in enumerate(latest) if last + life >= watermark]
+        texts, firsts = [texts[i] for i in alive], [firsts[i] for i in alive]
+        known, first = pd.Index(texts, dtype=object), pd.Series(firsts)
+        last = np.array([latest[i] for i in alive], dtype="int64")
+        held = None
         for part in parts:
-            if part["fingerprint"].isna().any():
-                yield part[kept].assign(is_duplicate=False)
-                continue
-            latest = max(int(part["_ms"].max()), latest if latest is not None else 0)
-            if first is not None:
-                yield part[kept].assign(is_duplicate=(part[order] != first).to_numpy())
+            blank = part["fingerprint"].isna()
+            if blank.any():
+                yield part.loc[blank, kept].assign(is_duplicate=False)
+                part = part[~blank]
+            place = known.get_indexer(part["fingerprint"])
+            old, place = part[place >= 0], place[place >= 0]
+            if len(old):
+                np.maximum.at(last, place, old["_ms"].to_numpy())
+                again = old[order].reset_index(drop=True) != first.iloc[place].reset_index(drop=True)
+                yield old[kept].assign(is_duplicate=again.to_numpy())
+            if len(old) == len(part):
                 continue
-            if held is not None:
-                part = pd.concat([held, part], ignore_index=True)
-            held = part[part[order] == part[order].min()]
-            yield part.drop(held.index)[kept].assign(is_duplicate=True)
-            held = held.reset_index(drop=True)
+            part = part.drop(old.index)
+            held = part if held is None else pd.concat([held, part], ignore_index=True)
+            by_text = held.groupby("fingerprint", sort=False)
+            held = held.assign(_ms=by_text["_ms"].transform("max"))
+            is_first = held[order] == by_text[order].transform("min")
+            if not is_first.all():
+                yield held.loc[~is_first, kept].assign(is_duplicate=True)
+                held = held[is_first]
         if held is not None:
-            first = held[order].iloc[0]
             yield held[kept].assign(is_duplicate=False)
-        if first is not None:
-            state.update((first.item() if hasattr(first, "item") else first, latest))
-            state.setTimeoutTimestamp(latest + life)
+            held = held.drop_duplicates("fingerprint")
+            texts += held["fingerprint"].tolist()
+            firsts += [v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in held[order].tolist()]
+            last = np.concatenate([last, held["_ms"].to_numpy()])
+        if texts:
+            state.update((texts, firsts, last.tolist()))
+            # By then all texts of the group are too old; those that are so earlier go when the group has rows again.
+            state.setTimeoutTimestamp(int(last.max()) + life)
+        elif state.exists:
+            state.remove()
 
     result = types.StructType([*[rows.schema[c] for c in kept], types.StructField("is_duplicate", types.BooleanType())])
-    known = types.StructType([types.StructField("first", rows.schema[order].dataType), types.StructField("latest", types.LongType())])
-    return rows.groupBy("_key").applyInPandasWithState(flag, result, known, "append", GroupStateTimeout.EventTimeTimeout)
+    columns = {"texts": types.StringType(), "firsts": rows.schema[order].dataType, "latest": types.LongType()}
+    known = types.StructType([types.StructField(c, types.ArrayType(kind)) for c, kind in columns.items()])
+    return rows.groupBy("_group").applyInPandasWithState(flag, result, known, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_entities(

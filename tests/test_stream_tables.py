@@ -149,3 +149,21 @@ def test_flags_after_restart_late_rows_and_expiry(spark, tmp_path):
     # The first text was last seen more than a day before the watermark: it is new again.
     assert add((6, "Same text.", "2024-01-10 01:00:00"))[6] is False
     assert add((7, "Other text.", "2024-01-10 02:00:00"))[7] is True
+
+
+def test_flags_need_no_state_per_text(spark, tmp_path):
+    """Many texts share few states: Python is called per group, not per text."""
+    inbox = str(tmp_path / "in")
+    rows = spark.range(3000).select(
+        F.col("id").alias("review_id"), F.lit("t").alias("teacher_name"), F.lit("x").alias("subject"),
+        F.when(F.col("id") % 50 > 0, F.concat(F.lit("Text "), (F.col("id") * 7 % 2000).cast("string"))).alias("feedback_text"),
+        F.lit("2024-01-01").cast("timestamp").alias("date"),
+    )
+    feed(rows, inbox, ["review_id < 1500", "review_id between 1500 and 2400", "review_id > 2400"])
+    flags = stream.flag_repeats(source(spark, inbox), delay="400 days", groups=16)
+    writer = flags.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state"))
+    query = writer.trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 16
+    expected = mark_duplicates(rows).select("review_id", "date", "fingerprint", "is_duplicate")
+    assert rows_of(spark.read.schema(flags.schema).parquet(str(tmp_path / "out"))) == rows_of(expected)
