@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping, Sequence
+from itertools import islice
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from reviewlens.functions.literals import quoted, sql_array, sql_map, string_arr
 
 
 _HEADS_PER_BRANCH = 6
+_LETTERS_AHEAD = 4
 
 
 def _class(letters: Iterable[str]) -> str:
@@ -42,11 +44,12 @@ def found_keywords(lowered: Column, keywords: Iterable[str]) -> Column:
     """
     words = tuple(dict.fromkeys(keywords))
     heads = sorted({word[0] for word in words})
-    # A few letters per branch: most positions are ruled out by a handful of letter classes.
+    # A few words per branch: most positions are ruled out by a handful of letter classes, one for each of the first letters.
     branches = []
     for i in range(0, len(heads), _HEADS_PER_BRANCH):
-        some = heads[i : i + _HEADS_PER_BRANCH]
-        branches.append(f"(?={_class(some)}){_pattern({w for w in words if w[0] in some})}")
+        some = {word for word in words if word[0] in heads[i : i + _HEADS_PER_BRANCH]}
+        ahead = "".join(_class(sorted(set(letters))) for letters in islice(zip(*some), _LETTERS_AHEAD))
+        branches.append(f"(?={ahead}){_pattern(some)}")
     pattern = f"(?=({'|'.join(branches)})){_class(heads)}"
     longest = F.array_distinct(F.regexp_extract_all(lowered, F.lit(pattern), F.lit(1)))
     table = sql_map({word: sql_array(quoted(w) for w in words if word.startswith(w)) for word in words})

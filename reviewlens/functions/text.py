@@ -49,10 +49,13 @@ def keyword_tokens(lowered: Column) -> Column:
     return F.regexp_extract_all(fold(lowered), F.lit(r"\b[a-z]{4,}\b"), F.lit(0))
 
 
+def _parts(text: Column) -> Column:
+    return F.split(text_trim(text), f"(?<=[.!?]){SPACE}+")
+
+
 def sentences(text: Column, longer_than: int) -> Column:
     """Sentences after ``.``, ``!`` or ``?`` plus white space, trimmed, of more than so many characters."""
-    parts = F.split(text_trim(text), f"(?<=[.!?]){SPACE}+")
-    return F.filter(F.transform(parts, text_trim), lambda s: F.length(s) > longer_than)
+    return F.filter(F.transform(_parts(text), text_trim), lambda s: F.length(s) > longer_than)
 
 
 def chunks(text: Column) -> Column:
@@ -102,6 +105,8 @@ ANONYMOUS_PATTERNS = (
     ("we", "feedback"),
 )
 CASE_SENSITIVE_PATTERNS = ("I",)
+# Every pattern that is not about students holds one of the words "I", "my", "me" and "we" (or "wy"), in any case.
+_FIRST_PERSON = f"[iI\u0130\u0131mMwW](?<!{_WORD}.)(?:(?<=[iI\u0130\u0131])|[yYeE]){AFTER_WORD}"
 # Letters that equal an ASCII letter when case is ignored.
 _CASE_TWINS = {"i": "\u0130\u0131", "s": "\u017f"}
 
@@ -132,8 +137,8 @@ def _whole_words(pattern: str) -> str:
 def anonymise(text: Column) -> Column:
     """Replace mentions of single students and first-person wording.
 
-    The patterns about students come first and are tried only on texts that
-    hold the word.
+    The patterns about students come first. They are tried only on texts that
+    hold the word, the others only on texts with a word in the first person.
     """
 
     def replaced(value: Column, about_students: bool) -> Column:
@@ -144,7 +149,22 @@ def anonymise(text: Column) -> Column:
 
     mentioned = F.contains(F.lower(text), F.lit("tudent"))
     text = F.when(mentioned, replaced(text, True)).otherwise(text)
-    return text_trim(replaced(text, False))
+    return text_trim(F.when(text.rlike(_FIRST_PERSON), replaced(text, False)).otherwise(text))
+
+
+def anonymous_sentences(text: Column, longer_than: int) -> Column:
+    """The :func:`sentences` of the anonymised text; only sentences with wording to replace are rewritten.
+
+    No pattern reaches over the end of a sentence. A rewritten one is split
+    again: "Fine.For me not." ends a sentence where a wording is left out.
+    """
+
+    def rewritten(part: Column) -> Column:
+        wording = F.contains(F.lower(part), F.lit("tudent")) | part.rlike(_FIRST_PERSON)
+        return F.when(wording, _parts(anonymise(part))).otherwise(F.array(part))
+
+    parts = F.flatten(F.transform(_parts(text), rewritten))
+    return F.filter(F.transform(parts, text_trim), lambda s: F.length(s) > longer_than)
 
 
 def extractive(text: Column, n_sentences: int = 3) -> Column:

@@ -147,23 +147,26 @@ def _labels_by_aspect(labels: Column, table: Mapping[str, str], scores: list[Col
     return F.transform(F.slice(ordered, 1, 3), lambda entry: entry["label"])
 
 
-def _mentioned(lowered: Column) -> Column:
-    return A.signal_labels(A.found_keywords(lowered, A.table_keywords(K.SENTENCE_KEYWORDS)), K.SENTENCE_KEYWORDS)
-
-
 def _classified_sentences(comment: Column, strong: str, weak: str) -> Column:
-    """Sentences of a comment with their class: 1 strong only, 2 weak only, 3 neither or both."""
+    """Anonymised sentences of a comment with their class: 1 strong only, 2 weak only, 3 neither or both."""
+
+    def searched(sentence: Column, i: Column) -> Column:
+        found = A.found_keywords(F.lower(sentence), A.table_keywords(K.SENTENCE_KEYWORDS))
+        return F.struct(i.alias("position"), sentence.alias("piece"), found.alias("found"))
 
-    def mentions(sentence: Column, i: Column) -> Column:
-        return F.struct(i.alias("position"), sentence.alias("piece"), _mentioned(F.lower(sentence)).alias("mentioned"))
+    # Most sentences hold no keyword: nothing is compared for them.
+    def mentions(entry: Column) -> Column:
+        labels = F.when(F.size(entry["found"]) > 0, A.signal_labels(entry["found"], K.SENTENCE_KEYWORDS))
+        return F.struct(entry["position"].alias("position"), entry["piece"].alias("piece"), labels.alias("mentioned"))
 
     def classified(entry: Column) -> Column:
         praised = F.arrays_overlap(entry["mentioned"], F.col(strong))
         criticised = F.arrays_overlap(entry["mentioned"], F.col(weak))
-        kind = F.when(praised & ~criticised, 1).when(criticised & ~praised, 2).otherwise(3)
+        kind = F.when(entry["mentioned"].isNull(), 3).when(praised & ~criticised, 1).when(criticised & ~praised, 2).otherwise(3)
         return F.struct(kind.alias("kind"), entry["position"].alias("position"), entry["piece"].alias("piece"))
 
-    return F.transform(F.transform(T.sentences(comment, 15), mentions), classified)
+    sentences = T.anonymous_sentences(comment, 15)
+    return F.transform(F.transform(F.transform(sentences, searched), mentions), classified)
 
 
 def _first_two_per_class(pieces: str) -> Column:
@@ -214,11 +217,10 @@ def summarise_entities(
     wanted = entities.where("n > 0").select(entity, "n", F.col("n").alias("_n"), "strong", "weak")
     comments = reviews.select(entity, order, text).where(F.col(entity).isNotNull() & ~T.is_blank(F.col(text)))
     comments = lookup_join(comments, wanted, entity, "_n", F.col(order)).where(F.col("n").isNotNull())
-    comments = comments.withColumn("_anonymous", T.anonymise(F.col(text)))
     few = F.col("n") < LOW_VOLUME
-    sentences = F.when(~few, _classified_sentences(F.col("_anonymous"), "strong", "weak"))
+    sentences = F.when(~few, _classified_sentences(F.col(text), "strong", "weak"))
     comments = comments.withColumn("_sentences", sentences)
-    pieces = F.when(few, _whole_piece(F.col("_anonymous"))).otherwise(_first_two_per_class("_sentences"))
+    pieces = F.when(few, _whole_piece(T.anonymise(F.col(text)))).otherwise(_first_two_per_class("_sentences"))
     spread_pieces = comments.select(entity, order, F.explode(pieces).alias("p"))
     spread_pieces = spread_pieces.select(entity, order, "p.kind", "p.position", "p.piece")
     # Of whole comments there are at most four per entity, of each sentence class two are enough.

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewlens import constants as K
+from reviewlens.functions import text as T
 from reviewlens.operators import summary
 from reviewlens.operators.keywords import extract_keywords
 from reviewlens.operators.score import score_reviews
@@ -121,3 +122,30 @@ def test_scaled_scores(spark):
     a = summary.summarise_entities(reviews(spark), scores(spark), scale=10.0)
     b = summary.summarise_entities(reviews(spark), large)
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_sentences_are_rewritten_one_by_one(spark):
+    """The same sentences as of the rewritten text, and no rewriting of sentences without such wording."""
+    rng = random.Random(5)
+    words = ["I", "i", "ı", "my", "MY", "me", "for", "For", "we", "We", "in", "opinion", "Student", "students", "one", "some", "B", "says", "feel",
+             "would", "like", "li\u212ae", "loved", "the", "exams", "ſtudent", "Iris", "am_I", "myé"]
+    joints = [" ", " ", " ", "  ", "\n", ". ", "! ", "?", ".", "...\u2003", ", "]
+    texts = ["".join(rng.choice(words) + rng.choice(joints) for _ in range(rng.randint(0, 25))) for _ in range(1500)]
+    texts += ["Good.For me it is fine!for me? For me. Yes", "for me", "", "  . I. ", "Fine.For me not bad at all."]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole, single = T.sentences(T.anonymise(F.col("t")), 3), T.anonymous_sentences(F.col("t"), 3)
+    plain = F.col("t")
+    for about in (True, False):
+        for pattern, replacement in T.ANONYMOUS_PATTERNS:
+            if ("tudent" in pattern) == about:
+                plain = F.regexp_replace(plain, T._whole_words(pattern), replacement)
+    for row in df.select("t", whole.alias("w"), single.alias("s"), T.anonymise(F.col("t")).alias("a"), T.text_trim(plain).alias("p")).collect():
+        assert row["s"] == row["w"] and row["a"] == row["p"], row["t"]
+
+
+def test_summaries_rewrite_no_whole_comments(spark, monkeypatch):
+    """Comments of entities with enough of them are split before anything in them is replaced."""
+    calls = []
+    monkeypatch.setattr(summary.T, "anonymous_sentences", lambda *a, f=T.anonymous_sentences: calls.append(a) or f(*a))
+    rows = {r["teacher_name"]: r["summary"] for r in summary.summarise_entities(reviews(spark), scores(spark), scale=10.0).collect()}
+    assert calls and rows["many"].startswith("The lectures are clear and feedback appreciated")
