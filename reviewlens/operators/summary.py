@@ -287,14 +287,16 @@ def refresh_summaries(
 
     Every entity of ``scores`` has a row, with or without reviews and cache.
 
-    Write the result where the next call reads its ``cache`` from.
+    Write the result where the next call reads its ``cache`` from. The cache is
+    used twice, so it is written to the shared folder first: one that is still
+    to be computed is computed once.
     """
     keys = content_keys(reviews, entity, text)
     if cache is None:
         fresh = summarise_entities(reviews, scores, entity, text, order, scale)
         return fresh.join(keys.drop("n"), entity, "left")
     keys = materialise(keys, "content-keys")
-    cache = cache.select(entity, "content_key", "summary", "strengths", "improvements")
+    cache = materialise(cache.select(entity, "content_key", "summary", "strengths", "improvements"), "known-summaries")
     stale = materialise(keys.join(cache, [entity, "content_key"], "left_anti"), "stale-entities")
     flagged = lookup_join(
         reviews.select(entity, order, text), stale.withColumn("_weight", F.col("n")), entity, "_weight", F.col(order)

@@ -149,3 +149,15 @@ def test_summaries_rewrite_no_whole_comments(spark, monkeypatch):
     monkeypatch.setattr(summary.T, "anonymous_sentences", lambda *a, f=T.anonymous_sentences: calls.append(a) or f(*a))
     rows = {r["teacher_name"]: r["summary"] for r in summary.summarise_entities(reviews(spark), scores(spark), scale=10.0).collect()}
     assert calls and rows["many"].startswith("The lectures are clear and feedback appreciated")
+
+
+def test_known_summaries_are_computed_once(spark):
+    """A cache that is still to be computed is not computed once per use."""
+    first = summary.refresh_summaries(reviews(spark), scores(spark), None, scale=10.0)
+    stored = spark.createDataFrame(first.collect(), first.schema)
+    seen = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda key: (seen.add(1), key)[1]).asNondeterministic()
+    cache = stored.withColumn("content_key", counted("content_key"))
+    again = summary.refresh_summaries(reviews(spark), scores(spark), cache, scale=10.0)
+    assert sorted(map(str, again.select(*first.columns).collect())) == sorted(map(str, stored.collect()))
+    assert seen.value == stored.count()
