@@ -15,6 +15,13 @@ from reviewlens.functions.literals import quoted, sql_array, sql_map, string_arr
 
 _HEADS_PER_BRANCH = 6
 _LETTERS_AHEAD = 4
+# How often a letter stands in English text, in percent; any other character but the blank is rare.
+_FREQUENCY = dict(zip("etaoinshrdlcumwfgypbvkjxqz", (
+    12.7, 9.1, 8.2, 7.5, 7.0, 6.7, 6.3, 6.1, 6.0, 4.3, 4.0, 2.8, 2.8, 2.4, 2.4, 2.2, 2.0, 2.0, 1.9, 1.5, 1.0, 0.8, 0.2, 0.2, 0.1, 0.1,
+))) | {" ": 18.0}
+_RARE = 0.1
+# Stands between pieces of a text; no keyword holds it.
+_GAP = "\x00"
 
 
 def _class(letters: Iterable[str]) -> str:
@@ -35,14 +42,73 @@ def _pattern(words: set[str]) -> str:
     return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
 
 
-def found_keywords(lowered: Column, keywords: Iterable[str]) -> Column:
+def _anchors(words: Sequence[str]) -> dict[str, int]:
+    """A position in every word, so that few and rare letters stand at these positions.
+
+    The last character of a word is none, if there are others: what follows an anchor rules out most of its places.
+    """
+    weight = lambda letter: _FREQUENCY.get(letter, _RARE)
+    usable = {word: set(word[:-1] or word) for word in words}
+    chosen: set[str] = set()
+    open_words = set(words)
+    while open_words:
+        holds = lambda letter: sum(letter in usable[word] for word in open_words)
+        letters = sorted(set().union(*(usable[word] for word in open_words)))
+        chosen.add(min(letters, key=lambda letter: weight(letter) / holds(letter)))
+        open_words = {word for word in words if not usable[word] & chosen}
+    for letter in sorted(chosen, key=lambda letter: (-weight(letter), letter)):
+        if all(usable[word] & (chosen - {letter}) for word in words):
+            chosen.remove(letter)
+    return {word: word.index(min(sorted(usable[word] & chosen), key=weight)) for word in words}
+
+
+def _windows(words: Sequence[str]) -> tuple[str, int]:
+    """Regular expression of the pieces of a text (group 1) that hold its keywords, and the characters before an anchor.
+
+    Most positions are ruled out by their character and the next one. Where
+    the rest of a keyword stands around its anchor, the piece reaches as far
+    to both sides as any keyword that holds this one. Keywords that hold others
+    need no anchor of their own.
+    """
+    anchors = _anchors([word for word in words if not any(other != word and other in word for other in words)])
+    reach = [(word, word.index(part) + at) for part, at in anchors.items() for word in words if part in word]
+    before, after = max(at for _, at in reach), max(len(word) - at for word, at in reach)
+    tails: dict[str, dict[str, list[str]]] = {}
+    for word, at in sorted(anchors.items()):
+        tails.setdefault(word[at], {}).setdefault(word[at + 1 :], []).append(word)
+
+    def rest(ends: dict[str, list[str]], tail: str = "") -> str:
+        """What follows an anchor, letter by letter; the start of the word is looked up at its end."""
+        whole = ends.get("", [])
+        if any(len(word) == len(tail) for word in whole):
+            return ""
+        branches = [f"(?<={'|'.join(re.escape(word) for word in whole)})"] if whole else []
+        for letter in sorted({end[0] for end in ends if end}):
+            branches.append(re.escape(letter) + rest({end[1:]: of for end, of in ends.items() if end[:1] == letter}, tail + letter))
+        return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+
+    branches = [f"{re.escape(letter)}(?={rest(ends, letter)})" for letter, ends in sorted(tails.items(), key=lambda t: -_FREQUENCY.get(t[0], _RARE))]
+    following = {end[:1] for ends in tails.values() for end in ends}
+    second = "" if "" in following else _class(sorted(following))
+    first = f"(?={_class(sorted(tails))}{second})"
+    piece = f"(?<=(?=([\\s\\S]{{1,{before + after}}}))[\\s\\S]{{{before + 1}}})"
+    return f"{first}(?:{'|'.join(branches)}){piece}", before
+
+
+def found_keywords(lowered: Column, keywords: Iterable[str], short: bool = False) -> Column:
     """The distinct ones of ``keywords`` that are substrings of a lower-case text.
 
-    One pass over the text: at every position the longest keyword that starts
-    there is taken, then the shorter keywords that it begins with are added
-    ("errors" also holds "error"). "unclear" holds "clear", which starts later.
+    One pass over the text takes out the pieces around keywords, by their
+    rarest letters; ``short`` texts, as single sentences, do without it. In
+    the pieces, at every position the longest keyword that starts there is
+    taken, then the shorter keywords that it begins with are added ("errors"
+    also holds "error"). "unclear" holds "clear", which starts later.
     """
     words = tuple(dict.fromkeys(keywords))
+    if not short:
+        windows, before = _windows(words)
+        pieces = F.regexp_extract_all(F.concat(F.lit(_GAP * before), lowered), F.lit(windows), F.lit(1))
+        lowered = F.array_join(pieces, _GAP)
     heads = sorted({word[0] for word in words})
     # A few words per branch: most positions are ruled out by a handful of letter classes, one for each of the first letters.
     branches = []

@@ -30,7 +30,11 @@ def token_digits(tokens: str, lexicon: Lexicon) -> Column:
     cases = " ".join(
         f"when token in ({', '.join(quoted(w) for w in members)}) then '{digit}'" for digit, members in digits.items()
     )
-    return F.expr(f"array_join(transform({tokens}, token -> case {cases} else '0' end), '')")
+    words = ", ".join(quoted(w) for members in digits.values() for w in members)
+    if not words:
+        return F.expr(f"repeat('0', size({tokens}))")
+    # Most tokens are in no list: they are looked up once.
+    return F.expr(f"array_join(transform({tokens}, token -> case when token in ({words}) then case {cases} end else '0' end), '')")
 
 
 def _weights(digits: Column, polarity: str) -> tuple[Column, Column]:
@@ -54,7 +58,8 @@ def with_rule_sentiment(df: DataFrame, lowered: str, lexicon: Lexicon | None = N
     """Add ``sentiment_label``, ``sentiment_probs``, ``polarity``, ``confidence`` and ``is_mixed``."""
     lexicon = lexicon or Lexicon()
     df = df.withColumn("_tokens", T.tokens(F.col(lowered)))
-    df = df.withColumn("_digits", token_digits("_tokens", lexicon)).drop("_tokens")
+    # Hits look back two words: of more words without a role in a row, two are enough.
+    df = df.withColumn("_digits", F.regexp_replace(token_digits("_tokens", lexicon), "0{3,}", "00")).drop("_tokens")
     digits = F.col("_digits")
     positive, negated_positive = _weights(digits, "positive")
     negative, negated_negative = _weights(digits, "negative")

@@ -35,8 +35,8 @@ def fold(lowered: Column) -> Column:
     ASCII becomes a blank. Texts that are ASCII already are left alone.
     """
     is_ascii = F.length(lowered) == F.octet_length(lowered)
-    spaced = F.regexp_replace(lowered, r"[^\p{L}\p{N}_\x00-\x7F]", " ")
-    return F.when(is_ascii, lowered).otherwise(F.regexp_replace(spaced, r"[^\x00-\x7F]", "0"))
+    spaced = F.regexp_replace(lowered, r"[\x{80}-\x{10FFFF}&&[^\p{L}\p{N}]]", " ")
+    return F.when(is_ascii, lowered).otherwise(F.regexp_replace(spaced, r"[\x{80}-\x{10FFFF}]", "0"))
 
 
 def tokens(lowered: Column) -> Column:
@@ -50,12 +50,13 @@ def keyword_tokens(lowered: Column) -> Column:
 
 
 def _parts(text: Column) -> Column:
+    """Sentences of any length; they neither begin nor end with white space."""
     return F.split(text_trim(text), f"(?<=[.!?]){SPACE}+")
 
 
 def sentences(text: Column, longer_than: int) -> Column:
     """Sentences after ``.``, ``!`` or ``?`` plus white space, trimmed, of more than so many characters."""
-    return F.filter(F.transform(_parts(text), text_trim), lambda s: F.length(s) > longer_than)
+    return F.filter(_parts(text), lambda s: F.length(s) > longer_than)
 
 
 def chunks(text: Column) -> Column:
@@ -106,7 +107,10 @@ ANONYMOUS_PATTERNS = (
 )
 CASE_SENSITIVE_PATTERNS = ("I",)
 # Every pattern that is not about students holds one of the words "I", "my", "me" and "we" (or "wy"), in any case.
-_FIRST_PERSON = f"[iI\u0130\u0131mMwW](?<!{_WORD}.)(?:(?<=[iI\u0130\u0131])|[yYeE]){AFTER_WORD}"
+# What follows is looked at before what precedes, plain letters first: few of these letters end a word.
+_FIRST_PERSON = (
+    f"[iI\u0130\u0131](?![a-z]){AFTER_WORD}(?<!{_WORD}.)|[mMwW][yYeE](?![a-z]){AFTER_WORD}(?<!{_WORD}..)"
+)
 # Letters that equal an ASCII letter when case is ignored.
 _CASE_TWINS = {"i": "\u0130\u0131", "s": "\u017f"}
 
@@ -159,12 +163,15 @@ def anonymous_sentences(text: Column, longer_than: int) -> Column:
     again: "Fine.For me not." ends a sentence where a wording is left out.
     """
 
+    def wording(value: Column) -> Column:
+        return F.contains(F.lower(value), F.lit("tudent")) | value.rlike(_FIRST_PERSON)
+
     def rewritten(part: Column) -> Column:
-        wording = F.contains(F.lower(part), F.lit("tudent")) | part.rlike(_FIRST_PERSON)
-        return F.when(wording, _parts(anonymise(part))).otherwise(F.array(part))
+        return F.when(wording(part), _parts(anonymise(part))).otherwise(F.array(part))
 
-    parts = F.flatten(F.transform(_parts(text), rewritten))
-    return F.filter(F.transform(parts, text_trim), lambda s: F.length(s) > longer_than)
+    parts = _parts(text)
+    parts = F.when(wording(text), F.flatten(F.transform(parts, rewritten))).otherwise(parts)
+    return F.filter(parts, lambda s: F.length(s) > longer_than)
 
 
 def extractive(text: Column, n_sentences: int = 3) -> Column:

@@ -151,7 +151,7 @@ def _classified_sentences(comment: Column, strong: str, weak: str) -> Column:
     """Anonymised sentences of a comment with their class: 1 strong only, 2 weak only, 3 neither or both."""
 
     def searched(sentence: Column, i: Column) -> Column:
-        found = A.found_keywords(F.lower(sentence), A.table_keywords(K.SENTENCE_KEYWORDS))
+        found = A.found_keywords(F.lower(sentence), A.table_keywords(K.SENTENCE_KEYWORDS), short=True)
         return F.struct(i.alias("position"), sentence.alias("piece"), found.alias("found"))
 
     # Most sentences hold no keyword: nothing is compared for them.

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -207,3 +208,25 @@ def test_distinct_scores_from_probabilities(spark):
     assert sorted(map(str, score_distinct(df, config=config).select(*columns).collect())) == sorted(
         map(str, score_reviews(df, config=config).select(*columns).collect())
     )
+
+
+def test_keywords_are_found_by_their_rarest_letters(spark):
+    """All keywords of a text, overlapping ones too; only the pieces around keywords are searched for them."""
+    rng = random.Random(11)
+    lists = [
+        A.rule_keywords(), A.table_keywords(K.SENTENCE_KEYWORDS), ["a"], ["ee", "eee", "tee e"], ["no feedback", "feedback late", "late", "back"],
+        ["not", "note", "no", "e n", "été", "x.y", "(z"],
+    ]
+    for words in lists:
+        letters = sorted(set("".join(words))) + ["\x00", "\n"]
+        draw = lambda: rng.choice([rng.choice(words), rng.choice(words)[1:], rng.choice(words)[:-1], rng.choice(letters), " "])
+        texts = ["", "\x00", *words, *("".join(draw() for _ in range(rng.randint(1, 12))) for _ in range(300))]
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        found = [A.found_keywords(F.col("t"), words, short).alias(str(short)) for short in (False, True)]
+        for row in df.select("t", *found).collect():
+            expected = sorted({w for w in words if w in row["t"]})
+            assert sorted(row["False"]) == expected and sorted(row["True"]) == expected, row["t"]
+    pattern, before = A._windows(A.rule_keywords())
+    text = "\x00" * before + "it is the nature of plain words that none of them is in a list. " * 20
+    pieces = F.regexp_extract_all(F.lit(text + "never late, " + text), F.lit(pattern), F.lit(1))
+    assert [len(p) < 60 and "late" in p for p in spark.range(1).select(pieces).first()[0]] == [True]
