@@ -30,6 +30,10 @@ MUCH, COPY_SHARE = 0.5, 0.8
 REACH = 4
 #: Lines of so many characters are prose: those in a landmark always stay, and pages that share mostly such lines are copies.
 PROSE = 100
+#: Pages, and bytes (about) of pages, alignments and texts, that a host keeps for copies to come besides pages still in use.
+KEPT_PAGES, KEPT_BYTES = 64, 8_000_000
+#: Rows of a batch that are Python objects at a time.
+COMPARED_ROWS = 64
 
 #: A tag ends at the first ">" outside quoted values; another "<" before it means that there was no tag.
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"'=]++|=\s*+(?:"[^"]*"|'[^']*'|)|["'])*+)>""")
@@ -394,17 +398,24 @@ class _Host:
         #: Rows of equal pages next to each other: rows, page, digest, pages before, pages behind by digest.
         self.waiting: deque[tuple[list[tuple], _Page, int, list[_Page], dict[int, _Page]]] = deque()
         self.settled: dict[tuple, tuple[str, int]] = {}
+        self.kept = 0
+
+    def _forget(self) -> None:
+        """Drops all that can be computed again, but for the pages in use."""
+        held = {id(page) for page in self.recent.values()} | {id(entry[1]) for entry in self.waiting}
+        self.known = {key: page for key, page in self.known.items() if id(page) in held}
+        self.settled.clear()
+        for page in self.known.values():
+            page.known.clear()
+        self.kept = 0
 
     def add(self, row: tuple, digest: int, own: bool, content: tuple[str, str]) -> Iterator[tuple]:
         """Takes a row (page_id, url); gives rows with their text and the number of lines deleted."""
-        if len(self.known) > 64:
-            held = {id(page) for page in self.recent.values()} | {id(entry[1]) for entry in self.waiting}
-            self.known = {key: page for key, page in self.known.items() if id(page) in held}
-            self.settled.clear()
-            for page in self.known.values():
-                page.known.clear()
+        if len(self.known) > KEPT_PAGES or self.kept > KEPT_BYTES:
+            self._forget()
         if content not in self.known:
             self.known[content] = _Page(*content)
+            self.kept += 2 * len(content[0])
         page = self.known[content]
         last = self.waiting[-1] if self.waiting else None
         if own and last and last[1] is page and last[2] == digest:
@@ -434,7 +445,9 @@ class _Host:
         rows, page, _, before, after = self.waiting.popleft()
         key = (page, *before, None, *after.values())
         if key not in self.settled:
-            self.settled[key] = page.main_text(before, list(after.values()))
+            aligned = sum(map(len, page.known.values()))
+            text, _ = self.settled[key] = page.main_text(before, list(after.values()))
+            self.kept += 2 * len(text) + 64 * (sum(map(len, page.known.values())) - aligned)
         for row in rows:
             yield (*row, *self.settled[key])
 
@@ -463,6 +476,33 @@ def _context(ends: dict[int, list[tuple]]) -> dict[tuple, list[int]]:
     return dict(sent)
 
 
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The main texts of parsed pages, which come by block, host and their order there."""
+    types: list[pa.DataType] = []
+
+    def sent(done: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for start in range(0, len(done), 256):
+            columns = zip(*done[start : start + 256], strict=True)
+            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text", "n_shared"])
+
+    done: list[tuple] = []
+    host, at = _Host(), None
+    for batch in batches:
+        types[:] = (batch.schema.field("page_id").type, pa.string(), pa.string(), pa.int64())
+        for start in range(0, batch.num_rows, COMPARED_ROWS):
+            part = batch.slice(start, COMPARED_ROWS)
+            for page_id, address, name, _, _, digest, block, own, lines, marks in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if (block, name) != at:
+                    done += host.rest()
+                    host, at = _Host(), (block, name)
+                done += host.add((page_id, address), digest, own, (lines, marks))
+                if len(done) >= 256:
+                    yield from sent(done)
+                    done = []
+    yield from sent([*done, *host.rest()])
+
+
 def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Per row: page_id, url, text, n_shared (lines deleted as a neighbour has them).
 
@@ -544,32 +584,9 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
                     names,
                 )
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types: list[pa.DataType] = []
-
-        def sent(done: list[tuple]) -> Iterator[pa.RecordBatch]:
-            for start in range(0, len(done), 256):
-                columns = zip(*done[start : start + 256], strict=True)
-                arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text", "n_shared"])
-
-        done: list[tuple] = []
-        host, at = _Host(), None
-        for batch in batches:
-            types[:] = (batch.schema.field("page_id").type, pa.string(), pa.string(), pa.int64())
-            for page_id, address, name, _, _, digest, block, own, lines, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (block, name) != at:
-                    done += host.rest()
-                    host, at = _Host(), (block, name)
-                done += host.add((page_id, address), digest, own, (lines, marks))
-                if len(done) >= 256:
-                    yield from sent(done)
-                    done = []
-        yield from sent([*done, *host.rest()])
-
     parsed = rows.mapInArrow(parse, parsed_schema)
     parsed = parsed.repartition("block").sortWithinPartitions("block", "host", "path", "id", "digest", "lines")
-    return parsed.mapInArrow(compare, f"page_id {kinds['page_id']}, url string, text string, n_shared bigint")
+    return parsed.mapInArrow(_compare, f"page_id {kinds['page_id']}, url string, text string, n_shared bigint")
 
 
 def op5_main_text(spark: SparkSession, sf: str) -> DataFrame:

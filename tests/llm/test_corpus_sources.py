@@ -8,8 +8,10 @@ import json
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -353,6 +355,55 @@ def test_ties_and_runs_of_copies(spark):
     assert found == Counter(expected)
 
 
+def peak_mb(run):
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_host_memory_does_not_grow_with_its_pages(monkeypatch):
+    """Few texts that come again and again in ever other orders: what is kept for copies is bounded, and changes no text."""
+    rng = random.Random(5)
+    texts = ["\n".join(["Our site", *(prose(100 * k + i, 20) for i in range(30)), "Terms"]) for k in range(40)]
+    order = [rng.randrange(40) for _ in range(6000)]
+
+    def settled(n):
+        host, found = pages._Host(), Counter()
+        for i, k in enumerate(order[:n]):
+            found.update(host.add((i, "u"), k, True, (texts[k], "-" * 32)))
+        return found + Counter(host.rest())
+
+    def held(n):
+        host = pages._Host()
+        return sum(len(list(host.add((i, "u"), k, True, (texts[k], "-" * 32)))) for i, k in enumerate(order[:n])) + len(list(host.rest()))
+
+    for n in (3000, 6000):
+        count, mb = peak_mb(lambda n=n: held(n))
+        assert count == n and mb < 15
+    whole = settled(600)
+    monkeypatch.setattr(pages, "KEPT_BYTES", 0)
+    assert settled(600) == whole
+
+
+def test_batches_are_read_in_parts():
+    """Of a large Arrow batch, only a part is held as Python objects."""
+    n, size = 3000, 15_000
+    names = ["page_id", "url", "host", "path", "id", "digest", "block", "own", "lines", "marks"]
+    numbers, words = list(range(n)), [f"p{i:04d}" for i in range(n)]
+    lines = [f"{i} " + "w" * size for i in range(n)]
+    types = (pa.int64(), *[pa.string()] * 4, pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.string())
+    columns = (numbers, words, ["h"] * n, words, words, numbers, [0] * n, [True] * n, lines, ["a"] * n)
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    def texts():
+        return [hash(text) for out in pages._compare(iter([batch])) for text in out.column("text").to_pylist()]
+
+    found, mb = peak_mb(texts)
+    assert found == [hash(line) for line in lines] and mb < 25
+
+
 def test_copies_are_passed_over(spark):
     """Copies, equal or nearly so, are no evidence; pages with more layout than text are no copies."""
     layout = "".join(f"<p>Link {c} of the menu</p>" for c in "abcdefgh")
