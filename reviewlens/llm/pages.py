@@ -401,12 +401,16 @@ class _Host:
         self.kept = 0
 
     def _forget(self) -> None:
-        """Drops all that can be computed again, but for the pages in use."""
+        """Drops all that can be computed again, but for the pages in use.
+
+        Pages hold each other by their alignments, and would stay long after
+        the host is done with them if these were not dropped first.
+        """
+        for page in self.known.values():
+            page.known.clear()
         held = {id(page) for page in self.recent.values()} | {id(entry[1]) for entry in self.waiting}
         self.known = {key: page for key, page in self.known.items() if id(page) in held}
         self.settled.clear()
-        for page in self.known.values():
-            page.known.clear()
         self.kept = 0
 
     def add(self, row: tuple, digest: int, own: bool, content: tuple[str, str]) -> Iterator[tuple]:
@@ -440,6 +444,7 @@ class _Host:
     def rest(self) -> Iterator[tuple]:
         while self.waiting:
             yield from self._settle()
+        self._forget()
 
     def _settle(self) -> Iterator[tuple]:
         rows, page, _, before, after = self.waiting.popleft()

@@ -1,6 +1,7 @@
 """Archives, pages, chats and the pipeline against brute force and round trips."""
 
 import base64
+import gc
 import gzip
 import hashlib
 import html.parser
@@ -387,6 +388,28 @@ def test_host_memory_does_not_grow_with_its_pages(monkeypatch):
     assert settled(600) == whole
 
 
+def test_pages_are_released_without_a_collection():
+    """Pages that are settled are freed at once, in a long host and between hosts, however seldom Python collects cycles."""
+    texts = ["\n".join(["Our site", *(prose(20 * k + i, 20) for i in range(20)), "Terms"]) for k in range(600)]
+
+    def run(size):
+        host, rows = pages._Host(), 0
+        for i, text in enumerate(texts):
+            if i % size == 0:
+                rows += len(list(host.rest()))
+                host = pages._Host()
+            rows += len(list(host.add((i, "u"), i, True, (text + " ", "-" * 22))))
+        return rows + len(list(host.rest()))
+
+    gc.disable()
+    try:
+        for size in (10, 600):
+            count, mb = peak_mb(lambda size=size: run(size))
+            assert count == 600 and mb < 4
+    finally:
+        gc.enable()
+
+
 def test_batches_are_read_in_parts():
     """Of a large Arrow batch, only a part is held as Python objects."""
     n, size = 3000, 15_000
